@@ -1,8 +1,62 @@
-"""A corpus pipeline from the training-data operators, stage by stage."""
+"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lontar.llm.best_fit_packing import pack
+from lontar.llm.common import materialize, read
+from lontar.llm.line_dedup import line_dedup
+from lontar.llm.quality_rules import quality_rules
+from lontar.llm.simhash_dedup import simhash_dedup
+from lontar.llm.source_mixing import mix_sources
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base or cascade rules reject go."""
+    return quality_rules(docs).filter("kept").select("_row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go from the texts; documents stay, and n_chars follows."""
+    left = line_dedup(docs)
+    return left.select(*(
+        F.col("new_text").alias("text") if c == "text"
+        else F.char_length("new_text").cast(t).alias("n_chars") if c == "n_chars" else F.col(f"_row.{c}")
+        for c, t in docs.dtypes
+    ))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component stays; repeated rows of it stay once."""
+    found = simhash_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document is repeated as often as the mix takes it."""
+    taken = mix_sources(docs).filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_duplicates), ("mixing", mix), ("packing", packing)]
+
+#: SQL can't express the SimHash stage; tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name.replace(' ', '_')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,14 @@ from importlib import import_module
 _MODULES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_quality_rules": "quality_rules",
+    "op3_token_counts": "token_counts",
+    "op4_line_dedup": "line_dedup",
+    "op5_kd_sharding": "kd_sharding",
+    "op6_source_mixing": "source_mixing",
+    "op7_language_id": "language_id",
+    "op8_best_fit_packing": "best_fit_packing",
+    "op9_quality_classifier": "quality_classifier",
+    "op10_simhash_dedup": "simhash_dedup",
 }
 
 
