@@ -20,7 +20,9 @@ from lontar.llm.common import materialize, read, shuffle_partitions
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
 #: Distinct fingerprints that one leaf holds at most, as far as 64 bits can tell them apart.
-LEAF = 16_384
+LEAF = 32_768
+#: Fingerprints are dealt to pairs of leaves in blocks of about so many.
+BLOCK = 16_384
 #: Bits of the trie counted at a time when leaves are cut; the driver sees at most 2**STEP counts for each heavy node.
 STEP = 10
 
@@ -97,7 +99,7 @@ class Links:
             self.label, self.version = parent[self.label], self.version + 1
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, depth_left: int, depth_right: int, budget: int = BUDGET, chunk: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET, chunk: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links between two sorted leaves (right None: within one), as two arrays of fingerprints.
 
     Both tries are walked from the root, whose nodes above a leaf's depth have one child.
@@ -213,24 +215,33 @@ def fingerprint_links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF)
         if j != i:
             joins[j].append((unit, 1))
 
+    schema = pa.schema([("unit", pa.int32()), ("side", pa.int8()), ("fps", pa.binary())])
+
+    def dealt(leaf: int, blocks: list[np.ndarray]) -> pa.RecordBatch:
+        block = np.concatenate(blocks).tobytes()
+        units, sides = zip(*joins[leaf], strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(sides, pa.int8()), pa.array([block] * len(units), pa.binary())], schema=schema)
+
     def deal(batches):
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             at = np.searchsorted(lows, fps, "right") - 1
-            for k in np.unique(at):
-                own = fps[at == k].view(np.int64)
-                for unit, side in joins[k]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), unit, np.int32)), pa.array(np.full(len(own), side, np.int8)), pa.array(own)], names=["unit", "side", "fp"])
+            for k in np.unique(at).tolist():
+                held.setdefault(k, []).append(fps[at == k])
+                if sum(map(len, held[k])) >= BLOCK:
+                    yield dealt(k, held.pop(k))
+        for k, blocks in held.items():
+            yield dealt(k, blocks)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        prints, side = pdf.fp.to_numpy().view(np.uint64), pdf.side.to_numpy()
         i, j = pairs[int(pdf.unit.iloc[0])]
-        left, right = np.sort(prints[side == 0]), np.sort(prints[side == 1])
-        u, v = trie_join(left, None, 0, 0, budget) if i == j else trie_join(left, right, 0, 0, budget) if len(left) and len(right) else (left[:0], left[:0])
+        left, right = (np.sort(np.frombuffer(b"".join(pdf.fps[pdf.side == side]), np.uint64)) for side in (0, 1))
+        u, v = trie_join(left, None, budget) if i == j else trie_join(left, right, budget) if len(left) and len(right) else (left[:0], left[:0])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     n = max(shuffle_partitions(prints.sparkSession), min(len(pairs), 2000))
-    return prints.select("fp").mapInArrow(deal, "unit int, side byte, fp long").repartition(n, "unit").groupBy("unit").applyInPandas(join, "u long, v long")
+    return prints.select("fp").mapInArrow(deal, "unit int, side byte, fps binary").repartition(n, "unit").groupBy("unit").applyInPandas(join, "u long, v long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

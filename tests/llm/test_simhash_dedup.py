@@ -88,7 +88,7 @@ def test_trie_join_finds_the_same_classes_as_all_pairs(seed):
     want = defaultdict(set)
     for p, r in classes([int(x) for x in prints]).items():
         want[r].add(p)
-    u, v = trie_join(prints, None, 0, 0, chunk=97)
+    u, v = trie_join(prints, None, chunk=97)
     assert grouped(zip(u, v, strict=True), prints) == {frozenset(g) for g in want.values()}
     assert len(u) < len(prints) and all((int(a) ^ int(b)).bit_count() <= 4 for a, b in zip(u, v, strict=True))
 
