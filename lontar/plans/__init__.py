@@ -1,0 +1 @@
+"""Named queries over the tables, with the SQL that gives the same rows."""
