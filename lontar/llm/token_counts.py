@@ -1,6 +1,6 @@
 """Token counts by trie-shared dynamic programming.
 
-The distinct pre-tokens of a batch that a worker hasn't met yet go, sorted, into a trie. The unigram forward score of a
+The distinct pre-tokens of a block of documents that a worker hasn't met yet go, sorted, into a trie. The unigram forward score of a
 prefix (of its best cut into pieces) depends on the prefix alone, so each trie node is scored once for all pre-tokens that
 share it, and terminal nodes keep the number of pieces. A document's count is the sum over its pre-tokens. Nothing is
 shuffled: a document is counted where it is read.
@@ -19,6 +19,9 @@ from lontar.llm.common import read
 
 #: Marks the start of a pre-token in the vocabulary's pieces.
 MARK = "▁"
+_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+#: Characters of documents that make a block, in which new pre-tokens share a trie.
+BLOCK = 4_000_000
 #: Pre-tokens whose counts a worker keeps; beyond that it starts anew. It bounds memory and changes no count.
 KEPT = 800_000
 
@@ -42,7 +45,14 @@ class Pieces:
         total = log(sum(1 / (n + 1) for n in range(len(kept))))
         self.score = {piece: -log(n + 1) - total for n, piece in reversed(list(enumerate(kept)))}
         self.byte = -log(len(kept) + 1) - total
-        self.longest = max(map(len, kept), default=1)
+        #: Pieces from their last character backwards: character -> [score of the piece that begins here or None, further]
+        self.backwards: dict = {}
+        for piece, score in self.score.items():
+            here, entry = self.backwards, None
+            for c in reversed(piece):
+                entry = here.setdefault(c, [None, {}])
+                here = entry[1]
+            entry[0] = score
 
 
 class TrieCounts(dict):
@@ -54,30 +64,32 @@ class TrieCounts(dict):
 
     def extend(self, words: list[str]) -> None:
         """Sorted pre-tokens share their prefixes with the one before, so the trie's open path is all of it that later
-        ones can use: path[k] holds score and pieces of the best cut of the first k characters."""
-        score, byte, longest = self.pieces.score, self.pieces.byte, self.pieces.longest
-        path, before = [(0.0, 0)], ""
+        ones can use: best[k] and pieces[k] hold score and number of pieces of the best cut of the first k characters."""
+        root, byte = self.pieces.backwards, self.pieces.byte
+        best, pieces, before = [0.0], [0], ""
         for word in sorted(words):
             text = MARK + word
             shared, most = 0, min(len(text), len(before))
             while shared < most and text[shared] == before[shared]:
                 shared += 1
-            del path[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                self.nodes += 1
-                width = len(text[end - 1].encode("utf-8", "surrogatepass"))
-                whole, n = path[end - 1]
-                best = (whole + width * byte, n + width)
-                for start in range(max(0, end - longest), end):
-                    own = score.get(text[start:end])
+            del best[shared + 1 :], pieces[shared + 1 :]
+            for last in range(shared, len(text)):
+                c = text[last]
+                width = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                most_likely, n = best[last] + width * byte, pieces[last] + width
+                further, start = root, last
+                while start >= 0 and (entry := further.get(text[start])):
+                    own, further = entry
                     if own is not None:
-                        whole, n = path[start]
-                        # ties: fewer pieces
-                        if (found := whole + own) > best[0] or found == best[0] and n + 1 < best[1]:
-                            best = (found, n + 1)
-                path.append(best)
+                        whole = best[start] + own
+                        if whole > most_likely or whole == most_likely and pieces[start] + 1 < n:  # ties: fewer pieces
+                            most_likely, n = whole, pieces[start] + 1
+                    start -= 1
+                best.append(most_likely)
+                pieces.append(n)
+            self.nodes += len(text) - shared
             before = text
-            self[word] = path[-1][1]
+            self[word] = pieces[-1]
 
 
 @lru_cache(1)
@@ -102,25 +114,26 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         path = vocabulary or default_vocabulary()
         known = _counts(path)
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for text in batch.column(1).to_pylist():
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                words = raw.decode("utf-8", "surrogatepass").translate(_SPACES).split(" ")
-                if new := set(words).difference(known):
+            texts, rows, at = batch.column(1).to_pylist(), [], 0
+            while at < len(texts):
+                block, size = [], 0
+                while at < len(texts) and (not block or size + len(texts[at] or "") <= BLOCK):
+                    block.append((texts[at] or "").translate(_SPACES).split(" "))
+                    size += len(texts[at] or "")
+                    at += 1
+                if new := set().union(*block).difference(known):
                     if len(known) + len(new) > KEPT:
                         known.clear()
                         known[""] = 0
-                        new = set(words).difference(known)
+                        new = set().union(*block).difference(known)
                     known.extend(list(new))
-                rows.append((len(words) - words.count(""), sum(map(known.__getitem__, words)), len(raw)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+                rows += [(len(words) - words.count(""), sum(map(known.__getitem__, words))) for words in block]
+            n, counts = zip(*rows, strict=True) if rows else ([], [])
+            sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long, n_bytes long")
 
 
-_SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
-
-
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
