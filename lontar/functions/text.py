@@ -123,4 +123,4 @@ def cosine(a: Column, b: Column) -> Column:
 
 def exact_round(x: Column, digits: int) -> Column:
     """Rounds the exact binary value, half to even, as decimal formatting does."""
-    return F.format_number(x, "0." + "0" * digits).cast("double")
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")

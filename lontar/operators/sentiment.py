@@ -151,7 +151,7 @@ def finish_model_rows(df: DataFrame, text: str, **options) -> DataFrame:
 def distribution(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Percent of each label over rows that are not `empty`; `error` rows count, as neutral."""
     kept = predictions.filter("method != 'empty'")
-    share = lambda k: F.round(F.count_if(F.col("sentiment") == k) * 100 / F.count("*"), 2)
+    share = lambda k: F.round(F.try_divide(F.count_if(F.col("sentiment") == k) * 100, F.count("*")), 2)
     return kept.groupBy(*by).agg(*(F.coalesce(share(k), F.lit(0.0)).alias(k) for k in LABELS), F.count("*").alias("total"))
 
 

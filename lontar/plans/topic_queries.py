@@ -109,7 +109,7 @@ def label_vocabulary(spark, sf_dir):
     return K.label_vocabulary(docs(spark, sf_dir), min_freq=20, stopwords=_STOP)
 
 
-@query(f"WITH {_BASE}, {_CTF.format(where='', share='sqrt(tf / tw)')}, r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, term) AS k FROM ctf), v AS (SELECT word AS term FROM lat GROUP BY word HAVING count(*) >= 30), t AS (SELECT topic_id, term, k, term IN (SELECT term FROM v) AS hit FROM r WHERE k <= 30), h AS (SELECT *, max(hit) OVER (PARTITION BY topic_id) AS some FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY k) AS o FROM h WHERE hit OR NOT some) SELECT CAST(topic_id AS BIGINT) AS topic_id, string_agg(term, ' ' ORDER BY k) AS words FROM q WHERE o <= 10 GROUP BY topic_id")
+@query(f"WITH {_BASE}, {_CTF.format(where='', share='sqrt(tf / tw)')}, r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, term) AS k FROM ctf), v AS (SELECT word AS term FROM lat GROUP BY word HAVING count(*) >= 30), t AS (SELECT topic_id, term, k, term IN (SELECT term FROM v) AS hit FROM r WHERE k <= 30), h AS (SELECT *, max(hit) OVER (PARTITION BY topic_id) AS any_hit FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY k) AS o FROM h WHERE hit OR NOT any_hit) SELECT CAST(topic_id AS BIGINT) AS topic_id, string_agg(term, ' ' ORDER BY k) AS words FROM q WHERE o <= 10 GROUP BY topic_id")
 def label_filter(spark, sf_dir):
     """K13."""
     d = docs(spark, sf_dir)

@@ -116,9 +116,9 @@ TASK = T.StructType([
 ])
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+def read_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """text, spans array<struct<start, end>> of annotation tasks; the stored span text is not used, as offsets are right
-    where it isn't."""
-    rows = spark.read.schema(TASK).json(path, multiLine=True)
+    where it isn't. Files are JSON arrays, or one record a line, as write_json leaves them."""
+    rows = spark.read.schema(TASK).json(path, multiLine=not lines)
     values = F.flatten(F.transform("predictions", lambda p: p["result"]))
     return rows.select(F.col("data.text").alias("text"), F.transform(values, lambda r: F.struct(r["value"]["start"].alias("start"), r["value"]["end"].alias("end"))).alias("spans"))
