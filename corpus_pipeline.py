@@ -12,7 +12,7 @@ from lontar.llm.best_fit_packing import pack
 from lontar.llm.common import materialize, read
 from lontar.llm.line_dedup import line_dedup
 from lontar.llm.quality_rules import quality_rules
-from lontar.llm.simhash_dedup import simhash_dedup
+from lontar.llm.simhash_dedup import representatives, simhash_dedup
 from lontar.llm.source_mixing import mix_sources
 
 
@@ -32,10 +32,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays; repeated rows of it stay once."""
-    found = simhash_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each component stays, that with the smallest doc_id; rows equal in id and text stay once."""
+    kept = representatives(simhash_dedup(docs)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    named = docs.withColumn("_hash", F.xxhash64("text"))
+    stays = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

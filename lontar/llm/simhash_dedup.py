@@ -269,19 +269,28 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (hex), component_id.
+    """One row per row of docs: doc_id, fingerprint (hex), component_id, component (its least fingerprint), text_hash.
 
     Null and empty texts have fingerprint zero and link like any other. component_id is the smallest doc_id reachable; null
     ids don't count for it, and it is null where a component has no other. Repeated rows are in one component. Other
     columns are left out; an empty table gives no row. Distinct fingerprints alone are joined, so copies cost nothing.
     """
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.arrow_udf(_fingerprints, "long")(F.col(text_col).cast("string")).alias("fp")), "simhash_rows")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = materialize(named.select("doc_id", F.arrow_udf(_fingerprints, "long")("_text").alias("fp"), F.xxhash64("_text").alias("text_hash")), "simhash_rows")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "simhash_prints")
     roots = materialize(components(fingerprint_links(prints, budget, leaf)), "simhash_roots")
     whole = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     reach = whole.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    found = materialize(whole.select("fp", "root").join(reach, "root").select("fp", "component_id"), "simhash_components")
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = materialize(whole.select("fp", "root").join(reach, "root").select("fp", "root", "component_id"), "simhash_components")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(found, "fp").select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("root").alias("component"), "text_hash")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """doc_id, text_hash of the document that stays for each component of simhash_dedup's rows: the one with the smallest
+    doc_id, of equal ones the one with the smallest hash. A component without ids keeps one of its documents too."""
+    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
+    return least.select("s.doc_id", "s.text_hash")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def brute(rows):
 
 def test_awkward(spark):
     rows = [r for r in awkward() if len(r[1] or "") < 5000]
-    assert Counter(map(tuple, simhash_dedup(frame(spark, rows)).collect())) == brute([(r[0], r[1]) for r in rows])
+    assert Counter(tuple(r)[:3] for r in simhash_dedup(frame(spark, rows)).collect()) == brute([(r[0], r[1]) for r in rows])
     assert len(simhash_dedup(frame(spark, awkward())).collect()) == len(awkward())
 
 
@@ -53,8 +53,8 @@ def test_empty(spark):
 
 def test_table(spark, tables):
     rows = [(r["doc_id"], r["text"]) for r in table(tables, "documents")]
-    assert Counter(map(tuple, op10_simhash_dedup(spark, tables).collect())) == brute(rows)
-    assert Counter(map(tuple, simhash_dedup(spark.read.parquet(f"{tables}/documents.parquet"), leaf=20).collect())) == brute(rows)
+    assert Counter(tuple(r)[:3] for r in op10_simhash_dedup(spark, tables).collect()) == brute(rows)
+    assert Counter(tuple(r)[:3] for r in simhash_dedup(spark.read.parquet(f"{tables}/documents.parquet"), leaf=20).collect()) == brute(rows)
 
 
 def test_long_fingerprint():
