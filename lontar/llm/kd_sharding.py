@@ -42,29 +42,28 @@ def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
 def _medians(points: DataFrame, key: F.Column, nodes: dict[int, tuple[int, int, float]]) -> dict[int, int]:
     """For each node (smallest and largest key, weight below the cut), the key up to which rows go left.
 
-    Three or four rounds of BINS bins each narrow the range by the bin that holds the median, until it holds one key or
-    a share of the node too small to matter.
+    A round counts weights in BINS bins of each node's range and narrows the range to the keys of the bin that holds the
+    median, until that is one key or weighs too little to matter. Two or three rounds do.
     """
-    cut, state = {}, {n: (lo, hi, 0.0, half) for n, (lo, hi, half) in nodes.items()}
+    cut, state = {}, {n: (lo, hi, 0, half) for n, (lo, hi, half) in nodes.items()}
     while state:
         lo = F.create_map(*[F.lit(x) for n, (a, *_) in state.items() for x in (n, a)])[F.col("node")].cast("long")
-        step = F.create_map(*[F.lit(x) for n, (a, b, *_) in state.items() for x in (n, (b - a) // BINS + 1)])[F.col("node")].cast("long")
-        binned = points.filter(F.col("node").isin(*state)).withColumn("key", key).withColumn("bin", F.floor((F.col("key") - lo) / step))
-        inside = binned.filter((F.col("bin") >= 0) & (F.col("bin") < BINS))
-        rows = inside.groupBy("node", "bin").agg(F.sum("w").alias("w")).collect()  # at most nodes * BINS
-        for n, (a, b, below, half) in list(state.items()):
-            width, seen = (b - a) // BINS + 1, below
-            for bin_, w in sorted((r.bin, r.w) for r in rows if r.node == n):
-                if seen + w >= half:
-                    low, high = a + bin_ * width, a + (bin_ + 1) * width - 1
-                    if width == 1 or w <= 0.0005 * half:
-                        nearer = high if seen + w - half <= half - seen else low - 1
-                        cut[n] = nearer
+        hi = F.create_map(*[F.lit(x) for n, (_, b, *_) in state.items() for x in (n, b)])[F.col("node")].cast("long")
+        step = F.floor((F.col("hi") - F.col("lo")) / BINS) + 1
+        keyed = points.filter(F.col("node").isin(*state)).select("node", "w", key.alias("key"), lo.alias("lo"), hi.alias("hi"))
+        binned = keyed.filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).withColumn("bin", (F.col("key") - F.col("lo")) / step)
+        rows = binned.groupBy("node", F.floor("bin").alias("bin")).agg(F.sum("w").alias("w"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # at most nodes * BINS
+        for n, (_, b, below, half) in list(state.items()):
+            seen = below
+            for r in sorted((r for r in rows if r.node == n), key=lambda r: r.low):
+                if seen + r.w >= half:
+                    if r.low == r.high or r.w <= 0.0005 * half:
+                        cut[n] = r.high if seen + r.w - half <= half - seen else r.low - 1
                         del state[n]
                     else:
-                        state[n] = (low, high, seen, half)
+                        state[n] = (r.low, r.high, seen, half)
                     break
-                seen += w
+                seen += r.w
             else:
                 cut[n] = b
                 del state[n]
