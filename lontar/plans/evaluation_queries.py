@@ -186,9 +186,9 @@ def behaviour_report(spark, sf_dir):
     return E.behaviour_report(cases)
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
-r AS (SELECT user_id, i, at, [at] AS held, true AS allowed FROM e WHERE i = 1
-UNION ALL SELECT e.user_id, e.i, e.at, CASE WHEN len(h) < 3 THEN list_append(h, e.at) ELSE h END, len(h) < 3 FROM (SELECT r.user_id, r.i, e.at AS nx, list_filter(r.held, lambda x: x > e.at - 86400) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) q JOIN e ON e.user_id = q.user_id AND e.i = q.i + 1)
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+r AS (SELECT user_id, i, [s] AS held, true AS allowed FROM e WHERE i = 1
+UNION ALL SELECT q.user_id, q.i, CASE WHEN len(q.h) < 3 THEN list_append(q.h, q.s) ELSE q.h END, len(q.h) < 3 FROM (SELECT e.user_id, e.i, e.s, list_filter(r.held, lambda x: x > e.s - 86400) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) q)
 SELECT user_id, count(*) AS requests, count(*) FILTER (allowed) AS allowed FROM r GROUP BY user_id""")
 def rate_limiter(spark, sf_dir):
     """Three a day for each user; refused requests use up nothing."""
