@@ -39,33 +39,41 @@ def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     return dealt.drop("heavy"), points
 
 
-def _medians(points: DataFrame, key: F.Column, nodes: dict[int, tuple[int, int, float]]) -> dict[int, int]:
-    """For each node (smallest and largest key, weight below the cut), the key up to which rows go left.
+def _at_nodes(points: DataFrame, columns: str, rows: list[tuple]) -> DataFrame:
+    """Points with columns of their node, from a table of one row a node, and their `key` along its axis.
+
+    The rows are data of the plan, not literals in its expressions, so every round runs the same generated code."""
+    values = ", ".join("(" + ", ".join(f"{v}L" for v in row) + ")" for row in rows)
+    nodes = points.sparkSession.sql(f"SELECT * FROM VALUES {values} AS n(node, axis, {columns})")
+    key = F.element_at(F.array(*DIMENSIONS), F.col("axis").cast("int") + 1) * F.lit(2**_TIE) + F.col("tie")
+    return points.join(F.broadcast(nodes), "node").withColumn("key", key)  # at most `shards` rows
+
+
+def _medians(points: DataFrame, nodes: dict[int, tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """For each node (axis, smallest and largest key, half its weight): node, axis, and the key up to which rows go left.
 
     A round counts weights in BINS bins of each node's range and narrows the range to the keys of the bin that holds the
     median, until that is one key or weighs too little to matter. Two or three rounds do.
     """
-    cut, state = {}, {n: (lo, hi, 0, half) for n, (lo, hi, half) in nodes.items()}
+    cut, state = [], {n: (axis, lo, hi, 0, half) for n, (axis, lo, hi, half) in nodes.items()}
     while state:
-        lo = F.create_map(*[F.lit(x) for n, (a, *_) in state.items() for x in (n, a)])[F.col("node")].cast("long")
-        hi = F.create_map(*[F.lit(x) for n, (_, b, *_) in state.items() for x in (n, b)])[F.col("node")].cast("long")
+        held = _at_nodes(points, "lo, hi", [(n, axis, lo, hi) for n, (axis, lo, hi, *_) in state.items()])
         step = F.floor((F.col("hi") - F.col("lo")) / BINS) + 1
-        keyed = points.filter(F.col("node").isin(*state)).select("node", "w", key.alias("key"), lo.alias("lo"), hi.alias("hi"))
-        binned = keyed.filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).withColumn("bin", (F.col("key") - F.col("lo")) / step)
-        rows = binned.groupBy("node", F.floor("bin").alias("bin")).agg(F.sum("w").alias("w"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # at most nodes * BINS
-        for n, (_, b, below, half) in list(state.items()):
+        binned = held.filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).withColumn("bin", F.floor((F.col("key") - F.col("lo")) / step))
+        rows = binned.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # at most nodes * BINS
+        for n, (axis, _, hi, below, half) in list(state.items()):
             seen = below
             for r in sorted((r for r in rows if r.node == n), key=lambda r: r.low):
                 if seen + r.w >= half:
                     if r.low == r.high or r.w <= 0.0005 * half:
-                        cut[n] = r.high if seen + r.w - half <= half - seen else r.low - 1
+                        cut.append((n, axis, r.high if seen + r.w - half <= half - seen else r.low - 1))
                         del state[n]
                     else:
-                        state[n] = (r.low, r.high, seen, half)
+                        state[n] = (axis, r.low, r.high, seen, half)
                     break
                 seen += r.w
             else:
-                cut[n] = b
+                cut.append((n, axis, hi))
                 del state[n]
     return cut
 
@@ -86,21 +94,18 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         "kd_rows",
     )
     dealt, points = _points(rows, shards)
-    points = materialize(points.withColumn("node", F.lit(0)), "kd_points")
+    points = materialize(points.withColumn("node", F.lit(0).cast("long")), "kd_points")
+    ends = [f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)]
     for _ in range(shards.bit_length() - 1):
-        spread = points.groupBy("node").agg(F.sum("w").alias("w"), *(F.min(d).alias(f"lo_{d}") for d in DIMENSIONS), *(F.max(d).alias(f"hi_{d}") for d in DIMENSIONS)).collect()
-        widest, nodes = {}, {}
-        for r in spread:
-            d = max(DIMENSIONS, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"])
-            widest[r.node] = d
-            nodes[r.node] = (r[f"lo_{d}"] << _TIE, ((r[f"hi_{d}"] + 1) << _TIE) - 1, r.w / 2)
+        nodes = {}
+        for r in points.groupBy("node").agg(F.sum("w").alias("w"), *ends).collect():
+            axis = max(range(len(DIMENSIONS)), key=lambda a: r[f"max_{DIMENSIONS[a]}"] - r[f"min_{DIMENSIONS[a]}"])
+            d = DIMENSIONS[axis]
+            nodes[r.node] = (axis, r[f"min_{d}"] << _TIE, ((r[f"max_{d}"] + 1) << _TIE) - 1, r.w / 2)
         if not nodes:
             break
-        along = F.create_map(*[F.lit(x) for n, d in widest.items() for x in (n, DIMENSIONS.index(d))])[F.col("node")]
-        key = F.element_at(F.array(*DIMENSIONS), along + 1) * F.lit(2**_TIE) + F.col("tie")
-        cuts = _medians(points, key, nodes)
-        cut = F.create_map(*[F.lit(x) for n, c in cuts.items() for x in (n, c)])[F.col("node")].cast("long")
-        points = points.withColumn("node", F.col("node") * 2 + F.when(key > cut, 1).otherwise(0))
+        split = _at_nodes(points, "cut", _medians(points, nodes))
+        points = materialize(split.withColumn("node", F.col("node") * 2 + (F.col("key") > F.col("cut")).cast("long")).select(*points.columns), "kd_points")
     placed = dealt.join(points.select("g", "part", F.col("node").alias("shard")), ["g", "part"]).withColumn("spread", F.pmod(F.xxhash64("doc_id", "g"), F.lit(64)))
     slots = gapless(placed, ["shard"], "spread", [F.col("doc_id"), F.col("g"), F.col("row_tie")], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
