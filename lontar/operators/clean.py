@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.config import CleanConfig, Lexicon
@@ -22,7 +22,7 @@ def clean_tokens(text: Column, config: CleanConfig, lexicon: Lexicon = INDONESIA
     t = X.no_emoji(X.no_hash_signs(X.no_mentions(X.no_emails(X.no_urls(t)))))
     if config.case_folding:
         t = F.lower(t)
-    t = X.squeeze_letters(X.latin_only(t, not config.remove_punctuation), lexicon.roots if config.stemming or lexicon.roots else frozenset())
+    t = X.squeeze_letters(X.latin_only(t, not config.remove_punctuation), lexicon.roots)
     t = X.one_space(t)
     if config.fix_typos:
         t = F.array_join(X.map_tokens(X.tokens(X.replace_phrases(t, lexicon.typos)), {k: v for k, v in lexicon.typos.items() if " " not in k}), " ")
@@ -99,6 +99,3 @@ def cleaning_report(df: DataFrame, config: CleanConfig, original: str = "text",
     steps = F.array(*map(F.lit, applied_steps(config)))
     return df.withColumn("report", F.struct(*statistics(F.col(original), F.col(cleaned)), F.col(original).alias("original_text"), F.col(cleaned).alias("cleaned_text"), steps.alias("steps_applied")))
 
-
-def word_order(words: str, keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(words)
