@@ -17,6 +17,7 @@ from lontar.functions.text import tokens as split_tokens
 from lontar.lexicons import INDONESIAN, TOPIC_LABEL_STOPWORDS
 from lontar.operators import quality
 from lontar.operators.clean import clean, filter_rare_tokens
+from lontar.tables import materialize
 
 
 def label_tokens(text: Column, stopwords=TOPIC_LABEL_STOPWORDS) -> Column:
@@ -259,29 +260,31 @@ def summary(topics: DataFrame) -> DataFrame:
     return row.select("num_topics", F.when(F.col("num_topics") == 0, "Tidak ada topik yang ditemukan.").otherwise(text).alias("summary"))
 
 
-def analyze(docs: DataFrame, user: dict | None = None, num_topics: int = 5, text: str = "text", key: str = "doc_idx", lexicon: Lexicon = INDONESIAN, config: TopicConfig = TopicConfig(), method: str = "kmeans", stopwords=TOPIC_LABEL_STOPWORDS) -> dict:
+def analyze(docs: DataFrame, user: dict | None = None, num_topics: int = 5, text: str = "text", key: str = "doc_idx", lexicon: Lexicon = INDONESIAN, config: TopicConfig = TopicConfig(), method: str = "kmeans", stopwords=TOPIC_LABEL_STOPWORDS, iterations: int = 20) -> dict:
     """Cleans with the bag-of-words profile, filters rare tokens, drops blank documents, and models the rest; documents that
     were not modelled get -1. Under three documents, or when LDA finds too few words, topics come from word frequencies."""
     cleaned = clean(docs.select(key, text), CleanConfig.for_task("bag_of_words", user), text, (key,), lexicon)
-    tokens = filter_rare_tokens(cleaned.select(key, split_tokens(F.col("processed_text")).alias("tokens")), "tokens", [key], config.min_token_freq).persist()
+    tokens = filter_rare_tokens(cleaned.select(key, split_tokens(F.col("processed_text")).alias("tokens")), "tokens", [key], config.min_token_freq)
+    tokens = materialize(tokens, "topic_tokens")  # each later step would plan the cleaning anew
     kept = tokens.filter(F.size("tokens") > 0)
     n = kept.count()
     if n < 3:
         topics, assigned = frequency_topics(kept, "tokens", key, stopwords)
     elif method == "lda":
         try:
-            topics, assigned = lda_topics(kept, "tokens", key, num_topics, config)
+            topics, assigned = lda_topics(kept, "tokens", key, num_topics, config, iterations)
         except ValueError:
             topics, assigned = frequency_topics(kept, "tokens", key, stopwords)
     else:
         vectors = features(kept, seed=config.seed).persist()
-        assigned = cluster(vectors, kmeans_k(num_topics, n), key, config.seed, method == "bisecting").persist()
+        assigned = materialize(cluster(vectors, kmeans_k(num_topics, n), key, config.seed, method == "bisecting"), "topic_clusters")
         if degenerate(assigned, config).first().degenerate and method != "bisecting":
-            again = cluster(vectors, kmeans_k(num_topics, n), key, config.seed, True).persist()
+            again = materialize(cluster(vectors, kmeans_k(num_topics, n), key, config.seed, True), "topic_clusters")
             if not degenerate(again, config).first().degenerate:
                 assigned, method = again, "bisecting"
-        pulled = pull_outliers(kept, assigned, "tokens", key, config)
-        labels = top_terms(class_tfidf(kept, pulled.filter("topic_id != -1"), "tokens", key), config.top_words)
+        pulled = materialize(pull_outliers(kept, assigned, "tokens", key, config), "topic_pulled")
+        labels = materialize(top_terms(class_tfidf(kept, pulled.filter("topic_id != -1"), "tokens", key), config.top_words), "topic_labels")
         topics, assigned = renumber(labels.withColumn("method", F.lit(method)), pulled, key)
+    topics, assigned = materialize(topics, "topics"), materialize(assigned, "topic_documents")
     aligned = docs.select(key).join(assigned, key, "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
     return {"topics": topics, "document_topics": aligned, "word_frequencies": word_frequencies(kept, "tokens", key, stopwords=stopwords), "quality": quality.evaluate(topics, kept, aligned), "summary": summary(topics)}
