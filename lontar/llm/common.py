@@ -1,13 +1,14 @@
-"""What the training-data operators share: word rules, tables in the shared folder, ranks without gaps."""
+"""What the training-data operators share: word rules, ranks without gaps, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lontar.tables import materialize, shared_folder
+
+__all__ = ["gapless", "lower_ascii", "materialize", "read", "shared_folder", "shuffle_partitions", "words"]
+
 #: A word is a run of anything but the six ASCII white-space characters; `bytes.split()` splits at the same six.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,32 +32,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share. Only a local master, as in tests, gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = chosen.get() if chosen.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="lontar-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again.
-
-    This cuts the lineage, survives lost executors, fixes what depended on the physical partition, and lets later steps
-    read single columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def gapless(df: DataFrame, groups: list[str], salt: str, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: ranks 0, 1, 2, ... in each group (order: salt, then `order`), with no task that holds a whole group.
 
