@@ -32,8 +32,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; rows equal in id and text stay once."""
-    kept = representatives(simhash_dedup(docs)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    """One document of each component stays, that with the smallest doc_id; rows equal in id and text stay once.
+
+    Links are op10's (four-word SimHash, at most 4 bits) and pairs of five-word Jaccard similarity 0.8 or more."""
+    kept = representatives(simhash_dedup(docs, similar=True)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     named = docs.withColumn("_hash", F.xxhash64("text"))
     stays = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi")
     return stays.dropDuplicates(["doc_id", "_hash"]).drop("_hash")

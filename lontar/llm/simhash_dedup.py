@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lontar.llm.common import materialize, read, shuffle_partitions
+from lontar.llm.shingle_links import similar_links
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
 #: Distinct fingerprints that one leaf holds at most, as far as 64 bits can tell them apart.
@@ -268,17 +269,22 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, leaf: int = LEAF, similar: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (hex), component_id, component (its least fingerprint), text_hash.
 
     Null and empty texts have fingerprint zero and link like any other. component_id is the smallest doc_id reachable; null
     ids don't count for it, and it is null where a component has no other. Repeated rows are in one component. Other
     columns are left out; an empty table gives no row. Distinct fingerprints alone are joined, so copies cost nothing.
+    With `similar`, texts whose five-word shingles have Jaccard similarity 0.8 or more are linked too.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     rows = materialize(named.select("doc_id", F.arrow_udf(_fingerprints, "long")("_text").alias("fp"), F.xxhash64("_text").alias("text_hash")), "simhash_rows")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "simhash_prints")
-    roots = materialize(components(fingerprint_links(prints, budget, leaf)), "simhash_roots")
+    links = fingerprint_links(prints, budget, leaf)
+    if similar:
+        prints_of = rows.select(F.col("text_hash").alias("id"), "fp").distinct()
+        links = similar_links(named.select(F.xxhash64("_text").alias("id"), "_text"), prints_of, materialize(links, "simhash_links"), components)
+    roots = materialize(components(links), "simhash_roots")
     whole = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     reach = whole.groupBy("root").agg(F.min("smallest").alias("component_id"))
     found = materialize(whole.select("fp", "root").join(reach, "root").select("fp", "root", "component_id"), "simhash_components")
