@@ -1,7 +1,8 @@
 """Sharding by a k-d tree: leaves are split at weighted medians along their widest metadata dimension.
 
-Points are groups of equal texts, weighted by bytes, so copies share a shard. A group heavier than GROUP_SHARE of a shard
-is dealt over SALTS points, else one group could fill several shards. Each level finds all nodes' medians at once: a
+Points are groups of equal texts, weighted by bytes, so copies share a shard. Groups of copies heavier than GROUP_SHARE of
+a shard would upset the medians, so they are placed first, whole where a shard has room within TOLERANCE, else in as few
+equal parts as fit; the tree's cuts then aim at the room that is left in the shards of each side. Each level finds all nodes' medians at once: a
 histogram of weights over the sort key is narrowed around the median, and only bins (bounded) reach the driver.
 """
 
@@ -13,30 +14,55 @@ from pyspark.sql import functions as F
 from lontar.llm.common import gapless, materialize, read
 
 SHARDS = 16
-#: Bins of one histogram round, and the share of a shard from which a group of equal texts is dealt out.
-BINS, GROUP_SHARE, SALTS = 1024, 0.02, 1024
+#: Bins of one histogram round, and the share of a shard from which a group of copies is placed before the tree.
+BINS, GROUP_SHARE = 1024, 0.02
+#: What a shard may hold over the mean, and the salts that rank the rows of a group that is split.
+TOLERANCE, SALTS = 0.08, 1024
 #: Sort keys are below 2**55: 24 bits of the dimension, 31 bits of a hash that breaks ties.
 _TIE = 31
 
 DIMENSIONS = ("d_size", "d_letters", "d_source")
 
 
-def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their point (group, salt), and points with weight and dimensions scaled to 0 .. 2**24 - 1."""
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("size").alias("one"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    heavy = groups.filter(F.col("bytes") > max(1, GROUP_SHARE * total / shards)).select("g").withColumn("heavy", F.lit(True))
-    dealt = rows.join(heavy, "g", "left").withColumn("part", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id", "row_tie"), F.lit(SALTS))).otherwise(F.lit(0)))
+def place(groups: list[tuple[str, int, int]], mean: float, shards: int) -> tuple[list[tuple[str, int, int, int]], list[float]]:
+    """For groups (name, rows, bytes): (name, parts, part, shard), and the bytes that each shard got. Largest first, each
+    part to the emptiest shard, in the least number of parts that all fit; a group that never fits in as many parts as
+    there are shards is dealt over all of them."""
+    placed, held = [], [0.0] * shards
+    for name, n, size in sorted(groups, key=lambda x: (-x[2], x[0])):
+        for parts in range(1, min(n, shards) + 1):
+            emptiest = sorted(range(shards), key=lambda k: (held[k], k))[:parts]
+            weights = [(n // parts + (i < n % parts)) * (size / n) for i in range(parts)]
+            if parts == min(n, shards) or all(held[k] + w <= (1 + TOLERANCE) * mean for k, w in zip(emptiest, weights, strict=True)):
+                break
+        for i, (k, w) in enumerate(zip(emptiest, weights, strict=True)):
+            placed.append((name, parts, i, k))
+            held[k] += w
+    return placed, held
+
+
+def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Documents with the shard of their group's part where it is placed already, points (other groups) with weight and
+    dimensions scaled to 0 .. 2**24 - 1, and the room left in each shard."""
+    groups = rows.groupBy("g").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("size").alias("one"))
+    mean = (groups.agg(F.sum("w")).first()[0] or 0) / shards
+    heavy = groups.filter((F.col("n") > 1) & (F.col("w") > max(1, GROUP_SHARE * mean)))
+    placed, held = place([(r.g, r.n, r.w) for r in heavy.select("g", "n", "w").collect()], mean, shards)  # at most shards / GROUP_SHARE
+    parts = rows.sparkSession.createDataFrame(placed, "g string, parts int, part int, placed int")
+    named = rows.join(F.broadcast(parts.filter("part = 0").select("g", "parts")), "g", "left")
+    whole = named.filter("parts is null or parts = 1").withColumn("part", F.lit(0))
+    split = named.filter("parts > 1").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "row_tie"), F.lit(SALTS)))
+    split = gapless(split, ["g"], "_salt", [F.col("doc_id"), F.col("row_tie")], "_rank").withColumn("part", (F.col("_rank") % F.col("parts")).cast("int"))
+    dealt = whole.unionByName(split.drop("_salt", "_rank")).join(F.broadcast(parts.drop("parts")), ["g", "part"], "left").drop("part", "parts")
     scale = lambda c: F.least(F.lit(2**24 - 1), F.greatest(F.lit(0), c)).cast("long")
-    points = dealt.groupBy("g", "part").agg(F.sum("size").alias("w")).join(groups, "g")
-    points = points.select(
-        "g", "part", "w",
+    points = groups.join(F.broadcast(parts), "g", "left_anti").select(
+        "g", "w",
         scale(F.log2(F.col("one").cast("double")) * F.lit(2**24 / 40)).alias("d_size"),
         scale(F.pmod(F.xxhash64("lang"), F.lit(2**24))).alias("d_letters"),
         scale(F.pmod(F.xxhash64("source"), F.lit(2**24))).alias("d_source"),
-        F.pmod(F.xxhash64("g", "part"), F.lit(2**_TIE)).alias("tie"),
+        F.pmod(F.xxhash64("g"), F.lit(2**_TIE)).alias("tie"),
     )
-    return dealt.drop("heavy"), points
+    return dealt, points, [max(0.0, mean - h) for h in held]
 
 
 def _at_nodes(points: DataFrame, columns: str, rows: list[tuple]) -> DataFrame:
@@ -50,7 +76,7 @@ def _at_nodes(points: DataFrame, columns: str, rows: list[tuple]) -> DataFrame:
 
 
 def _medians(points: DataFrame, nodes: dict[int, tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
-    """For each node (axis, smallest and largest key, half its weight): node, axis, and the key up to which rows go left.
+    """For each node (axis, smallest and largest key, the weight its left side should get): node, axis, and the key up to which rows go left.
 
     A round counts weights in BINS bins of each node's range and narrows the range to the keys of the bin that holds the
     median, until that is one key or weighs too little to matter. Two or three rounds do.
@@ -78,11 +104,16 @@ def _medians(points: DataFrame, nodes: dict[int, tuple[int, int, int, float]]) -
     return cut
 
 
+def _left_share(room: list[float]) -> float:
+    left, total = sum(room[: len(room) // 2]), sum(room)
+    return left / total if total else 0.5
+
+
 def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", shards: int = SHARDS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     shards is a power of two. Size is the text's UTF-8 bytes plus 1; null text counts as empty, null lang and source are
-    values like any others. Equal texts share a shard unless all together weigh over GROUP_SHARE of one. Rows equal in id
+    values like any others. Equal texts share a shard unless no shard has room for all of them within TOLERANCE of the mean. Rows equal in id
     and text may swap slots. Other columns are left out; an empty table gives no row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -93,20 +124,23 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         ).withColumn("row_tie", F.xxhash64("lang", "source")),
         "kd_rows",
     )
-    dealt, points = _points(rows, shards)
+    dealt, points, room = _points(rows, shards)
     points = materialize(points.withColumn("node", F.lit(0).cast("long")), "kd_points")
     ends = [f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)]
-    for _ in range(shards.bit_length() - 1):
+    span = shards
+    while span > 1:
         nodes = {}
         for r in points.groupBy("node").agg(F.sum("w").alias("w"), *ends).collect():
             axis = max(range(len(DIMENSIONS)), key=lambda a: r[f"max_{DIMENSIONS[a]}"] - r[f"min_{DIMENSIONS[a]}"])
             d = DIMENSIONS[axis]
-            nodes[r.node] = (axis, r[f"min_{d}"] << _TIE, ((r[f"max_{d}"] + 1) << _TIE) - 1, r.w / 2)
+            nodes[r.node] = (axis, r[f"min_{d}"] << _TIE, ((r[f"max_{d}"] + 1) << _TIE) - 1, r.w * _left_share(room[r.node * span : (r.node + 1) * span]))
+        span //= 2
         if not nodes:
             break
         split = _at_nodes(points, "cut", _medians(points, nodes))
         points = materialize(split.withColumn("node", F.col("node") * 2 + (F.col("key") > F.col("cut")).cast("long")).select(*points.columns), "kd_points")
-    placed = dealt.join(points.select("g", "part", F.col("node").alias("shard")), ["g", "part"]).withColumn("spread", F.pmod(F.xxhash64("doc_id", "g"), F.lit(64)))
+    found = dealt.join(points.select("g", "node"), "g", "left")
+    placed = found.withColumn("shard", F.coalesce("placed", "node")).drop("placed", "node").withColumn("spread", F.pmod(F.xxhash64("doc_id", "g"), F.lit(64)))
     slots = gapless(placed, ["shard"], "spread", [F.col("doc_id"), F.col("g"), F.col("row_tie")], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

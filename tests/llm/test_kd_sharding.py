@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
-from lontar.llm.kd_sharding import SHARDS, kd_shards, op5_kd_sharding
+from lontar.llm.kd_sharding import SHARDS, kd_shards, op5_kd_sharding, place
 from tests.llm.cases import awkward, frame, table
 
 
@@ -39,3 +39,22 @@ def test_empty(spark):
 
 def test_table(spark, tables):
     check(op5_kd_sharding(spark, tables).collect(), [(r["doc_id"], r["text"]) for r in table(tables, "documents")], 0.25)
+
+
+def test_copies_that_fit_a_shard_stay_together_on_the_tables(spark):
+    for sf, near in (("sf0.001", 0.25), ("sf0.01", 0.08)):
+        rows = table(f"/root/testdata/{sf}", "documents")
+        found = op5_kd_sharding(spark, f"/root/testdata/{sf}").collect()
+        check(found, [(r["doc_id"], r["text"]) for r in rows], near)
+        at, total = {r.doc_id: r.shard for r in found}, sum(r["size"] for r in found)
+        groups = defaultdict(list)
+        for r in rows:
+            groups[r["text"] or ""].append(r["doc_id"])
+        small = [g for t, g in groups.items() if len(g) * (len(t.encode()) + 1) <= total / SHARDS]
+        assert len(small) == len(groups) and all(len({at[i] for i in g}) == 1 for g in small)
+
+
+def test_parts_are_as_few_as_fit():
+    placed, held = place([("a", 250, 250), ("b", 90, 90), ("c", 20, 20)], 100, 4)
+    parts = {n: p for n, p, _, _ in placed}
+    assert parts == {"a": 3, "b": 1, "c": 1} and max(held) <= 108 and round(sum(held)) == 360
