@@ -28,7 +28,7 @@ def _repeat_positions() -> str:
     low = (1 << _POS) - 1
     key = f"shiftrightunsigned(s[j], {_POS})"
     return f"""
-    CASE WHEN n_words < 6 THEN array()
+    CASE WHEN n_words < 4 THEN array()
     WHEN n_words > {low} OR exists(sequence(1, size(s) - 1), j -> {key} = shiftrightunsigned(s[j - 1], {_POS}) AND NOT (
         w[cast(s[j] & {low} AS int)] = w[cast(s[j - 1] & {low} AS int)]
         AND w[cast(s[j] & {low} AS int) + 1] = w[cast(s[j - 1] & {low} AS int) + 1]
@@ -43,7 +43,7 @@ def _repeat_positions() -> str:
 def with_metrics(df: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to a frame that has `_text`."""
     text = F.coalesce("_text", F.lit(""))
-    spread = F.expr(f"""CASE WHEN n_words < 6 OR n_words > {(1 << _POS) - 1} THEN array() ELSE
+    spread = F.expr(f"""CASE WHEN n_words < 4 OR n_words > {(1 << _POS) - 1} THEN array() ELSE
         sort_array(transform(sequence(0, n_words - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), {_POS}) | cast(i AS bigint))) END""")
     lines = F.expr("filter(split(coalesce(_text, ''), '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
     return (

@@ -52,3 +52,9 @@ def test_order_never_changes_the_verdict(spark, tables):
     chosen, names = rules(), list(rules())
     both = with_metrics(docs).select(cascade(chosen, names).isNull().alias("a"), cascade(chosen, names[::-1]).isNull().alias("b"))
     assert both.filter("a != b").count() == 0
+
+
+def test_overlapping_windows_of_short_texts(spark):
+    texts = ["a a a a", "a b a b a", "a a a a a", "a b c a b", "a b c d", "a a a"]
+    found = check(spark, frame(spark, [(i, t, None, None, 0, None, None, None, None) for i, t in enumerate(texts)]), list(enumerate(texts)))
+    assert {r.text: r.n_repeat_words for r in found} == dict(zip(texts, [4, 5, 5, 0, 0, 0], strict=True))
