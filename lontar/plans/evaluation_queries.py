@@ -197,10 +197,10 @@ def rate_limiter(spark, sf_dir):
     return made.groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if(F.col("allowed")).alias("allowed"))
 
 
-@query()
+@query("SELECT source AS corpus_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS doc_idx, CASE WHEN length(trim(coalesce(text, ''))) > 10000 THEN 'too_long' ELSE '' END AS problem FROM documents")
 def document_numbers(spark, sf_dir):
-    """Ingest: blank texts stay, and doc_idx counts within each corpus."""
-    from lontar.sources.readers import number_documents, validate_corpus
+    """Ingest: blank and overlong texts stay, doc_idx counts within each corpus, and problem names texts over the limit."""
+    from lontar.sources.readers import number_documents, text_problem
 
-    held = docs(spark, sf_dir).filter(F.char_length("text") <= 10_000).select(F.col("source").alias("corpus_id"), "doc_idx", "text").withColumnRenamed("doc_idx", "doc_id")
-    return number_documents(validate_corpus(held), "doc_id").select("corpus_id", "doc_id", "doc_idx")
+    held = docs(spark, sf_dir).select(F.col("source").alias("corpus_id"), F.col("doc_idx").alias("doc_id"), text_problem(F.col("text")).alias("problem"))
+    return number_documents(held, "doc_id").select("corpus_id", "doc_id", "doc_idx", "problem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,11 @@ def validate_corpus(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.when(F.char_length(trimmed) > MAX_CHARS, F.raise_error(F.lit(f"a text has over {MAX_CHARS} characters"))).otherwise(trimmed))
 
 
+def text_problem(text: Column) -> Column:
+    """too_long where validate_corpus would raise, else empty; null is blank."""
+    return F.when(F.char_length(F.trim(F.coalesce(text, F.lit("")))) > MAX_CHARS, "too_long").otherwise("")
+
+
 def corpus_problems(df: DataFrame, corpus: str = "corpus_id", text: str = "text") -> DataFrame:
     """Corpora that no request could hold: too many texts, or none but blank ones."""
     by = df.groupBy(corpus).agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce(text, F.lit(""))) != "").alias("filled"))

@@ -26,3 +26,12 @@ def test_query_gives_the_rows_of_its_sql(spark, tables, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_document_numbers_covers_whole_tables(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    got = registry.queries()["document_numbers"](spark, f"/root/testdata/{sf}").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle_sql()["document_numbers"]).fetchall())
+    assert len(got) == con.execute("SELECT count(*) FROM documents").fetchall()[0][0] and (sf == "sf0.001" or sum(r.problem == "too_long" for r in got) == 30)
