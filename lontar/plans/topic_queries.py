@@ -137,7 +137,7 @@ def renumbered_topics(spark, sf_dir):
 @query()
 def lda_topics(spark, sf_dir):
     """K3: another sampler than the reference's, so rows only."""
-    topics, _ = K.lda_topics(_tokens(spark, sf_dir, _STOP), iterations=5)
+    topics, _ = K.lda_topics(_tokens(spark, sf_dir, _STOP))
     return topics.select("topic_id", "words", "size", "proportion")
 
 

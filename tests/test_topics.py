@@ -163,3 +163,13 @@ def test_analyze(spark):
     assert {len({doc_topics[i] for i in range(k, 60, 3)}) for k in range(3)} <= {1, 2}
     few = K.analyze(spark.createDataFrame([(0, "pajak uang"), (1, "")], "doc_idx long, text string"))
     assert few["topics"].first().method == "frequency-based" and few["document_topics"].filter("doc_idx = 1").first().topic_id == -1
+
+
+def test_registered_lda_runs_all_iterations(spark, tables, monkeypatch):
+    from lontar.plans import topic_queries
+
+    seen = []
+    monkeypatch.setattr(topic_queries.K, "LDA", lambda **kw: seen.append(kw["maxIter"]) or (_ for _ in ()).throw(RuntimeError("seen")))
+    with pytest.raises(RuntimeError, match="seen"):
+        topic_queries.lda_topics(spark, tables)
+    assert seen == [20]
