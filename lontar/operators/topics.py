@@ -7,9 +7,10 @@ from math import sqrt
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, Word2Vec
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lontar.config import CleanConfig, Lexicon, TopicConfig
@@ -19,6 +20,9 @@ from lontar.operators import quality
 from lontar.operators.clean import clean, filter_rare_tokens
 from lontar.tables import materialize
 
+#: Hash values of terms, and columns that their fixed random projection leaves for PCA.
+TERMS, COLUMNS = 1 << 20, 2000
+
 
 def label_tokens(text: Column, stopwords=TOPIC_LABEL_STOPWORDS) -> Column:
     """Words of two or more a-z letters that may label a topic."""
@@ -78,12 +82,32 @@ def features(docs: DataFrame, words: str = "tokens", method: str = "pca", size:
     if method == "word2vec":
         made = Word2Vec(inputCol=words, outputCol="_raw", vectorSize=size, minCount=1, seed=seed).fit(docs).transform(docs)
     else:
-        counted, vocabulary = count_vectors(docs, words, vocabulary=2000)
-        weighed = IDF(inputCol="counts", outputCol="_tfidf").fit(counted).transform(counted)
-        made = PCA(k=min(size, len(vocabulary)), inputCol="_tfidf", outputCol="_raw").fit(weighed).transform(weighed)
+        counted = HashingTF(numFeatures=TERMS, inputCol=words, outputCol="counts").transform(docs)
+        weighed = counted.withColumn("_tfidf", _projected(IDF(inputCol="counts", outputCol="_").fit(counted), seed)("counts"))
+        made = PCA(k=min(size, COLUMNS), inputCol="_tfidf", outputCol="_raw").fit(weighed).transform(weighed)
     return Normalizer(inputCol="_raw", outputCol="features").transform(made).drop("_raw", "_tfidf", "counts")
 
 
+def _projected(idf, seed: int):
+    """TF-IDF of hashed terms under count_vectors' rules for rare and frequent ones, by a fixed sparse random projection:
+    each term adds to one of COLUMNS with a random sign."""
+    df, n = np.asarray(idf.docFreq), idf.numDocs
+    weight = np.asarray(idf.idf) * ((df >= 2) & (df <= 0.85 * n) if n >= 50 else 1)
+    rng = np.random.default_rng(seed)
+    column, weight = rng.integers(0, COLUMNS, TERMS).astype(np.int32), weight * rng.choice([-1.0, 1.0], TERMS)
+    sent = SparkSession.getActiveSession().sparkContext.broadcast((column, weight))
+
+    @F.udf(VectorUDT())
+    def project(counts):
+        column, weight = sent.value
+        at = counts.indices
+        total = np.bincount(column[at], counts.values * weight[at], COLUMNS)
+        held = np.flatnonzero(total)
+        return Vectors.sparse(COLUMNS, held, total[held])
+
+    return project
+
+
 def kmeans_k(requested: int, n: int) -> int:
     return max(2, min(20, requested or int(sqrt(n / 2)), n // 2))
 

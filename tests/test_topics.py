@@ -173,3 +173,10 @@ def test_registered_lda_runs_all_iterations(spark, tables, monkeypatch):
     with pytest.raises(RuntimeError, match="seen"):
         topic_queries.lda_topics(spark, tables)
     assert seen == [20]
+
+
+def test_words_beyond_the_most_frequent_count_for_clusters(spark):
+    # 2,100 words of three documents each come before those of two, which the last documents are made of
+    rows = [(i, [f"a{(i * 35 + k) % 2100}" for k in range(105)]) for i in range(60)] + [(60 + i, [f"rare{i // 2}x{k}" for k in range(4)]) for i in range(10)]
+    found = K.features(spark.createDataFrame(rows, "doc_idx long, tokens array<string>"), size=70).collect()
+    assert all(r.features.norm(2) > 0.5 for r in found if r.doc_idx >= 60)
