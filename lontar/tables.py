@@ -32,3 +32,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote, once nothing that is still to run reads them. Others are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = shared_folder(spark)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"{folder.split(':', 1)[-1].lstrip('/')}/" in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
