@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lontar.tables import materialize, shared_folder
+from lontar.tables import materialize, remove, shared_folder
 
-__all__ = ["gapless", "lower_ascii", "materialize", "read", "shared_folder", "shuffle_partitions", "words"]
+__all__ = ["gapless", "lower_ascii", "materialize", "read", "remove", "salts_for", "shared_folder", "shuffle_partitions", "words"]
 
 #: A word is a run of anything but the six ASCII white-space characters; `bytes.split()` splits at the same six.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -32,6 +32,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def salts_for(largest: int, rows: int = 200_000) -> int:
+    """How many salts cut a group of that size into parts of about `rows`; 64 at least."""
+    return max(64, -(-largest // rows))
+
+
 def gapless(df: DataFrame, groups: list[str], salt: str, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: ranks 0, 1, 2, ... in each group (order: salt, then `order`), with no task that holds a whole group.
 
