@@ -1,10 +1,12 @@
 """SimHash near-dedup by a binary trie self-join.
 
-Distinct fingerprints are cut into trie leaves small enough for a task; pairs of leaves whose prefixes differ in few enough
-bits are joined, each by walking both subtries together, level by level, adding up differing bits and leaving a node pair
-as soon as the budget is exceeded. A node pair whose fingerprints are all linked already is left too, so that dense groups
-cost no pair by pair work, and a task returns a forest of its links. Components of the forests are found by alternating
-star operations.
+Distinct fingerprints are joined by walking a trie's nodes in pairs, level by level, adding up differing bits and leaving a
+node pair as soon as the budget is exceeded. To deal the walk over tasks, the 64 bits are cut into budget + 1 blocks: two
+fingerprints within the budget are equal in one block at least. So there is a trie for each block, with that block's bits
+first and no difference allowed in them; its subtrees are walked apart, each fingerprint goes to one subtree of each trie,
+and what is shuffled grows with the fingerprints alone. A node pair whose fingerprints are all linked already is left too, so
+that dense groups cost no pair by pair work, and a task returns a forest of its links. Components of the forests are found
+by alternating star operations.
 """
 
 from __future__ import annotations
@@ -16,18 +18,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lontar.llm.common import materialize, read, shuffle_partitions
+from lontar.llm.common import materialize, read, remove, shuffle_partitions
 from lontar.llm.shingle_links import similar_links
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
-#: Distinct fingerprints that one leaf holds at most, as far as 64 bits can tell them apart.
-LEAF = 32_768
-#: Fingerprints are dealt to pairs of leaves in blocks of about so many.
+#: Up to so many distinct fingerprints are one trie. More are cut into subtrees (leaves) of at most LEAF, as far as 64 bits can
+#: tell them apart.
+WHOLE, LEAF = 4096, 65_536
+#: Links that are dealt to a number of tasks that follows their number.
+FEW = 2_000_000
+#: Fingerprints are dealt to leaves in blocks of about so many.
 BLOCK = 16_384
 #: Bits of the trie counted at a time when leaves are cut; the driver sees at most 2**STEP counts for each heavy node.
 STEP = 10
 
 
+def blocks(budget: int) -> list[tuple[int, int]]:
+    """(bits before, width) of the budget + 1 blocks of 64 bits."""
+    ends = [64 * k // (budget + 1) for k in range(budget + 2)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def turned(prints: np.ndarray, by: int) -> np.ndarray:
+    """Bits moved to the left, the first ones to the end; 64 - by moves them back."""
+    return prints if by % 64 == 0 else (prints << np.uint64(by)) | (prints >> np.uint64(64 - by))
+
+
 def fingerprint(text: str | None) -> bytes:
     """Big-endian fingerprint: bits set in over half of the hashes of the shingles. No words: zero."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -100,10 +116,10 @@ class Links:
             self.label, self.version = parent[self.label], self.version + 1
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET, chunk: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET, equal: int = 0, chunk: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links between two sorted leaves (right None: within one), as two arrays of fingerprints.
 
-    Both tries are walked from the root, whose nodes above a leaf's depth have one child.
+    Both tries are walked from the root, whose nodes above a leaf's depth have one child. The first `equal` bits may not differ.
     """
     same = right is None
     a, b = _Trie(left, 0), None
@@ -134,6 +150,8 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET,
             continue
         following = []
         for ca, cb, cost in ((a0, b0, 0), (a1, b1, 0), (a0, b1, 1), (a1, b0, 1)):
+            if cost and depth < equal:
+                continue
             i, j = ca[x], cb[y]
             fine = (i >= 0) & (j >= 0) & (rest >= cost)
             if same:
@@ -172,76 +190,94 @@ def cut_leaves(prints: DataFrame, leaf: int = LEAF) -> list[tuple[int, int]]:
     while heavy and depth < 64:
         step = min(STEP, 64 - depth)
         depth += step
-        inside = prints if depth == step else prints.filter(unsigned(depth - step).isin(heavy))
-        counts = {r.p: r.n for r in inside.groupBy(unsigned(depth).alias("p")).agg(F.count("*").alias("n")).collect()}
-        counts = {p & (2**64 - 1): n for p, n in counts.items()}
-        pending, heavy_next = [(h, depth - step) for h in heavy], []
+        inside = prints if depth == step else prints.filter(unsigned(depth - step).isin([h if h < 2**63 else h - 2**64 for h in heavy]))
+        level = {r.p & (2**64 - 1): r.n for r in inside.groupBy(unsigned(depth).alias("p")).agg(F.count("*").alias("n")).collect()}
+        nodes = [level]  # counts of the nodes at depth, depth - 1, ...
+        for _ in range(step):
+            above: dict[int, int] = {}
+            for p, n in nodes[-1].items():
+                above[p >> 1] = above.get(p >> 1, 0) + n
+            nodes.append(above)
+        pending, heavy = [(h, depth - step) for h in heavy], []
         while pending:
             prefix, bits = pending.pop()
-            lo, hi = prefix << (depth - bits), (prefix + 1) << (depth - bits)
-            n = sum(counts.get(p, 0) for p in range(lo, hi)) if hi - lo <= len(counts) else sum(c for p, c in counts.items() if lo <= p < hi)
-            if not n:
-                continue
-            if n <= leaf or bits == 64:
+            n = nodes[depth - bits].get(prefix, 0)
+            if n and (n <= leaf or bits == 64):
                 done.append((prefix, bits))
-            elif bits == depth:
-                heavy_next.append(prefix)
-            else:
+            elif n and bits == depth:
+                heavy.append(prefix)
+            elif n:
                 pending += [(2 * prefix, bits + 1), (2 * prefix + 1, bits + 1)]
-        heavy = heavy_next
     return sorted(done, key=lambda x: x[0] << (64 - x[1]))
 
 
-def leaf_pairs(leaves: list[tuple[int, int]], budget: int = BUDGET) -> list[tuple[int, int]]:
-    """Positions (i <= j) of leaves whose common prefix bits differ in at most `budget`."""
-    pairs = []
-    for i, (p, m) in enumerate(leaves):
-        for j in range(i, len(leaves)):
-            q, n = leaves[j]
-            k = min(m, n)
-            if ((p >> (m - k)) ^ (q >> (n - k))).bit_count() <= budget:
-                pairs.append((i, j))
-    return pairs
-
-
-def fingerprint_links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+def leaf_pairs(leaves: list[tuple[int, int]], budget: int = BUDGET, equal: int = 0) -> list[tuple[int, int]]:
+    """Positions (i <= j) of leaves whose common prefix bits differ in at most `budget`, and not in the first `equal`: found by
+    walking the trie above the leaves in pairs, too."""
+    at = {leaf: i for i, leaf in enumerate(leaves)}
+    inner = {(p >> k, m - k) for p, m in leaves for k in range(1, m + 1)}
+    below = lambda node: [c for c in ((2 * node[0], node[1] + 1), (2 * node[0] + 1, node[1] + 1)) if c in at or c in inner]
+    pairs, stack = [], [((0, 0), (0, 0), budget)] if leaves else []
+    while stack:
+        a, b, rest = stack.pop()
+        if a in at and b in at:
+            pairs.append((min(at[a], at[b]), max(at[a], at[b])))
+        elif a in at or b in at:  # the other one's further bits meet none
+            stack += [(a, x, rest) for x in below(b)] if a in at else [(x, b, rest) for x in below(a)]
+        else:
+            for x in below(a):
+                for y in below(b):
+                    cost = (x[0] ^ y[0]) & 1
+                    if (a != b or x <= y) and cost <= rest and not (cost and a[1] < equal):
+                        stack.append((x, y, rest - cost))
+    return sorted(pairs)
+
+
+def fingerprint_links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF, whole: int = WHOLE) -> DataFrame:
     """Links u, v between distinct fingerprints (column fp) of at most `budget` differing bits: a forest for each pair of
     leaves, so components are whole, and no more links than fingerprints dealt out."""
-    leaves = cut_leaves(prints, leaf)
-    pairs = leaf_pairs(leaves, budget)
-    lows = np.array([p << (64 - m) for p, m in leaves], np.uint64)
-    joins: list[list[tuple[int, int]]] = [[] for _ in leaves]
-    for unit, (i, j) in enumerate(pairs):
-        joins[i].append((unit, 0))
-        if j != i:
-            joins[j].append((unit, 1))
+    orders = [(0, 0)] if prints.limit(whole + 1).count() <= whole else blocks(budget)
+    lows, dealt_to, units = [], [], []  # of an order: first fingerprint of each leaf, and (unit, side) of each leaf; of all: their joins
+    for before, width in orders:
+        rotated = F.shiftleft("fp", before).bitwiseOR(F.shiftrightunsigned("fp", 64 - before)) if before else F.col("fp")
+        leaves = cut_leaves(prints.select(rotated.alias("fp")), leaf)
+        joins: list[list[tuple[int, int]]] = [[] for _ in leaves]
+        for i, j in leaf_pairs(leaves, budget, width):
+            joins[i].append((len(units), 0))
+            if j != i:
+                joins[j].append((len(units), 1))
+            units.append((before, width, i == j))
+        lows.append(np.array([p << (64 - m) for p, m in leaves], np.uint64))
+        dealt_to.append(joins)
 
     schema = pa.schema([("unit", pa.int32()), ("side", pa.int8()), ("fps", pa.binary())])
 
-    def dealt(leaf: int, blocks: list[np.ndarray]) -> pa.RecordBatch:
-        block = np.concatenate(blocks).tobytes()
-        units, sides = zip(*joins[leaf], strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(sides, pa.int8()), pa.array([block] * len(units), pa.binary())], schema=schema)
+    def dealt(order: int, leaf: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        block = np.concatenate(found).tobytes()
+        numbers, sides = zip(*dealt_to[order][leaf], strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(sides, pa.int8()), pa.array([block] * len(numbers), pa.binary())], schema=schema)
 
     def deal(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            at = np.searchsorted(lows, fps, "right") - 1
-            for k in np.unique(at).tolist():
-                held.setdefault(k, []).append(fps[at == k])
-                if sum(map(len, held[k])) >= BLOCK:
-                    yield dealt(k, held.pop(k))
-        for k, blocks in held.items():
-            yield dealt(k, blocks)
+            for order, (before, _) in enumerate(orders):
+                moved = turned(fps, before)
+                at = np.searchsorted(lows[order], moved, "right") - 1
+                for k in np.unique(at).tolist():
+                    held.setdefault((order, k), []).append(moved[at == k])
+                    if sum(map(len, held[order, k])) >= BLOCK:
+                        yield dealt(order, k, held.pop((order, k)))
+        for (order, k), found in held.items():
+            yield dealt(order, k, found)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pairs[int(pdf.unit.iloc[0])]
+        before, width, within = units[int(pdf.unit.iloc[0])]
         left, right = (np.sort(np.frombuffer(b"".join(pdf.fps[pdf.side == side]), np.uint64)) for side in (0, 1))
-        u, v = trie_join(left, None, budget) if i == j else trie_join(left, right, budget) if len(left) and len(right) else (left[:0], left[:0])
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+        u, v = trie_join(left, None, budget, width) if within else trie_join(left, right, budget, width) if len(left) and len(right) else (left[:0], left[:0])
+        return pd.DataFrame({"u": turned(u, 64 - before).view(np.int64), "v": turned(v, 64 - before).view(np.int64)})
 
-    n = max(shuffle_partitions(prints.sparkSession), min(len(pairs), 2000))
+    n = max(shuffle_partitions(prints.sparkSession), min(len(units), 2000))
     return prints.select("fp").mapInArrow(deal, "unit int, side byte, fps binary").repartition(n, "unit").groupBy("unit").applyInPandas(join, "u long, v long")
 
 
@@ -252,15 +288,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     longest shortest path, squared at worst.
     """
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), name)
-    state = None
+    n, state = edges.count(), None
+    # few links need few tasks; many are left to the session's partitions, which AQE may split where a node has most of them
+    dealt = (lambda df: df.repartition(n // 100_000 + 1, "u")) if n < FEW else (lambda df: df)
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, name)
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").filter("u != v").distinct(), name)
+        both = dealt(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = materialize(dealt(both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), name)
+        again = dealt(large)
+        small = again.join(again.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pairs = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        found = materialize(dealt(small.select(pairs.alias("e")).select("e.u", "e.v").filter("u != v")).distinct(), name)
+        remove(edges, large)
+        edges = found
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38, 0)))")).first()
         if now == state:
             break
@@ -272,7 +312,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, leaf: int = LEAF, similar: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (hex), component_id, component (its least fingerprint), text_hash.
 
-    Null and empty texts have fingerprint zero and link like any other. component_id is the smallest doc_id reachable; null
+    Whole texts are read, however long; null and empty ones have fingerprint zero and link like any other. component_id is the smallest doc_id reachable; null
     ids don't count for it, and it is null where a component has no other. Repeated rows are in one component. Other
     columns are left out; an empty table gives no row. Distinct fingerprints alone are joined, so copies cost nothing.
     With `similar`, texts whose five-word shingles have Jaccard similarity 0.8 or more are linked too.

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lontar.llm.simhash_dedup import components, cut_leaves, fingerprint, fingerprint_links, op10_simhash_dedup, simhash_dedup, trie_join
+from lontar.llm.simhash_dedup import blocks, components, cut_leaves, fingerprint, fingerprint_links, leaf_pairs, op10_simhash_dedup, simhash_dedup, trie_join, turned
 from tests.llm.cases import awkward, frame, table
 
 
@@ -103,11 +103,45 @@ def test_leaves_and_links(spark):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
     held = [sum(lo <= int(p) < hi for p in prints) for lo, hi in spans]
     assert sum(held) == len(prints) and max(held) <= 30
-    links = [(r.u % 2**64, r.v % 2**64) for r in fingerprint_links(df, leaf=30).collect()]
     want = defaultdict(set)
     for p, r in classes([int(x) for x in prints]).items():
         want[r].add(p)
-    assert grouped(links, prints) == {frozenset(g) for g in want.values()}
+    for options in ({"leaf": 30}, {"leaf": 30, "whole": 0}, {"leaf": 8, "whole": 0}, {"whole": 0}):
+        links = [(r.u % 2**64, r.v % 2**64) for r in fingerprint_links(df, **options).collect()]
+        assert all((u ^ v).bit_count() <= 4 for u, v in links)
+        assert grouped(links, prints) == {frozenset(g) for g in want.values()}
+
+
+def test_blocks_and_turns():
+    assert sum(w for _, w in blocks(4)) == 64 and [a for a, _ in blocks(4)] == [0, 12, 25, 38, 51]
+    prints = np.random.default_rng(1).integers(0, 2**64, 50, np.uint64)
+    for before, _ in blocks(4):
+        assert np.array_equal(turned(turned(prints, before), 64 - before), prints)
+
+
+@pytest.mark.parametrize("equal", [0, 3])
+def test_leaf_pairs_are_those_of_all_pairs(equal):
+    rng = np.random.default_rng(equal)
+    prints = np.unique(rng.integers(0, 2**64, 400, np.uint64) >> rng.integers(0, 3, 400).astype(np.uint64))
+    leaves = []
+    stack = [(0, 0)]
+    while stack:  # leaves of uneven depth
+        p, m = stack.pop()
+        n = int(((prints >> np.uint64(64 - m)) == p).sum()) if m else len(prints)
+        if n > 9:
+            stack += [(2 * p, m + 1), (2 * p + 1, m + 1)]
+        elif n:
+            leaves.append((p, m))
+    leaves.sort(key=lambda x: x[0] << (64 - x[1]))
+    want = []
+    for i, (p, m) in enumerate(leaves):
+        for j in range(i, len(leaves)):
+            q, n = leaves[j]
+            k = min(m, n)
+            apart = (p >> (m - k)) ^ (q >> (n - k))
+            if apart.bit_count() <= 4 and not (apart >> max(0, k - equal)):
+                want.append((i, j))
+    assert leaf_pairs(leaves, 4, equal) == want
 
 
 def test_components_of_paths_and_stars(spark):
