@@ -6,7 +6,7 @@ from tests.llm.cases import SCHEMA, awkward, frame, table
 from tests.llm.test_best_fit_packing import check as check_packing
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_quality_rules import metrics
-from tests.llm.test_simhash_dedup import classes, slow_fingerprint
+from tests.llm.test_shingle_links import groups_of, survivors
 from tests.llm.test_source_mixing import targets
 from pyspark.sql import functions as F
 
@@ -34,12 +34,8 @@ def check(spark, docs, quality=None):
     assert Counter(pairs(lines)) == brute_lines(spark, rows)
     assert all(r.n_chars == len(r.text) for r in lines.select("n_chars", "text").collect())
     before = pairs(lines)
-    prints = {t: slow_fingerprint(t) for _, t in before}
-    root, groups = classes(set(prints.values())), defaultdict(set)
-    for i, t in before:
-        groups[root[prints[t]]].add(i)
-    stays = Counter(root[prints[t]] for _, t in pairs(near))
-    assert stays == Counter(groups.keys()) and {i for i, _ in pairs(near)} == {min((i for i in g if i is not None), default=None) for g in groups.values()}
+    stays = {i for i, _ in pairs(near)}
+    assert stays == survivors(before) and near.count() == len(groups_of(before))
     sizes, taken = defaultdict(int), defaultdict(int)
     for r in near.select("text", "source").collect():
         sizes[r.source] += len((r.text or "").split())
@@ -63,3 +59,16 @@ def test_awkward_and_empty(spark):
     check(spark, spark.createDataFrame(rows, SCHEMA))
     last = stages(spark, frame(spark, []))[-1]
     assert last.count() == 0 and C.packing(spark, last, "").count() == 0
+
+
+def test_clashing_and_dotted_names(spark):
+    """Columns named like the stages' own, and one with a dot, go through unchanged."""
+    prose = " ".join(f"kata{i} nomor{i * 7}" for i in range(40))
+    names = ["_hash", "_d", "_h", "_i", "_row", "_doc", "_n", "a.b", "size", "kept", "copies", "_text", "fp", "rank", "salt"]
+    rows = [(i, prose + (" akhir" if i == 2 else f" {i} " * 40), "id", "s", 1, *(f"{n}{i}" for n in names)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    out = stages(spark, docs)[-1]
+    assert out.count() > 0
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+    assert C.packing(spark, out, "").count() >= out.count()

@@ -4,6 +4,7 @@ from itertools import combinations
 import corpus_pipeline as C
 import numpy as np
 from lontar.llm.common import materialize
+from lontar.llm.shingle_links import parity
 from tests.llm.cases import SCHEMA
 from tests.llm.test_simhash_dedup import slow_fingerprint
 
@@ -17,8 +18,8 @@ def alike(s, t):
     return bool(s and t) and 5 * len(s & t) >= 4 * len(s | t)
 
 
-def survivors(rows):
-    """Smallest id of each component over all pairs."""
+def groups_of(rows):
+    """Sets of ids of each component over all pairs of texts."""
     texts = sorted({t or "" for _, t in rows})
     sets, prints, parent = [shingle_set(t) for t in texts], [slow_fingerprint(t) for t in texts], list(range(len(texts)))
 
@@ -30,10 +31,26 @@ def survivors(rows):
     for i, j in combinations(range(len(texts)), 2):
         if (prints[i] ^ prints[j]).bit_count() <= 4 or alike(sets[i], sets[j]):
             parent[find(i)] = find(j)
-    least, at = defaultdict(list), {t: i for i, t in enumerate(texts)}
+    found, at = defaultdict(set), {t: i for i, t in enumerate(texts)}
     for d, t in rows:
-        least[find(at[t or ""])].append(d)
-    return {min(g) for g in least.values()}
+        found[find(at[t or ""])].add(d)
+    return list(found.values())
+
+
+def survivors(rows):
+    return {min((d for d in g if d is not None), default=None) for g in groups_of(rows)}
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 40, 700, 5000):
+        a = np.unique(rng.integers(-(2**63), 2**63, n))
+        b = np.unique(np.concatenate([a[: len(a) - len(a) // 9], rng.integers(-(2**63), 2**63, n // 5)]))
+        x, y = parity(a), parity(b)
+        w = min(len(x), len(y))
+        x, y = (v if len(v) == w else v[:w] ^ v[w:] for v in (x, y))
+        differ = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and differ >= 0.5 * len(np.setxor1d(a, b))
 
 
 def test_near_copies_beyond_four_bits_go(spark):
