@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Lengths are whole numbers up to the capacity, so range-sorted documents and gaps are run-length coded: one run stands for
-any number of documents of a length, ranked 0, 1, 2, ..., or of sequences with the same gap. A round takes all documents
-of the largest unplaced length, finds the successor gap (the smallest that holds them), matches documents and gaps of that
-run by rank, so that no gap is taken twice, updates the gaps, and goes on until the run is placed; new sequences are opened
-where no gap is left. The table of matched runs depends on the number of lengths, not of documents. Documents get their
-ranks from distributed counts and their places by one join on length and rank.
+Documents and gaps are run-length coded: a run stands for any number of documents of a length, ranked 0, 1, 2, ..., or of
+sequences in a row with the same gap, so a round's table depends on the capacity, not on the documents. A round deals the runs
+to ranges of sizes; in each range a sweep from large to small gives documents the smallest gap that is still free and holds
+them. Where documents want the same gap the larger one has it, and of equal ones that of lower rank; the others wait. Then gaps
+are updated, documents aim at the lowest range with a gap that holds them, as many sequences are opened as those need that no
+gap can hold, and the next round begins, until none is left. Documents get their ranks from distributed counts and their places
+by one join on length and rank.
 """
 
 from __future__ import annotations
@@ -13,20 +14,19 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict, deque
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.common import gapless, materialize, read
+from lontar.llm.common import gapless, materialize, read, remove, salts_for
 
 CAPACITY, END_ID = 2048, 0
 #: Entries of a worker's cache of coded chunks; it starts anew beyond that.
-CACHE = 1_000_000
+CACHE = 200_000
 
 
 def default_vocabulary() -> str:
@@ -108,55 +108,101 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CA
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, rank after the last, first sequence, offset): rank r of that length goes to sequence
-    first sequence + r - first rank, at that offset."""
-    gaps: dict[int, deque] = defaultdict(deque)
-    sizes: list[int] = []
-    runs, opened = [], 0
-
-    def free(gap: int, first: int, n: int) -> None:
-        if not gaps[gap]:
-            insort(sizes, gap)
-        elif gaps[gap][-1][0] + gaps[gap][-1][1] == first:
-            first, n = (last := gaps[gap].pop())[0], last[1] + n
-        gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        while rank < n:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                more = -(-(n - rank) // (capacity // length))
-                free(capacity, opened, more)
-                opened += more
-                continue
-            gap = sizes[at]
-            first, there = gaps[gap].popleft()
-            taken = min(there, n - rank)
-            runs.append((length, rank, rank + taken, first, capacity - gap))
-            if taken < there:
-                gaps[gap].appendleft((first + taken, there - taken))
-            elif not gaps[gap]:
-                sizes.pop(at)
-            if gap > length:
-                free(gap - length, first, taken)
-            rank += taken
-    return runs
+#: Ranges of sizes that are swept apart.
+ZONES = 4
+#: kind d: documents `first` .. `first + n - 1` of length `size`; g: sequences `first` .. of gap `size`; p: documents placed, `per`
+#: to a sequence from `seq` on, at offsets `off`, `off + size`, ...
+RUN = "kind string, size int, first long, n long, seq long, off int, per int"
+
+
+def zone_of(size, capacity: int, zones: int = ZONES):
+    return (size - 1) * zones // capacity
+
+
+def sweep(runs: list[tuple], capacity: int) -> list[tuple]:
+    """One range's round: runs (kind, size, first, n) to placed, waiting and free runs. Gaps that are passed go on a stack, so
+    the smallest one that holds a document is on top."""
+    out, free = [], []
+    for kind, size, first, n in sorted(runs, key=lambda r: (-r[1], r[0] == "d", r[2])):
+        if kind == "g":
+            free.append([size, first, n])
+            continue
+        while n and free:
+            gap, seq, there = free[-1]
+            per = gap // size
+            whole = min(there, n // per)
+            for seats, docs in ((whole, whole * per), (1, n - whole * per) if whole < there and n < (whole + 1) * per else (0, 0)):
+                if docs:
+                    out.append(("p", size, first, docs, seq, capacity - gap, docs // seats))
+                    if gap > docs // seats * size:
+                        out.append(("g", gap - docs // seats * size, seq, seats, None, None, None))
+                    first, n, seq, there = first + docs, n - docs, seq + seats, there - seats
+            free[-1][1:] = seq, there
+            if not there:
+                free.pop()
+        if n:
+            out.append(("d", size, first, n, None, None, None))
+    return out + [("g", gap, seq, n, None, None, None) for gap, seq, n in free]
+
+
+def aims(waiting: dict[int, int], gaps: set[int], capacity: int, zones: int = ZONES) -> tuple[list[int], int]:
+    """The largest gap of each range (0: none), and how many sequences the documents need that no gap can hold."""
+    tops = [max((g for g in gaps if zone_of(g, capacity, zones) == z), default=0) for z in range(zones)]
+    volume = sum(size * n for size, n in waiting.items() if size > max(tops))
+    if volume:
+        tops[-1] = capacity
+    return tops, -(-volume // capacity)
+
+
+def match(counts: dict[int, int], capacity: int, docs: DataFrame, zones: int = ZONES) -> DataFrame:
+    """Runs of placed documents (l, low, high, first, off, per) for a number of documents of each length."""
+    spark = docs.sparkSession
+    own = F.floor((F.col("size") - 1) * zones / capacity).cast("int")
+
+    def round_(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sweep(list(pdf[["kind", "size", "first", "n"]].itertuples(index=False, name=None)), capacity)
+        return pd.DataFrame(rows, columns=["kind", "size", "first", "n", "seq", "off", "per"], dtype="object")
+
+    rows = [("d", size, 0, n, None, None, None) for size, n in sorted(counts.items())]
+    state, placed, opened, waiting, gaps = spark.createDataFrame(rows, RUN), [], 0, counts, set()
+    while waiting:
+        tops, more = aims(waiting, gaps, capacity, zones)
+        fresh = spark.createDataFrame([("g", capacity, opened, more, None, None, None)] if more else [], RUN)
+        opened += more
+        aim = F.coalesce(*(F.when((own <= z) & (F.col("size") <= top), z) for z, top in enumerate(tops)), F.lit(zones - 1))
+        zoned = state.unionByName(fresh).withColumn("zone", F.when(F.col("kind") == "d", aim).otherwise(own))
+        done = materialize(zoned.repartition(zones, "zone").groupBy("zone").applyInPandas(round_, RUN), "pack_round")
+        placed.append(done)
+        state = done.filter("kind != 'p'")
+        left = state.groupBy("kind", "size").agg(F.sum("n").alias("n")).collect()  # two rows a size at most
+        waiting, gaps = {r["size"]: r.n for r in left if r.kind == "d"}, {r["size"] for r in left if r.kind == "g"}
+    if not placed:
+        return spark.createDataFrame([], "l int, low long, high long, first long, off int, per int")
+    runs = placed[0]
+    for more in placed[1:]:
+        runs = runs.unionByName(more)
+    runs = runs.filter("kind = 'p'").select(F.col("size").alias("l"), F.col("first").alias("low"), (F.col("first") + F.col("n")).alias("high"), F.col("seq").alias("first"), "off", "per")
+    kept = materialize(runs.coalesce(1), "pack_runs")
+    remove(*placed)
+    return kept
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text counts as empty: a piece of the end id alone. Null ids are kept as they are; repeated rows are packed each
-    by itself, and where equal in id and text may swap places. Other columns are left out; an empty table gives no row.
+    Null text counts as empty: a piece of the end id alone. Whole texts are coded, however long. Null ids are kept as they are;
+    repeated rows are packed each by itself, and where equal in id and text may swap places. Other columns are left out; an
+    empty table gives no row.
     """
-    pieces = materialize(token_pieces(docs, id_col, text_col, capacity, vocabulary), "pack_pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64)))
+    pieces = materialize(token_pieces(docs, id_col, text_col, capacity, vocabulary), "pack_pieces")
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs = docs.sparkSession.createDataFrame(best_fit_runs(counts, capacity), "l long, low long, high long, first long, offset long")
+    runs = match(counts, capacity, docs)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts_for(max(counts.values(), default=0)))))
     ranked = gapless(pieces, ["length"], "salt", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank")
     place = (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    return ranked.join(F.broadcast(runs), place).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    nth = F.col("rank") - F.col("low")
+    found = ranked.join(F.broadcast(runs), place)  # runs follow the capacity, not the documents
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor(nth / F.col("per"))).alias("sequence_id"), (F.col("off") + nth % F.col("per") * F.col("length")).alias("offset"))
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
