@@ -11,56 +11,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lontar.functions.ranks import rank_by_order
 from lontar.llm.common import materialize, read, words
 
 SEED = "mixing-1"
 #: Source weights by position in code-point order, repeating; and how often a source may be repeated at most.
 WEIGHTS, MOST = (1, 2, 3), 3
-#: Documents of one source and size are spread over so many ranks' parts.
-SALTS = 64
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
     """Adds _target and _copies (expected for each document) to one row per source with _src and source_size.
 
-    With sources in the order of 3 * size / weight, those that are full come first; the rest share what is left by weight.
-    The windows run over one row per source.
+    Sources whose share would be over 3 times their size are full; the rest share what is left by weight, which may fill more
+    of them, so that is repeated until none is added. Only sums reach the driver, and ranks by name come from ranges of names,
+    as there may be many sources.
     """
-    by_name, by_fill = Window.orderBy("_src"), Window.orderBy("_fill", "_src")
-    before, after = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("_src")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("long")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_r") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    held = materialize(rank_by_order(sizes, [], ["_src"], "_r").select("_src", "source_size", weight.alias("_w")), "mix_sources")
     most = MOST * F.col("source_size")
-    room = F.sum("source_size").over(everything) - F.coalesce(F.sum(most).over(before), F.lit(0))
-    full = most.cast("double") / F.col("_w") <= room.cast("double") / F.sum("_w").over(after)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.when(F.col("_full"), most)).over(everything), F.lit(0))
-    open_weight = F.sum(F.when(~F.col("_full"), F.col("_w"))).over(everything)
-    target = F.when(F.col("_full"), most.cast("double")).otherwise((left * F.col("_w")).cast("double") / open_weight)
-    return (
-        sizes.withColumn("_w", weight)
-        .withColumn("_fill", most.cast("double") / F.col("_w"))
-        .withColumn("_full", full)
-        .withColumn("_target", target)
-        .withColumn("_copies", F.when(F.col("source_size") > 0, F.col("_target") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .select("_src", "source_size", "_target", "_copies")
-    )
+    total, left, open_weight = held.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    while True:
+        full = most.cast("double") / F.col("_w") <= F.lit(float(left) / max(open_weight, 1))
+        taken, still = held.agg(F.coalesce(F.sum(F.when(full, most)), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0))).first()
+        if still == open_weight or not still:
+            break
+        left, open_weight = total - taken, still
+    share = (F.lit(left) * F.col("_w")).cast("double") / F.lit(float(max(open_weight, 1)))
+    target = F.when(full, most.cast("double")).otherwise(share)
+    copies = F.when(F.col("source_size") > 0, F.col("_target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return held.withColumn("_target", target).select("_src", "source_size", "_target", copies.alias("_copies"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, seed: str = SEED) -> DataFrame:
     """Each row of docs, as the struct `_row`, with size, source_size, target, copies (how often the mix takes it) and taken.
 
     Size counts words, unless size_col has it already; null text has none. Null source is a source of its own, last in
-    order. A source without words takes nothing. Null ids rank first within their size; rows equal in every column are interchangeable, and each is sampled by
-    itself. Reruns agree, as the offset comes from a hash of seed and source. An empty table gives no row.
+    order. A source without words takes nothing. Whole texts count, however long. Rows of a source and size are in an order
+    that hashes of their ids begin; rows equal in every column are interchangeable, and each is sampled by itself. Reruns
+    agree, as the offset comes from a hash of seed and source. An empty table gives no row.
     """
     rows = docs.select(
         F.struct("*").alias("_row"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("_src"),
         (F.col(size_col) if size_col else F.size(words(F.col(text_col)))).cast("long").alias("size"),
         F.col(id_col).alias("_id"),
-        F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(SALTS)), F.lit(-1)).alias("_salt"),
         F.xxhash64("*").alias("_tie"),
-    )
+    ).withColumn("_salt", F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.col("_tie").cast("string"))), 1, 3))  # 4,096 parts
     keys = ["_src", "size", "_salt"]
     parts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     by_size = parts.groupBy("_src", "size").agg(F.sum("_n").alias("_n"))
@@ -104,6 +100,6 @@ t AS (SELECT *, CASE WHEN filled THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(
 e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies,
     CAST(CAST('0x' || substr(md5('mixing-1' || src), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM t),
 k AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.copies, e.u,
-    row_number() OVER (PARTITION BY d.src ORDER BY d.size, coalesce(((d.doc_id % 64) + 64) % 64, -1), d.doc_id NULLS FIRST) AS k FROM d JOIN e ON e.src = d.src)
+    row_number() OVER (PARTITION BY d.src ORDER BY d.size, substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 3), d.doc_id) AS k FROM d JOIN e ON e.src = d.src)
 SELECT doc_id, size, source_size, target, CAST(least(3, floor(copies * k + u) - floor(copies * (k - 1) + u)) AS BIGINT) * size AS taken FROM k
 """
