@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from lontar.llm.common import lower_ascii, materialize, shuffle_partitions
 
 ROW = "doc_id long, sha binary, owner int, sender long, n int, rice int, unary binary, rest binary, twice binary"
-#: Bits of the suspects' filter that is broadcast: 2 MB whatever the input. Fuller filters let more rows through to the join.
-FILTER_BITS = 24
+#: The suspects' filter that is broadcast has 16 bits or more a suspect, between these powers of two: 64 MB at most, which is
+#: full enough for 30 million suspects. Fuller filters let more rows through to the join, which is exact.
+FILTER_BITS = (15, 29)
+#: Fingerprints that one owner merges, at most on average.
+OWNED = 4_000_000
 
 
 def rice_encode(gaps: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -112,25 +115,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal means identical after lower-casing A-Z; null text counts as empty. The largest doc_id of equal texts stays; a
     null doc_id is below all others, and keep_id is null where a group has no other. Of rows equal in doc_id and text one
-    stays. An empty table gives no row; other columns, whatever their names, are left out.
+    stays. Whole texts count, however long. An empty table gives no row; other columns, whatever their names, are left out.
     """
     spark = docs.sparkSession
-    owners = owners or shuffle_partitions(spark)
+    owners = owners or max(shuffle_partitions(spark), -(-docs.count() // OWNED))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = materialize(base.mapInArrow(_send(owners), ROW), "exact_dedup_sent")
     messages = sent.filter("owner is not null").drop("doc_id", "sha")
     answers = messages.groupBy("owner").applyInPandas(_answer(owners), "owner int, sender long, bitmap binary")
     suspects = materialize(messages.join(answers, ["owner", "sender"]).mapInPandas(_suspects(owners), "fp long").distinct(), "exact_dedup_suspects")
 
-    place = F.expr(f"fp & {2**FILTER_BITS - 1}") + 1
+    low, high = FILTER_BITS
+    size = 1 << min(high, max(low, (16 * suspects.count()).bit_length()))
+    place = F.expr(f"fp & {size - 1}") + 1
     filled = suspects.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bitmap = np.zeros(2**FILTER_BITS // 8, np.uint8)
-    for b, bits in filled.collect():  # at most 512 rows of 4 KB
+    bitmap = np.zeros(size // 8, np.uint8)
+    for b, bits in filled.collect():  # at most 16,384 rows of 4 KB
         bitmap[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
 
     def suspected(texts: pa.Array) -> pa.Array:
         fps = np.frombuffer(b"".join(digest(t)[:8] for t in texts.to_pylist()), ">u8").astype(np.uint64)
-        low = fps & np.uint64(2**FILTER_BITS - 1)
+        low = fps & np.uint64(size - 1)
         hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
         return pa.array(fps.view(np.int64), mask=hit == 0)
 
