@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lontar.llm.common import read, words
 
-#: Documents of the sample that orders the rules; it decides nothing else.
-SAMPLE_DOCS = 400
+#: Documents of the sample that orders the rules, about; it decides nothing else. Each rule is timed over so many repeats of it.
+SAMPLE_DOCS, REPEATS = 400, 12
 
 #: 3-word windows are sorted as (hash bits, position) in one long; this many bits hold the position.
 _POS = 21
@@ -85,14 +85,19 @@ def rules() -> dict[str, Column]:
 
 
 def cascade_order(sample: DataFrame, chosen: dict[str, Column]) -> list[str]:
-    """Rule names by share rejected per second, from one timed aggregate a rule over the cached sample."""
-    timed = []
+    """Rule names by share rejected per second. A rule's cost is the time of one job that puts it to many repeats of the cached
+    sample, less the time of the same job without a rule, so that what starting a job takes is no part of it."""
     shares = sample.agg(*(F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(k) for k, c in chosen.items())).first()
-    for name, rule in chosen.items():
+    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("_again"))
+
+    def seconds(rule: Column) -> float:
         began = time.perf_counter()
-        sample.agg(F.count_if(rule)).collect()
-        timed.append((-shares[name] / (time.perf_counter() - began), name))
-    return [name for _, name in sorted(timed)]
+        many.agg(F.count_if(rule)).collect()
+        return time.perf_counter() - began
+
+    nothing = min(seconds(F.col("_again") > 0) for _ in range(2))
+    cost = {name: max(1e-4, seconds(rule) - nothing) for name, rule in chosen.items()}
+    return sorted(chosen, key=lambda name: (-shares[name] / cost[name], name))
 
 
 def cascade(chosen: dict[str, Column], order: list[str]) -> Column:
@@ -107,11 +112,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept to each row of docs.
 
     docs' columns come back in the struct `_row`, so names can't clash. Null text counts as empty, which fails the base
-    rules; null ids, ties and repeated rows are rows like any others; an empty table gives none.
+    rules; null ids, ties and repeated rows are rows like any others; whole texts count, however long; an empty table gives none.
     """
     frame = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
     chosen = rules()
-    sample = with_metrics(frame.limit(SAMPLE_DOCS).select("_text")).filter("not base_failed").persist()
+    one_in = max(1, docs.count() // SAMPLE_DOCS)
+    texts = frame.select("_text").filter(F.pmod(F.xxhash64("_text"), F.lit(one_in)) == 0)  # rows stay where they are read
+    sample = with_metrics(texts).filter("not base_failed").persist()
     try:
         order = cascade_order(sample, chosen)
     finally:
