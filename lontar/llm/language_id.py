@@ -82,11 +82,13 @@ def _held_out(id_col) -> F.Column:
 
 
 def fit(docs: DataFrame) -> tuple[list[str], dict | None]:
-    """Model of the languages in docs (doc_id, text, lang), from at most PER_LANGUAGE documents of each, by hash order."""
-    labelled = docs.filter(F.col("lang").isNotNull() & ~_held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("lang", "doc_id").withColumn("r", place).filter(F.col("r") <= PER_LANGUAGE).select("doc_id")
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")  # PER_LANGUAGE ids of each language
+    """Model of the languages in docs (doc_id, text, lang), from at most PER_LANGUAGE texts of each, by hash order. Of texts
+    that are repeated in a language one is learned from, so the bound holds whatever the ids are."""
+    labelled = docs.filter(F.col("lang").isNotNull() & ~_held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("text"))
+    distinct = labelled.groupBy("lang", "h").agg(F.min(F.xxhash64("doc_id")).alias("o"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))
+    chosen = distinct.withColumn("r", place).filter(F.col("r") <= PER_LANGUAGE).select("lang", "h")
+    sample = labelled.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # PER_LANGUAGE texts of each language
 
     def features(batches):
         for batch in batches:
@@ -105,8 +107,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of docs: doc_id, held_out, lang_pred, score, ambiguous.
 
     A null text, or one without letters, is `und` with score 0; so are all where no row is labelled. Predictions read the
-    text alone. A null id counts as an empty string in the held-out rule; other columns are left out; an empty table gives
-    no row. Of labels, null ones are not learned from.
+    text alone, and all of it, however long. A null id counts as an empty string in the held-out rule, which holds it out, so
+    it is never learned from; nor are null labels. Of languages with equal loss the first by name is predicted. Repeated rows
+    get equal predictions; other columns are left out; an empty table gives no row.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     languages, model = fit(named)

@@ -91,9 +91,11 @@ def fit_ordinal(ids: list[np.ndarray], values: list[np.ndarray], grades: np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Model from at most SAMPLE rated documents, first by hash of their ids. docs: doc_id, text."""
+    """Model from at most SAMPLE rated documents, first by hash of their ids. docs: doc_id, text. Of several ratings of a
+    document the lowest counts, and of several texts of an id the one with the smallest hash, so the bound holds."""
     rated = labels.filter("doc_id is not null and quality is not null").select("doc_id", (2 * F.col("quality") - F.when(F.col("quality") > 0, F.coalesce("toxic", F.lit(0))).otherwise(0)).cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(SAMPLE)
+    chosen = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches):
         known = Features()
@@ -101,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
             rows = [known.row(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["grade", "i", "v"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(features, "grade int, i binary, v binary").collect()  # SAMPLE rows
+    rows = sample.select("grade", "text").mapInArrow(features, "grade int, i binary, v binary").collect()  # SAMPLE rows
     if not rows:
         return None
     return fit_ordinal([np.frombuffer(r.i, np.int32) for r in rows], [np.frombuffer(r.v, np.float32) for r in rows], np.clip([r.grade for r in rows], 0, GRADES - 1))
@@ -110,9 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, expected_grade (0 to 2), p_good (probability of grade 2), selected.
 
-    labels holds doc_id, quality (0, 1) and toxic (0, 1; null counts as 0). Null text counts as empty. Without any rated
-    document grades and probabilities are null and nothing is selected. Null ids and repeated rows are graded like others;
-    other columns are left out; an empty table gives no row.
+    labels holds doc_id, quality (0, 1) and toxic (0, 1; null counts as 0); of several labels of a document the lowest grade
+    counts. Null text counts as empty, and all of a text is read, however long. Without any rated document grades and
+    probabilities are null and nothing is selected. Null ids and repeated rows are graded like others; a document at one half
+    is not selected; other columns are left out; an empty table gives no row.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = fit(named, labels)

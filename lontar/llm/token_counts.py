@@ -33,11 +33,11 @@ def default_vocabulary() -> str:
 
 
 class Pieces:
-    """Unigram scores of a vocabulary file. Its pieces are in order of merit, so the piece at position n of N scores
-    log(1 / (n + 1)) - log(H_N), as by Zipf's law. A character without a piece is cut into its UTF-8 bytes, each
-    with the score of position N."""
+    """Unigram scores of a vocabulary file's pieces, or those that the caller gives (piece: log probability). By default
+    the pieces' order of merit tells: the piece at position n of N scores log(1 / (n + 1)) - log(H_N), as by Zipf's law. A
+    character without a piece is cut into its UTF-8 bytes, each with the score of position N, or the least one given."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: dict[str, float] | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,6 +45,8 @@ class Pieces:
         total = log(sum(1 / (n + 1) for n in range(len(kept))))
         self.score = {piece: -log(n + 1) - total for n, piece in reversed(list(enumerate(kept)))}
         self.byte = -log(len(kept) + 1) - total
+        if scores is not None:
+            self.score, self.byte = dict(scores), min(scores.values(), default=self.byte)
         #: Pieces from their last character backwards: character -> [score of the piece that begins here or None, further]
         self.backwards: dict = {}
         for piece, score in self.score.items():
@@ -102,17 +104,18 @@ def _counts(path: str) -> TrieCounts:
     return TrieCounts(_pieces(path))
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_pretokens, n_tokens, n_bytes.
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, scores: dict[str, float] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_pretokens, n_tokens, n_bytes. scores are a unigram model's, in place of the default.
 
     Pre-tokens are runs between the six ASCII white-space characters. Null text counts as empty: no tokens. Null ids and
-    repeated rows are rows like any others; other columns are left out; an empty table gives no row.
+    repeated rows are rows like any others; whole texts are counted, however long; of cuts with equal scores the one with
+    fewer pieces counts; other columns are left out; an empty table gives no row.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
     def count(batches):
         path = vocabulary or default_vocabulary()
-        known = _counts(path)
+        known = _counts(path) if scores is None else TrieCounts(Pieces(path, scores))
         for batch in batches:
             texts, rows, at = batch.column(1).to_pylist(), [], 0
             while at < len(texts):
