@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.common import gapless, materialize, read, remove, salts_for
+from lontar.llm.common import gapless, materialize, read, remove, salts_for, slices
 
 CAPACITY, END_ID = 2048, 0
 #: Entries of a worker's cache of coded chunks; it starts anew beyond that.
-CACHE = 200_000
+CACHE = 500_000
 
 
 def default_vocabulary() -> str:
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CA
 
     def cut(batches):
         chunks = _chunks(vocabulary or default_vocabulary())
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1000)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = chunks.text(text or "") + end
@@ -105,11 +105,14 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CA
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+        chunks.clear()  # the worker serves other operators next
+        chunks.words.clear()
+
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 #: Ranges of sizes that are swept apart.
-ZONES = 4
+ZONES = 2
 #: kind d: documents `first` .. `first + n - 1` of length `size`; g: sequences `first` .. of gap `size`; p: documents placed, `per`
 #: to a sequence from `seq` on, at offsets `off`, `off + size`, ...
 RUN = "kind string, size int, first long, n long, seq long, off int, per int"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lontar.tables import materialize, remove, shared_folder
 
-__all__ = ["gapless", "lower_ascii", "materialize", "read", "remove", "salts_for", "shared_folder", "shuffle_partitions", "words"]
+__all__ = ["gapless", "lower_ascii", "materialize", "piecewise", "read", "remove", "salts_for", "shared_folder", "shuffle_partitions", "slices", "words"]
 
 #: A word is a run of anything but the six ASCII white-space characters; `bytes.split()` splits at the same six.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -37,6 +38,17 @@ def salts_for(largest: int, rows: int = 200_000) -> int:
     return max(64, -(-largest // rows))
 
 
+def slices(batch, rows: int = 500):
+    """A batch or array in short pieces, so that a worker holds few texts as Python objects at a time."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
+def piecewise(made, texts: pa.Array, kind: pa.DataType) -> pa.Array:
+    """made(list of texts) of each piece of an array, as one array."""
+    return pa.chunked_array([made(part.to_pylist()) for part in slices(texts)], kind).combine_chunks()
+
+
 def gapless(df: DataFrame, groups: list[str], salt: str, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: ranks 0, 1, 2, ... in each group (order: salt, then `order`), with no task that holds a whole group.
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.common import lower_ascii, materialize, shuffle_partitions
+from lontar.llm.common import lower_ascii, materialize, shuffle_partitions, slices
 
 ROW = "doc_id long, sha binary, owner int, sender long, n int, rice int, unary binary, rest binary, twice binary"
 #: The suspects' filter that is broadcast has 16 bits or more a suspect, between these powers of two: 64 MB at most, which is
@@ -65,7 +65,7 @@ def _send(owners: int):
     def run(batches):
         sender, seen = TaskContext.get().partitionId(), []
         for batch in batches:
-            shas = [digest(t) for t in batch.column(1).to_pylist()]
+            shas = [digest(t) for part in slices(batch) for t in part.column(1).to_pylist()]
             if shas:
                 seen.append(np.frombuffer(b"".join(shas), ">u8")[::4].astype(np.uint64))
             none = [None] * len(shas)
@@ -134,7 +134,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bitmap[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
 
     def suspected(texts: pa.Array) -> pa.Array:
-        fps = np.frombuffer(b"".join(digest(t)[:8] for t in texts.to_pylist()), ">u8").astype(np.uint64)
+        fps = np.frombuffer(b"".join(digest(t)[:8] for part in slices(texts) for t in part.to_pylist()), ">u8").astype(np.uint64)
         low = fps & np.uint64(size - 1)
         hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
         return pa.array(fps.view(np.int64), mask=hit == 0)

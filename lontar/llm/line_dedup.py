@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from lontar.llm.common import materialize, read
+from lontar.llm.common import materialize, read, slices
 
 WINDOW = 3
 _REMOVED = "array<struct<from:int,until:int>>"
@@ -31,7 +31,7 @@ def _windows(batches):
                 c.clear()
             return out
 
-        for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, version, text in (row for part in slices(batch) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)):
             held = [(i, xxh3_128_digest(line.encode("utf-8", "surrogatepass"))) for i, line in enumerate((text or "").split("\n")) if line.strip(" \t\r\x0b\x0c")]
             for k in range(len(held) - WINDOW + 1):
                 part = held[k : k + WINDOW]
@@ -48,7 +48,7 @@ def _windows(batches):
 
 def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     out = []
-    for text, gone in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
+    for text, gone in (row for at in range(0, len(texts), 500) for row in zip(texts.slice(at, 500).to_pylist(), removed.slice(at, 500).to_pylist(), strict=True)):
         if text is None or gone is None:
             out.append(None)
             continue

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lontar.llm.common import materialize, remove
+from lontar.llm.common import materialize, piecewise, remove
 
 WORDS, SEED = 5, 42
 #: One text in so many, by hash, is counted to find frequent shingles; those of three such texts or more are ranked last.
@@ -53,7 +53,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _sets(text: Column) -> Column:
     def made(texts: pa.Array) -> pa.Array:
-        return _lists([shingles(t.as_py()) for t in texts])
+        return piecewise(lambda part: _lists(list(map(shingles, part))), texts, pa.list_(pa.int64()))
 
     return F.arrow_udf(made, "array<long>")(text)
 
@@ -83,11 +83,16 @@ def _profiles(text: Column, levels: np.ndarray) -> Column:
     def first(s: np.ndarray) -> np.ndarray:
         return s[np.lexsort((s, levels[s & mask]))[: len(s) // 5 + 1]]
 
-    def made(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t.as_py()) for t in texts]
+    kind = pa.struct([("n", pa.int32()), ("p", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+
+    def part_of(texts: list) -> pa.Array:
+        sets = list(map(shingles, texts))
         fields = pa.array(np.array(list(map(len, sets)), np.int32)), _lists(list(map(first, sets))), _lists(list(map(parity, sets)))
         return pa.StructArray.from_arrays(fields, ["n", "p", "b"])
 
+    def made(texts: pa.Array) -> pa.Array:
+        return piecewise(part_of, texts, kind)
+
     return F.arrow_udf(made, "struct<n:int,p:array<long>,b:array<long>>")(text)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lontar.llm.common import materialize, read, remove, shuffle_partitions
+from lontar.llm.common import materialize, read, remove, shuffle_partitions, slices
 from lontar.llm.shingle_links import similar_links
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
@@ -63,7 +63,7 @@ def fingerprint(text: str | None) -> bytes:
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    joined = b"".join(fingerprint(t) for t in texts.to_pylist())
+    joined = b"".join(fingerprint(t) for part in slices(texts) for t in part.to_pylist())
     return pa.array(np.frombuffer(joined, ">i8").astype(np.int64))
 
 

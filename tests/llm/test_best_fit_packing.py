@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lontar.llm.best_fit_packing import CAPACITY, Chunks, aims, default_vocabulary, match, op8_best_fit_packing, pack, sweep, zone_of
+from lontar.llm.best_fit_packing import CAPACITY, ZONES, Chunks, aims, default_vocabulary, match, op8_best_fit_packing, pack, sweep, zone_of
 from tests.llm.cases import awkward, frame, table
 
 
@@ -115,5 +115,5 @@ def test_rounds_in_spark_are_the_same(spark):
     rng = np.random.default_rng(0)
     counts = Counter((np.exp(rng.normal(3, 1, 3000)).astype(int) % 128 + 1).tolist())
     got = [tuple(r) for r in match(counts, 128, spark.range(1)).collect()]
-    assert sorted((size, low, high - low, seq, off, per) for size, low, high, seq, off, per in got) == sorted(in_rounds(counts, 128, 4))
+    assert sorted((size, low, high - low, seq, off, per) for size, low, high, seq, off, per in got) == sorted(in_rounds(counts, 128, ZONES))
     assert held([(size, low, high - low, seq, off, per) for size, low, high, seq, off, per in got], counts, 128) <= 1.01 * -(-sum(k * n for k, n in counts.items()) // 128) + 1
