@@ -1,12 +1,9 @@
-"""Plan-time settings. They are constants of a plan, never columns."""
+"""Plan-time settings. They are constants of a plan, never columns. Their defaults are FIXED VALUES, as they decide results."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-#: Limits of one corpus: texts, and characters of a text after trimming.
-MAX_TEXTS, MAX_CHARS = 10_000, 10_000
-
 #: What a task's profile sets over a user's own settings; None: the text must stay as it is.
 PROFILES = {
     "transformer": {"stemming": False, "remove_stopwords": False, "lemmatization": False, "min_token_length": 1, "collapse_repeated_words": False},
@@ -68,6 +65,9 @@ class TopicConfig:
     docs_per_topic: int = 250
     min_token_freq: int = 1
     min_label_freq: int = 1
+    label_diversity: float = 0.3
+    #: Share of a cluster's documents, those farthest from its centre, that are outliers until pull_outliers takes them back.
+    outlier_share: float = 0.05
 
 
 @dataclass(frozen=True)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from lontar.config import Lexicon
 from lontar.functions.stem import prefix_class, stem_map
-from lontar.functions.text import cosine
-from lontar.lexicons import CLITICS, COMMON_ASPECTS, INDONESIAN, MERGE_PREFIXES, ROOTS, STOPWORDS
+from lontar.functions.text import cosine, let
+from lontar.lexicons import CLITICS, COMMON_ASPECTS, CONNECTIVES, INDONESIAN, MERGE_PREFIXES, ROOTS, STOPWORDS
 from lontar.operators import sentiment
-from lontar.operators.spans import add_clauses, char_context, decode_bio, find_spans, normalize_aspect, overlap_anti_join
+from lontar.operators.spans import add_clauses, char_context, context_words, decode_bio, find_spans, normalize_aspect, overlap_anti_join
+from lontar.tables import materialize
 
 
 def strip_clitic(word: Column, roots=ROOTS) -> Column:
@@ -83,9 +84,13 @@ def base_forms(doc_aspects: DataFrame, key: str = "doc_idx", roots=ROOTS) -> Dat
 def keyword_aspects(docs: DataFrame, key: str = "doc_idx", text: str = "text", keywords=COMMON_ASPECTS, stopwords=STOPWORDS) -> DataFrame:
     """Unigrams and bigrams of a-z words that are keywords and no stopwords, each once a document."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b([a-z]+)\b"), F.lit(1))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
     chosen = sorted(set(keywords) - set(stopwords))
-    return docs.select(key, F.array_distinct(F.filter(F.concat(words, pairs), lambda w: w.isin(*chosen))).alias("keywords"))
+
+    def found(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.filter(F.concat(w, pairs), lambda x: x.isin(*chosen)))
+
+    return docs.select(key, let(words, found).alias("keywords"))
 
 
 def merge_keyword_and_model(keywords: DataFrame, model: DataFrame, key: str = "doc_idx", least: float = 0.6) -> DataFrame:
@@ -126,13 +131,25 @@ def prototypes(templates: DataFrame, background: DataFrame, group: str = "aspect
 def semantic_matches(candidates: DataFrame, prototypes_: DataFrame, keys: list[str], vector: str = "embedding", group: str = "aspect", least: float = 0.15, margin: float = 0.01) -> DataFrame:
     """Candidates with the nearest prototype, if its cosine is high enough and the runner-up is not near.
 
-    Prototypes are one row per category, so they are broadcast; the two best come from one aggregate, not a sort.
+    Prototypes are one row per category, so they come as one array row; each candidate scores them where it stands, and
+    keeps the two best, without a shuffle.
     """
-    p = prototypes_.select(F.col(group).alias("_g"), F.col(vector).alias("_p"))
-    scored = candidates.crossJoin(F.broadcast(p)).withColumn("_s", cosine(F.col(vector), F.col("_p")))
-    top = scored.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("_s", "_g")), asc=False), 1, 2).alias("_t"))
-    best, second = F.get("_t", 0), F.coalesce(F.get("_t", 1)["_s"], F.lit(-1.0))
-    return top.filter((best["_s"] >= least) & (best["_s"] - second >= margin)).select(*keys, best["_g"].alias(group), best["_s"].alias("similarity"))
+    table = prototypes_.agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col(vector).alias("p"))).alias("_all"))
+    scored = candidates.select(*keys, vector).join(F.broadcast(table), how="cross")  # one row
+    score = F.transform("_all", lambda c: F.struct(cosine(F.col(vector), c["p"]).alias("s"), c["g"].alias("g")))
+    top = scored.select(*keys, F.inline(F.array(F.struct(F.slice(F.sort_array(score, asc=False), 1, 2).alias("_t")))))
+    best, second = F.get("_t", 0), F.coalesce(F.get("_t", 1)["s"], F.lit(-1.0))
+    return top.filter((best["s"] >= least) & (best["s"] - second >= margin)).select(*keys, best["g"].alias(group), best["s"].alias("similarity"))
+
+
+def pool_spans(spans: DataFrame, tokens: DataFrame, key: str = "doc_idx", vector: str = "vector") -> DataFrame:
+    """spans (key, start, end, ...) with the mean of the token vectors (key, start, end, vector) that overlap them; a span that
+    no token overlaps gets the mean of its text. An encoder gives the token vectors."""
+    t = tokens.select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_z"), F.col(vector).alias("_v"))
+    met = spans.join(t, (F.col(key) == F.col("_k")) & (F.col("_a") < F.col("end")) & (F.col("_z") > F.col("start")))
+    own = mean_vectors(met.withColumnRenamed("_v", vector), [key, "start", "end"], vector).withColumnRenamed(vector, "_own")
+    whole = mean_vectors(tokens.select(key, vector), [key], vector).withColumnRenamed(vector, "_whole")
+    return spans.join(own, [key, "start", "end"], "left").join(whole, key, "left").withColumn(vector, F.coalesce("_own", "_whole")).drop("_own", "_whole")
 
 
 def extract_rule_based(docs: DataFrame, predefined: list[str], key: str = "doc_idx", text: str = "text", candidates: DataFrame | None = None, prototypes_: DataFrame | None = None, roots=ROOTS) -> DataFrame:
@@ -153,11 +170,11 @@ def rule_based_counts(occurrences: DataFrame, key: str = "doc_idx") -> DataFrame
     return grouped.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "first"))).drop("first")
 
 
-def aspect_sentiments(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx", text: str = "text", lexicon: Lexicon = INDONESIAN, retry_below: float = 0.6) -> DataFrame:
+def aspect_sentiments(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx", text: str = "text", lexicon: Lexicon = INDONESIAN, retry_below: float = 0.6, connectives=CONNECTIVES) -> DataFrame:
     """Occurrences with their clause and its sentiment. All clauses are scored in one pass; where a clause is unsure and
     is not the whole text, the whole text's prediction is taken, which is made once for each document."""
     whole = sentiment.score_lexicon(docs.select(key, F.col(text).alias("_whole")), "_whole", lexicon).select(F.col(key), F.col("sentiment").alias("_ws"), F.col("confidence").alias("_wc"))
-    clauses = add_clauses(occurrences, docs, key, text)
+    clauses = add_clauses(occurrences, docs, key, text, connectives)
     scored = sentiment.score_lexicon(clauses, "clause", lexicon).drop("scores", "method").join(whole, key)
     again = (F.col("confidence") < retry_below) & (F.col("clause") != F.col("_text"))
     label, sure = F.when(again, F.col("_ws")).otherwise(F.col("sentiment")), F.when(again, F.col("_wc")).otherwise(F.col("confidence"))
@@ -187,6 +204,52 @@ def summary(stats: DataFrame) -> DataFrame:
     return stats.withColumn("summary", text)
 
 
+def extract_zero_shot(docs: DataFrame, tags: DataFrame | None = None, key: str = "doc_idx", text: str = "text", keywords=COMMON_ASPECTS, stopwords=STOPWORDS, share: float = 0.05, least: int = 2) -> DataFrame:
+    """Occurrences without a trained tagger: keywords, each once a document, and spans of an untrained one that is fairly sure;
+    names of under three letters or stopwords go, and so do rare ones that are no keyword. An occurrence stands where its name
+    is first found, and has no place if it isn't."""
+    found = keyword_aspects(docs, key, text, keywords, stopwords).select(key, F.explode("keywords").alias("aspect"))
+    merged = found.withColumn("origin", F.lit("keyword"))
+    if tags is not None:
+        merged = merge_keyword_and_model(found, extract_model(docs, tags, key, text, 0.5, stopwords), key)
+    held = merged.filter((F.char_length("aspect") >= 3) & ~F.col("aspect").isin(*sorted(stopwords))).join(docs.select(key, F.col(text).alias("_t")), key)
+    at = F.nullif(F.expr("instr(lower(_t), aspect)"), F.lit(0)) - 1
+    placed = held.withColumn("start", at).withColumn("end", F.col("start") + F.char_length("aspect")).withColumn("context", context_words(F.col("aspect"), F.col("_t")))
+    kept = zero_shot(placed, docs.count(), frozenset(keywords), share, least).select("aspect")
+    return placed.join(kept, "aspect").select(key, "aspect", F.col("aspect").alias("surface"), "start", "end", "context", "origin")
+
+
+def relabel(occurrences: DataFrame, merged: DataFrame) -> DataFrame:
+    """Occurrences under the names that merge_variants chose."""
+    names = merged.select(F.col("aspect").alias("_to"), F.explode("merged_from").alias("aspect"))
+    return occurrences.join(names, "aspect").drop("aspect").withColumnRenamed("_to", "aspect")
+
+
+def analyze(docs: DataFrame, mode: str = "automatic", predefined: list[str] | None = None, tags: DataFrame | None = None, trained: bool = True, candidates: DataFrame | None = None, prototypes_: DataFrame | None = None, lexicon: Lexicon = INDONESIAN, roots=ROOTS, keywords=COMMON_ASPECTS, stopwords=STOPWORDS, key: str = "doc_idx", text: str = "text") -> dict[str, DataFrame]:
+    """Aspects of texts as they are (cleaning would move offsets): aspects, occurrences, sentiments, statistics, summary,
+    document_aspects and their base forms.
+
+    mode "rule-based" takes the predefined aspects, by words and, with candidates and prototypes, by meaning; they are the
+    user's own, so variants are not merged. Otherwise a trained tagger's labels (tags), or keywords with an untrained one's,
+    give occurrences, and names that differ in inflection are one aspect from then on.
+    """
+    if mode == "rule-based" and predefined:
+        occurrences = extract_rule_based(docs, predefined, key, text, candidates, prototypes_, roots)
+        found = rule_based_counts(occurrences, key)
+    else:
+        raw = extract_model(docs, tags, key, text, None, stopwords) if tags is not None and trained else extract_zero_shot(docs, tags, key, text, keywords, stopwords)
+        raw = materialize(raw, "aspect_occurrences")
+        found = materialize(merge_variants(group_occurrences(raw, key), roots), "aspects")
+        occurrences = relabel(raw, found)
+    occurrences = materialize(occurrences, "aspect_named")
+    scored = materialize(aspect_sentiments(docs, occurrences.drop("confidence"), key, text, lexicon), "aspect_scored")
+    polarity = aspect_polarity(scored)
+    stats = statistics(polarity)
+    ranked = occurrences.join(found.select("aspect", "rank"), "aspect")
+    lists = document_aspects(docs, ranked, key)
+    return {"aspects": found, "occurrences": scored, "sentiments": polarity, "statistics": stats, "summary": summary(stats), "document_aspects": lists, "document_aspects_normalized": base_forms(lists, key, roots)}
+
+
 def uncertainty(probabilities: DataFrame, keys: list[str], column: str = "probs") -> DataFrame:
     """1 less the mean margin between the two best labels over a document's real tokens."""
     top = F.sort_array(column, asc=False)

@@ -11,6 +11,9 @@ from lontar.lexicons import NEGATIVE, POSITIVE, ROOTS, STOPWORDS, TIME_UNITS, VE
 from lontar.operators.spans import find_spans, literal_spans, resolve_overlaps
 
 MAX_WORDS, MIN_CHARS = 4, 3
+# ---- FIXED VALUES: the names of the reasons, as users read them, in the order of the rules
+REASONS = ("terlalu pendek", "mengandung angka", "berkepala kata fungsi", "seluruhnya kata fungsi", "berkepala kata opini", "berkepala satuan waktu", "berkepala verba", "nama diri")
+# ---- end of fixed values
 
 
 def normalize_term(raw: Column) -> Column:
@@ -29,8 +32,8 @@ def normalize_term(raw: Column) -> Column:
 
 
 def reject_reasons(terms: DataFrame, vocabulary: DataFrame | None = None, column: str = "term", roots=ROOTS, function_words=STOPWORDS, opinion_words=POSITIVE | NEGATIVE) -> DataFrame:
-    """Adds `reason`, null where a term may be an aspect: the first that holds of too short, digits, function word at the
-    head or throughout, opinion or time word or verb at the head, proper noun (unless all short capitals)."""
+    """Adds `reason` (of REASONS), null where a term may be an aspect: the first that holds of too short, digits, function word
+    at the head or throughout, opinion or time word or verb at the head, proper noun (unless all short capitals)."""
     words = F.split(column, " ")
     low = F.transform(words, F.lower)
     head = F.get(low, 0)
@@ -49,10 +52,11 @@ def reject_reasons(terms: DataFrame, vocabulary: DataFrame | None = None, column
         exploded = joined.select(column, F.explode(F.array_distinct(low)).alias("_v")).distinct().join(seen, "_v").select(column).distinct().withColumn("_known", F.lit(True))
         joined = joined.join(exploded, column, "left")
     known = F.coalesce("_known", F.lit(False)) if vocabulary is not None else F.lit(False)
+    short, digit, function_head, function_all, opinion, time, verb, name = REASONS
     reason = (
-        F.when(F.char_length(column) < MIN_CHARS, "too_short").when(F.col(column).rlike("[0-9]"), "has_digit").when(F.col("_head").isin(*sorted(function_words)), "function_head")
-        .when(F.forall(low, lambda w: w.isin(*sorted(function_words))), "all_function").when(F.col("_head").isin(*sorted(opinion_words)), "opinion_head")
-        .when(F.col("_head").isin(*sorted(TIME_UNITS)), "time_head").when(verbal, "verbal_head").when(capital & ~acronym & ~known, "proper_noun")
+        F.when(F.char_length(column) < MIN_CHARS, short).when(F.col(column).rlike(r"\p{Nd}"), digit).when(F.col("_head").isin(*sorted(function_words)), function_head)
+        .when(F.forall(low, lambda w: w.isin(*sorted(function_words))), function_all).when(F.col("_head").isin(*sorted(opinion_words)), opinion)
+        .when(F.col("_head").isin(*sorted(TIME_UNITS)), time).when(verbal, verb).when(capital & ~acronym & ~known, name)
     )
     return joined.select(*terms.columns, reason.alias("reason"))
 
@@ -92,7 +96,7 @@ def substitution_pool(docs: DataFrame, spans: DataFrame, key: str = "doc_idx", t
 def substitute(docs: DataFrame, spans: DataFrame, pool: DataFrame, seed: int = 42, key: str = "doc_idx", text: str = "text") -> DataFrame:
     """Replaces each span (not overlapping) by a pool word picked by hash, and recomputes offsets: key, new_text, new_spans."""
     size = pool.agg(F.max("slot").alias("_m"))
-    picked = spans.crossJoin(F.broadcast(size)).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("start")), F.col("_m") + 1)).join(F.broadcast(pool), "slot")  # at most 600 words
+    picked = spans.join(F.broadcast(size), how="cross").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("start")), F.col("_m") + 1)).join(F.broadcast(pool), "slot")  # one row; at most 600 words
     lists = picked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "term"))).alias("_s"))
     fold = F.aggregate(
         "_s",
@@ -108,6 +112,24 @@ def substitute(docs: DataFrame, spans: DataFrame, pool: DataFrame, seed: int = 4
     return made.select(key, F.concat("_f.out", F.expr(f"substring({text}, _f.at + 1, char_length({text}) - _f.at)")).alias("new_text"), F.col("_f.spans").alias("new_spans"))
 
 
+def augment(docs: DataFrame, spans: DataFrame, pool: DataFrame, factor: int = 1, negatives: DataFrame | None = None, seed: int = 42, key: str = "doc_idx", text: str = "text") -> DataFrame:
+    """A training set: the given documents, `factor` copies with replaced spans of each that has spans, and negatives
+    (documents without aspects). key, copy (0: as given), kind (given, augmented, negative), text, spans, and position, a
+    reproducible shuffle. No document is lost."""
+    item = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    lists = spans.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("spans"))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    out = docs.select(key, text).join(lists, key, "left").select(key, F.lit(0).alias("copy"), F.lit("given").alias("kind"), F.col(text).alias("text"), F.coalesce("spans", empty).alias("spans"))
+    for k in range(1, factor + 1):
+        made = substitute(docs, spans, pool, seed + k - 1, key, text)
+        bare = F.transform("new_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        out = out.unionByName(made.select(key, F.lit(k).alias("copy"), F.lit("augmented").alias("kind"), F.col("new_text").alias("text"), bare.alias("spans")))
+    if negatives is not None:
+        out = out.unionByName(negatives.select(key, F.lit(0).alias("copy"), F.lit("negative").alias("kind"), F.col(text).alias("text"), empty.alias("spans")))
+    hashed = out.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key), F.col("copy"), F.col("kind"))).withColumn("_all", F.lit(1))
+    return rank_in_group(hashed, ["_all"], F.col("_h"), [F.col("_h"), F.col(key), F.col("copy"), F.col("kind")], "position").drop("_h", "_all")
+
+
 def diversity(spans: DataFrame, outside: DataFrame | None = None) -> DataFrame:
     """spans, unique, ttr, top10_share; with `outside` (token) also ambiguous: span types that occur outside spans too."""
     types = spans.groupBy(F.lower("surface").alias("type")).agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lontar.tables import materialize, remove
+
 IGNORED = -100
 
 
@@ -158,15 +160,31 @@ def fit_temperature(df: DataFrame, logits: str, label: str, low: float = 0.5, hi
     return found if low <= found <= high else 1.0
 
 
-def pool_fingerprint(df: DataFrame, text: str) -> DataFrame:
+def pool_fingerprint(df: DataFrame, text: str, most_chars: int = 1 << 28) -> DataFrame:
     """16 hex digits of SHA-256 over the sorted texts, each followed by a zero byte.
 
-    The digest is over all texts in order, so one row holds them: it is for training pools of bounded size.
+    The digest is over all texts in order, so one row holds them: it is for training pools, and a pool of over most_chars
+    characters raises. pool_digest takes tables of any size.
     """
+    size = df.agg(F.sum(F.char_length(F.coalesce(text, F.lit("")))).alias("s"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.coalesce(text, F.lit("")))), lambda t: F.concat(t, F.lit("\0"))), "")
+    if (size.first().s or 0) > most_chars:
+        raise ValueError(f"the pool has over {most_chars} characters; use pool_digest")
     return df.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"), F.count("*").alias("n"))
 
 
+def pool_digest(df: DataFrame, text: str) -> DataFrame:
+    """fingerprint, n of a table of any size, whatever its order: 16 hex digits of SHA-256 over the digests of 4,096 groups of
+    texts, each the sum and the exclusive or of its texts' SHA-256 in 64-bit words. Other digits than pool_fingerprint's."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    word = lambda k: F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long")
+    rows = df.select(F.substring(digest, 1, 3).alias("g"), *(word(k).alias(f"w{k}") for k in range(4)))
+    sums = [f(F.col(f"w{k}").cast("decimal(38, 0)") if f is F.sum else F.col(f"w{k}")).cast("string") for k in range(4) for f in (F.sum, F.bit_xor)]
+    parts = rows.groupBy("g").agg(F.concat_ws(",", *sums).alias("d"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d", "n"))), lambda s: F.concat_ws(":", s["g"], s["d"], s["n"].cast("string"))), ";")
+    return parts.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def retrain_preview(df: DataFrame, label: str, key: str, ratio: float = 0.2) -> DataFrame:
     """Split sizes, imbalance and warnings (imbalance of 10 or more, a class under 10, validation under 5)."""
     split = stratified_split(df, label, key, ratio).agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "val").alias("val"))
@@ -193,28 +211,80 @@ def model_agreement(predictions: DataFrame, key: str = "doc_idx") -> DataFrame:
     return lists.select(F.explode(pairs).alias("p")).groupBy("p.model1", "p.model2").agg(F.round(F.avg(F.col("p.same").cast("double")), 4).alias("agreement"), F.count("*").alias("n"))
 
 
-def behaviour_report(cases: DataFrame) -> DataFrame:
-    """cases: test, kind (MFT, INV, DIR), expected, label, base_label, score, base_score. MFT: the label is as expected; INV:
-    a perturbation keeps the base's label; DIR: the positive score rises by at most 0.05."""
-    passed = F.when(F.col("kind") == "MFT", F.col("label") == F.col("expected")).when(F.col("kind") == "INV", F.col("label") == F.col("base_label")).otherwise(F.col("score") <= F.col("base_score") + 0.05)
-    return cases.groupBy("kind", "test").agg(F.count("*").alias("n"), F.count_if(passed).alias("passed"), F.round(F.avg(passed.cast("double")), 4).alias("pass_rate"))
+def training_rows(df: DataFrame, text: str, label: str, labels: list) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be trained on, and reason (empty_text, unknown_label), label, n of those that can't."""
+    reason = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty_text").when(~F.coalesce(F.col(label).isin(*labels), F.lit(False)), "unknown_label")
+    judged = df.withColumn("_reason", reason)
+    skipped = judged.filter("_reason is not null").groupBy(F.col("_reason").alias("reason"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return judged.filter("_reason is null").drop("_reason"), skipped
 
 
-def train_classifier(df: DataFrame, text_tokens: str, label: str, key: str, ratio: float = 0.2, min_delta: float = 0.0, features: int = 1 << 16):
+def inherited_temperature(fitted: float, before: float, n_val: int, least: int = 50) -> tuple[float, bool]:
+    """Temperature after retraining, and whether it is the one before: so if a small validation set gave no fit."""
+    kept = fitted == 1.0 and before != 1.0 and n_val < least
+    return (before if kept else fitted), kept
+
+
+def train_classifier(df: DataFrame, text_tokens: str, label: str, key: str, ratio: float = 0.2, min_delta: float = 0.0, features: int = 1 << 16, force: bool = False, temperature: float = 1.0):
     """Class-weighted logistic regression on hashed TF-IDF, with metrics before (majority class) and after on the validation
-    rows, and whether the gate accepts it. Returns (model, report)."""
+    rows, whether the gate on weighted F1 accepts it, and the temperature fitted on the validation logits (or inherited).
+    Labels are 0, 1, 2, ...; returns (model, report)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.functions import vector_to_array
 
-    split = stratified_split(df, label, key, ratio).persist()
+    split = materialize(stratified_split(df, label, key, ratio), "retrain_split")
+    sizes = {r[0]: r[1] for r in split.groupBy("split").count().collect()}
+    if not sizes.get("val"):
+        raise ValueError("no validation rows: add corrections first")
     classes = [r[0] for r in split.select(label).distinct().orderBy(label).collect()]
-    weights = class_weights(split, label, classes).withColumnRenamed("label", label)
-    train = split.filter("split = 'train'").join(F.broadcast(weights), label)  # one row a class
-    val = split.filter("split = 'val'")
-    model = Pipeline(stages=[HashingTF(inputCol=text_tokens, outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=30, regParam=0.01)]).fit(train)
+    train, val = split.filter("split = 'train'"), split.filter("split = 'val'")
+    weights = class_weights(train, label, classes).withColumnRenamed("label", label)
+    weighted = train.join(F.broadcast(weights), label)  # one row a class
+    model = Pipeline(stages=[HashingTF(inputCol=text_tokens, outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=30, regParam=0.01)]).fit(weighted)
     majority = train.groupBy(label).count().orderBy(F.desc("count"), label).first()[0]
     before = classification_report(confusion(val.withColumn("_p", F.lit(majority)), label, "_p")).first()
-    after = classification_report(confusion(model.transform(val).withColumn("_p", F.col("prediction").cast(dict(df.dtypes)[label])), label, "_p")).first()
-    accepted = round(after.macro_f1 - before.macro_f1, 4) >= -abs(min_delta)
-    return model, {"before": before.asDict(), "after": after.asDict(), "accepted": accepted, "train": train.count(), "val": val.count()}
+    scored = materialize(model.transform(val).select(label, F.col("prediction").cast(dict(df.dtypes)[label]).alias("_p"), vector_to_array("rawPrediction").alias("logits")), "retrain_scored")
+    after = classification_report(confusion(scored, label, "_p")).first()
+    found, inherited = inherited_temperature(fit_temperature(scored.withColumn(label, F.col(label).cast("int")), "logits", label), temperature, sizes["val"])
+    delta = round(after.weighted_f1 - before.weighted_f1, 4)
+    report = {"before": before.asDict(), "after": after.asDict(), "weighted_f1_delta": delta, "accepted": force or delta >= -abs(min_delta), "temperature": found, "temperature_inherited": inherited, **{k: sizes.get(k, 0) for k in ("train", "val")}}
+    remove(split, scored)
+    return model, report
+
+
+def tagging_rows(tags: DataFrame, key: str = "doc_idx") -> DataFrame:
+    """key, has_aspect of tagged tokens (key, pos, token, label): what a tagger's split is stratified by."""
+    return tags.filter(F.col("label") != IGNORED).groupBy(key).agg(F.max((F.col("label") > 0).cast("int")).alias("has_aspect"))
+
+
+def train_tagger(tags: DataFrame, key: str = "doc_idx", official: DataFrame | None = None, ratio: float = 0.2, weighted: bool = False, min_delta: float = 0.0, force: bool = False, features: int = 1 << 16):
+    """A token tagger (labels 0 O, 1 B, 2 I; IGNORED ones are left out) by logistic regression over a token, its neighbours and
+    its ends, with token F1 before (all O) and after, and the gate on it. Documents are split by whether they have an aspect,
+    unless an official validation set is given. Returns (model, report)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+
+    def framed(rows: DataFrame) -> DataFrame:
+        low, order = F.lower("token"), Window.partitionBy(key).orderBy("pos")
+        around = {"w": low, "p": F.lag(low).over(order), "q": F.lag(low, 2).over(order), "n": F.lead(low).over(order), "e": F.substring(low, -3, 3), "b": F.substring(low, 1, 3)}
+        named = F.array_compact(F.array(*(F.concat(F.lit(f"{k}="), c) for k, c in around.items()), F.lit("bias")))
+        return rows.withColumn("_around", named).filter(F.col("label") != IGNORED).withColumn("label", F.col("label").cast("int"))
+
+    if official is None:
+        split = stratified_split(tagging_rows(tags, key), "has_aspect", key, ratio).select(key, "split")
+        parts = materialize(framed(tags).join(split, key), "tagger_tokens")
+        train, val = parts.filter("split = 'train'"), parts.filter("split = 'val'")
+    else:
+        train, val = materialize(framed(tags), "tagger_tokens"), materialize(framed(official), "tagger_tokens")
+    if val.limit(1).count() == 0:
+        raise ValueError("no validation rows: add corrections first")
+    weights = class_weights(train, "label", [0, 1, 2]) if weighted else train.sparkSession.createDataFrame([(k, 1.0) for k in range(3)], "label int, weight double")
+    model = Pipeline(stages=[HashingTF(inputCol="_around", outputCol="features", numFeatures=features, binary=True), LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", maxIter=30, regParam=1e-4)]).fit(train.join(F.broadcast(weights), "label"))  # one row a label
+    scored = model.transform(val).select(F.array("label").alias("t"), F.array(F.col("prediction").cast("int")).alias("p"))
+    before, after = token_f1(scored.withColumn("p", F.array(F.lit(0))), "t", "p").first(), token_f1(scored, "t", "p").first()
+    delta = round(after.f1 - before.f1, 4)
+    count = lambda rows: rows.select(key).distinct().count()
+    return model, {"before": before.asDict(), "after": after.asDict(), "f1_delta": delta, "accepted": force or delta >= -abs(min_delta), "train": count(train), "val": count(val), "split": "stratified" if official is None else "official"}

@@ -16,7 +16,8 @@ from lontar.lexicons import INDONESIAN
 from lontar.operators.clean import clean
 
 LABELS = ("positive", "neutral", "negative")
-EDGE = r"""^[.,!?;:"()\[\]]+|[.,!?;:"()\[\]]+$"""
+#: What is taken off a token's ends, and how many tokens a negation reaches.
+EDGE = '.,!?;:"()[]'
 SCOPE = 2
 
 #: Other names that models give the labels.
@@ -35,32 +36,27 @@ def resolve_label_map(id2label: dict | None) -> dict[int, str]:
 
 
 def polarity_counts(text: Column, lexicon: Lexicon = INDONESIAN) -> Column:
-    """struct(pos, neg): a fold over the tokens. A negation, itself not counted, flips polarity words up to two places on."""
-    words = F.transform(X.tokens(F.lower(text)), lambda t: F.regexp_replace(t, EDGE, ""))
-    kind = F.transform(
-        words,
-        lambda t: F.when(t.isin(*sorted(lexicon.lexicon_negations)), "n").when(t.isin(*sorted(lexicon.positive)), "p").when(t.isin(*sorted(lexicon.negative)), "m").otherwise(""),
-    )
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("until"), F.lit(0).alias("pos"), F.lit(0).alias("neg"))
+    """struct(pos, neg, blank): polarity words, flipped where one of the two tokens before is a negation (itself not counted).
+
+    Each token becomes one letter, and the two counts are matches in the string of letters. Blank texts have none."""
+    kinds = ("n", lexicon.lexicon_negations), ("p", lexicon.positive), ("m", lexicon.negative)
 
-    def step(s: Column, k: Column) -> Column:
-        flipped = s["i"] <= s["until"]
-        adds_pos = ((k == "p") & ~flipped) | ((k == "m") & flipped)
-        adds_neg = ((k == "m") & ~flipped) | ((k == "p") & flipped)
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            F.when(k == "n", s["i"] + SCOPE).otherwise(s["until"]).alias("until"),
-            (s["pos"] + adds_pos.cast("int")).alias("pos"),
-            (s["neg"] + adds_neg.cast("int")).alias("neg"),
-        )
+    def letter(t: Column) -> Column:
+        found = F.lit(".")
+        for k, chosen in reversed(kinds):
+            found = F.when(t.isin(*sorted(chosen)), k).otherwise(found) if chosen else found
+        return found
 
-    return F.aggregate(kind, start, step, lambda s: F.struct(s["pos"].alias("pos"), s["neg"].alias("neg")))
+    letters = F.array_join(F.transform(F.transform(X.tokens(F.lower(text)), lambda t: F.btrim(t, F.lit(EDGE))), letter), "")
+    after = f"(?<=n.{{0,{SCOPE - 1}}})"
+    plain = after.replace("<=", "<!")
+    count = lambda s, same, other: F.regexp_count(s, F.lit(f"{plain}{same}|{after}{other}"))
+    return X.let(letters, lambda s: F.struct(count(s, "p", "m").alias("pos"), count(s, "m", "p").alias("neg"), (s == "").alias("blank")))
 
 
-def lexicon_prediction(text: Column, counts: Column) -> list[Column]:
+def lexicon_prediction(counts: Column) -> list[Column]:
     """sentiment, confidence, scores, method from polarity counts; blank text is neutral, 0 and `empty`."""
-    blank = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")) == ""
-    pos, neg = counts["pos"], counts["neg"]
+    pos, neg, blank = counts["pos"], counts["neg"], counts["blank"]
     total = pos + neg
     sure = lambda n: F.least(F.lit(0.6) + n * F.lit(0.1), F.lit(0.95))
     sentiment = F.when(blank, "neutral").when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
@@ -75,8 +71,10 @@ def lexicon_prediction(text: Column, counts: Column) -> list[Column]:
 
 
 def score_lexicon(df: DataFrame, text: str = "processed_text", lexicon: Lexicon = INDONESIAN) -> DataFrame:
-    counted = df.withColumn("_counts", polarity_counts(F.coalesce(F.col(text), F.lit("")), lexicon))
-    return counted.select(*df.columns, *lexicon_prediction(F.col(text), F.col("_counts")))
+    """df with sentiment, confidence, scores, method. Text is counted once a row: inline() keeps later filters, which would
+    count it anew, above."""
+    counted = df.select("*", F.inline(F.array(F.struct(polarity_counts(F.coalesce(F.col(text), F.lit("")), lexicon).alias("_counts")))))
+    return counted.select(*df.columns, *lexicon_prediction(F.col("_counts")))
 
 
 def score_logits(df: DataFrame, logits: str = "logits", labels: dict[int, str] | None = None, config: SentimentConfig = SentimentConfig(), n_tokens: str | None = None) -> DataFrame:
@@ -201,6 +199,22 @@ def analyze(df: DataFrame, config: CleanConfig | None = None, lexicon: Lexicon =
     return {"predictions": predictions, "distribution": dist, "metrics": metrics(predictions), "review_queue": review_queue(predictions, key=key), "summary": summary(dist)}
 
 
+def ablation_configs() -> dict[str, CleanConfig | None]:
+    """The four preparations that are compared: none; letter case and punctuation; all normalising; what users send. The
+    transformer profile comes over the last two, so they must give the same."""
+    plain = {"remove_stopwords": False, "stemming": False}
+    return {"none": None, "case_and_punctuation": CleanConfig(**plain, fix_typos=False, normalize_slang=False), "normalised": CleanConfig(**plain), "as_sent": CleanConfig()}
+
+
+def preprocessing_ablation(df: DataFrame, configs: dict[str, CleanConfig | None] | None = None, lexicon: Lexicon = INDONESIAN, text: str = "text", key: str = "doc_idx") -> DataFrame:
+    """Predictions of every preparation in one frame, with a column `config`."""
+    out = None
+    for name, config in (configs or ablation_configs()).items():
+        part = analyze(df, config, lexicon, text, key)["predictions"].withColumn("config", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def save_calibration(path: str, temperature: float) -> None:
     Path(path).write_text(json.dumps({"temperature": temperature}))
 

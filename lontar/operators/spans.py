@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lontar.functions import text as X
 from lontar.functions.stem import stem_udf, verbal_derivation
 from lontar.lexicons import CONNECTIVES, ROOTS, VERBAL_PREFIXES
 
@@ -22,33 +23,46 @@ def python_normalize_aspect(name: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"^\W+|\W+$", "", name.strip()).lower().strip())
 
 
-def _starts(text: Column, pattern: str) -> Column:
-    """Where a zero-width pattern matches, 0 apart, and 0 itself: sums of the lengths of the pieces split there."""
-    pieces = F.split(text, pattern)
-    sums = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda s, p: F.struct((s["at"] + F.char_length(p)).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")),
-    )
-    return sums["found"]
+#: Pieces whose lengths are added up at a time. Growing arrays are copied, so short ones keep the work in proportion.
+_BLOCK = 64
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of the values before each one."""
+
+    def before(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("found"))
+        return F.aggregate(values, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")))["found"]
+
+    total = lambda b: F.aggregate(b, F.lit(0), lambda s, n: s + n)
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK))
+    return X.let(X.let(lengths, blocks), lambda bs: F.flatten(F.zip_with(bs, before(F.transform(bs, total), F.lit(0)), before)))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """The text cut where a zero-width pattern matches: array of (start, piece, index); the first starts at 0."""
+    return X.let(F.split(text, pattern), lambda p: F.zip_with(p, _running(F.transform(p, F.char_length)), lambda piece, at: F.struct(at.alias("start"), piece.alias("piece"))))
 
 
 def literal_spans(docs: DataFrame, aspects: list[str], key: str = "doc_idx", text: str = "text") -> DataFrame:
     """key, aspect, start, end, surface of all occurrences, overlapping ones too, whole words and in any letter case.
 
-    One regular expression finds where any aspect may start; what starts there is told by comparing. The lexicon is a
-    constant of the plan, so nothing is shuffled or joined.
+    One regular expression cuts texts where an aspect's first word starts; what stands there meets the aspects with that
+    first word in a hash join with the lexicon, which is a list at the driver.
     """
-    names = sorted({n for a in aspects if (n := python_normalize_aspect(a))}, key=lambda a: (-len(a), a))
+    names = sorted({n for a in aspects if (n := python_normalize_aspect(a))})
     if not names:
         return docs.select(key, F.lit(None).cast("string").alias("aspect"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface")).limit(0)
-    pattern = r"(?iu)" + _NO_LETTER_BEFORE + "(?=(?:" + "|".join(re.escape(n) for n in names) + ")" + _NO_LETTER_AFTER + ")"
-    found = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"), F.explode(_starts(F.col(text), pattern)).alias("start"))
-    hits = found.withColumn("aspect", F.explode(F.array(*map(F.lit, names)))).withColumn("end", F.col("start") + F.char_length("aspect"))
-    surface = F.expr("substring(_t, start + 1, end - start)")
-    ends = F.expr("substring(_t, end + 1, 1)").rlike(r"^[\p{L}\p{N}]")
-    begins = F.expr("substring(_t, start, 1)").rlike(r"[\p{L}\p{N}]") & (F.col("start") > 0)
-    return hits.withColumn("surface", surface).filter((F.lower("surface") == F.col("aspect")) & ~ends & ~begins).select(key, "aspect", "start", "end", "surface")
+    head = lambda n: re.match(r"[^\W_]+|.", n)[0]
+    pattern = r"(?iu)" + _NO_LETTER_BEFORE + "(?=(?:" + "|".join(re.escape(h) for h in sorted({head(n) for n in names})) + ")" + _NO_LETTER_AFTER + ")"
+    longest = max(map(len, names)) + 1
+    window = lambda p, i: F.substring(F.array_join(F.transform(F.slice(p, i + 1, longest), lambda x: x["piece"]), ""), 1, longest)
+    found = X.let(_pieces(F.col(text), pattern), lambda p: F.transform(p, lambda s, i: F.struct(s["start"].alias("start"), window(p, i).alias("_w"))))
+    rows = docs.filter(F.col(text).isNotNull()).select(key, F.inline(found)).withColumn("_h", F.regexp_extract(F.lower("_w"), r"(?s)^(?:[\p{L}\p{N}]+|.)", 0))
+    lexicon = docs.sparkSession.createDataFrame([(head(n), n, len(n)) for n in names], "_h string, aspect string, _n int")
+    hits = rows.join(F.broadcast(lexicon), "_h").withColumn("surface", F.expr("substring(_w, 1, _n)"))
+    kept = hits.filter((F.lower("surface") == F.col("aspect")) & ~F.expr("substring(_w, _n + 1, 1)").rlike(r"^[\p{L}\p{N}]"))
+    return kept.select(key, "aspect", "start", (F.col("start") + F.col("_n")).alias("end"), "surface")
 
 
 def word_spans(docs: DataFrame, key: str = "doc_idx", text: str = "text") -> DataFrame:
@@ -168,7 +182,7 @@ def clause_bounds(text: Column, connectives=CONNECTIVES) -> Column:
     """Where clauses of a text begin and end: after . ! ? ; newline, and before whole-word connectives."""
     words = "|".join(re.escape(c) for c in connectives)
     pattern = r"(?iu)(?<=[.!?;\n])|" + _NO_LETTER_BEFORE + f"(?=(?:{words})" + _NO_LETTER_AFTER + ")"
-    return F.concat(_starts(text, pattern), F.array(F.char_length(text)))
+    return F.concat(F.transform(_pieces(text, pattern), lambda p: p["start"]), F.array(F.char_length(text)))
 
 
 def add_clauses(occurrences: DataFrame, docs: DataFrame, key: str = "doc_idx", text: str = "text", connectives=CONNECTIVES) -> DataFrame:
@@ -191,14 +205,16 @@ def add_clauses(occurrences: DataFrame, docs: DataFrame, key: str = "doc_idx", t
 def context_words(aspect: Column, text: Column, window: int = 3) -> Column:
     """Words around the aspect's first occurrence as words; else the first 50 characters, all in lower case."""
     lowered = F.lower(text)
-    words = F.filter(F.split(lowered, r"(?U)\s+"), lambda w: w != "")
-    parts = F.filter(F.split(F.lower(aspect), r"(?U)\s+"), lambda w: w != "")
-    n, m = F.size(words), F.size(parts)
-    starts = F.when((n >= m) & (m > 0), F.filter(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda i: F.slice(words, i, m) == parts)).otherwise(F.array().cast("array<int>"))
-    first = F.try_element_at(starts, F.lit(1))
-    low = F.greatest(F.lit(1), first - window)
-    around = F.array_join(F.slice(words, low, F.least(n, first + m - 1 + window) - low + 1), " ")
-    return F.when(first.isNotNull(), around).otherwise(F.substring(lowered, 1, 50))
+
+    def around(both: Column) -> Column:
+        words, parts = both["words"], both["parts"]
+        n, m = F.size(words), F.size(parts)
+        fits = F.filter(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda i: (F.get(words, i - 1) == F.get(parts, F.lit(0))) & (F.slice(words, i, m) == parts))
+        first = F.when((n >= m) & (m > 0), F.try_element_at(fits, F.lit(1)))
+        low, high = (lambda at: F.greatest(F.lit(1), at - window)), (lambda at: F.least(n, at + m - 1 + window))
+        return X.let(first, lambda at: F.when(at.isNotNull(), F.array_join(F.slice(words, low(at), high(at) - low(at) + 1), " ")))
+
+    return F.coalesce(X.let(F.struct(X.tokens(lowered).alias("words"), X.tokens(F.lower(aspect)).alias("parts")), around), F.substring(lowered, 1, 50))
 
 
 def char_context(text: Column, start: Column, end: Column, window: int = 30) -> Column:

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lontar.config import CleanConfig, Lexicon, TopicConfig
+from lontar.functions.stem import stem_map
 from lontar.functions.text import tokens as split_tokens
 from lontar.lexicons import INDONESIAN, TOPIC_LABEL_STOPWORDS
 from lontar.operators import quality
 from lontar.operators.clean import clean, filter_rare_tokens
-from lontar.tables import materialize
+from lontar.tables import materialize, remove
 
 #: Hash values of terms, and columns that their fixed random projection leaves for PCA.
 TERMS, COLUMNS = 1 << 20, 2000
@@ -30,10 +31,20 @@ def label_tokens(text: Column, stopwords=TOPIC_LABEL_STOPWORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(*sorted(stopwords))) if stopwords else words
 
 
-def count_vectors(docs: DataFrame, words: str = "tokens", output: str = "counts", for_classes: bool = False, vocabulary: int = 1 << 18):
-    """Term counts; min_df 2 and max_df 0.85 from 50 documents on. Returns the frame and the vocabulary."""
+def vocabulary_counts(docs: DataFrame, words: str = "tokens", key: str = "doc_idx", for_classes: bool = False) -> DataFrame:
+    """word, tf, df of the words that are counted: from 50 documents on those of two documents or more and of no more than 85 %
+    of them; else, and for class weights, all."""
+    flat = docs.select(key, F.explode(words).alias("word"))
+    by = flat.groupBy("word", key).agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    n = docs.count()
+    return by if for_classes or n < 50 else by.filter((F.col("df") >= 2) & (F.col("df") <= 0.85 * n))
+
+
+def count_vectors(docs: DataFrame, words: str = "tokens", output: str = "counts", for_classes: bool = False):
+    """Term counts under vocabulary_counts' rule, over all terms. Returns the frame and the vocabulary, which MLlib's models
+    keep at the driver."""
     many = not for_classes and docs.count() >= 50
-    model = CountVectorizer(inputCol=words, outputCol=output, minDF=2 if many else 1, maxDF=0.85 if many else 2**62, vocabSize=vocabulary).fit(docs)
+    model = CountVectorizer(inputCol=words, outputCol=output, minDF=2 if many else 1, maxDF=0.85 if many else 2**62, vocabSize=2**31 - 1).fit(docs)
     return model.transform(docs), model.vocabulary
 
 
@@ -55,14 +66,10 @@ def lda_topics(docs: DataFrame, words: str = "tokens", key: str = "doc_idx", num
     share = vector_to_array("topicDistribution")
     assigned = model.transform(counted).select(key, (F.array_position(share, F.array_max(share)) - 1).cast("int").alias("topic_id"))
     terms = model.describeTopics(config.top_words)
-    table = F.array(*map(F.lit, vocabulary)) if len(vocabulary) <= 5000 else None
-    if table is not None:
-        named = terms.select(F.col("topic").alias("topic_id"), F.transform("termIndices", lambda i: F.get(table, i)).alias("words"), F.col("termWeights").alias("weights"))
-    else:  # k * top_words indices meet the vocabulary as rows
-        words_ = docs.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, w string")
-        flat = terms.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("p", "z")).join(words_, F.col("z.termIndices") == F.col("i"))
-        ordered = flat.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("p", "w", F.col("z.termWeights").alias("g")))).alias("s"))
-        named = ordered.select(F.col("topic").alias("topic_id"), F.transform("s", lambda s: s["w"]).alias("words"), F.transform("s", lambda s: s["g"]).alias("weights"))
+    words_ = docs.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, w string")  # k * top_words indices meet the vocabulary as rows
+    flat = terms.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("p", "z")).join(words_, F.col("z.termIndices") == F.col("i"))
+    ordered = flat.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("p", "w", F.col("z.termWeights").alias("g")))).alias("s"))
+    named = ordered.select(F.col("topic").alias("topic_id"), F.transform("s", lambda s: s["w"]).alias("words"), F.transform("s", lambda s: s["g"]).alias("weights"))
     return renumber(named.withColumn("method", F.lit("lda")), assigned, key)
 
 
@@ -112,15 +119,18 @@ def kmeans_k(requested: int, n: int) -> int:
     return max(2, min(20, requested or int(sqrt(n / 2)), n // 2))
 
 
-def cluster(vectors: DataFrame, k: int, key: str = "doc_idx", seed: int = 42, bisecting: bool = False, outlier_distance: float | None = None) -> DataFrame:
-    """key, topic_id by (bisecting) k-means; with a cut, documents farther from their centre are -1."""
+def cluster(vectors: DataFrame, k: int, key: str = "doc_idx", seed: int = 42, bisecting: bool = False, outlier_share: float = 0.0) -> DataFrame:
+    """key, topic_id by (bisecting) k-means. About outlier_share of each cluster's documents, those farthest from its centre,
+    are -1 (by an approximate percentile of the distances; documents at the cut itself stay)."""
     model = (BisectingKMeans if bisecting else KMeans)(k=k, seed=seed, featuresCol="features", predictionCol="topic_id").fit(vectors)
-    out = model.transform(vectors)
-    if outlier_distance is None:
-        return out.select(key, F.col("topic_id").cast("int").alias("topic_id"))
+    out = model.transform(vectors).withColumn("topic_id", F.col("topic_id").cast("int"))
+    if outlier_share <= 0:
+        return out.select(key, "topic_id")
     centres = out.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "topic_id int, _c array<double>")
     apart = F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    return out.join(F.broadcast(centres), "topic_id").select(key, F.when(apart > outlier_distance, -1).otherwise(F.col("topic_id")).cast("int").alias("topic_id"))
+    far = out.join(F.broadcast(centres), "topic_id").select(key, "topic_id", apart.alias("_d"))  # k rows
+    cuts = far.groupBy("topic_id").agg(F.percentile_approx("_d", 1 - outlier_share, 10_000).alias("_cut"))
+    return far.join(F.broadcast(cuts), "topic_id").select(key, F.when(F.col("_d") > F.col("_cut"), -1).otherwise(F.col("topic_id")).cast("int").alias("topic_id"))
 
 
 def degenerate(assigned: DataFrame, config: TopicConfig = TopicConfig()) -> DataFrame:
@@ -137,27 +147,99 @@ def acceptable_k(largest_share: float, k: int, config: TopicConfig = TopicConfig
 
 
 def select_k(natural: int, measure, config: TopicConfig = TopicConfig()) -> int:
-    """Of natural - 1 down to min_topics, the accepted k with most coherence; natural if it is small or none is accepted.
-    measure(k) gives (largest share, c_v)."""
+    """Of natural down to min_topics, the accepted k with most coherence (of equal ones the larger); natural if it is small or
+    none is accepted. measure(k) gives (largest share, c_v)."""
     if natural <= config.min_topics:
         return natural
     best, most = natural, None
-    for k in range(natural - 1, config.min_topics - 1, -1):
+    for k in range(natural, config.min_topics - 1, -1):
         share, c_v = measure(k)
         if acceptable_k(share, k, config) and (most is None or c_v > most):
             best, most = k, c_v
     return best
 
 
-def class_tfidf(tokens: DataFrame, assigned: DataFrame, words: str = "tokens", key: str = "doc_idx", reduce_frequent: bool = True) -> DataFrame:
-    """topic_id, term, weight: (root of) the share of a term in its topic times ln(1 + mean words a topic / the term's count)."""
-    tf = tokens.select(key, F.explode(words).alias("term")).join(assigned, key).groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
-    per_topic = tf.groupBy("topic_id").agg(F.sum("tf").alias("topic_words"))
-    per_term = tf.groupBy("term").agg(F.sum("tf").alias("term_count"))
-    average = per_topic.agg((F.sum("topic_words") / F.count("*")).alias("average"))
+def class_counts(tokens: DataFrame, assigned: DataFrame, words: str = "tokens", key: str = "doc_idx") -> DataFrame:
+    return tokens.select(key, F.explode(words).alias("term")).join(assigned, key).groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
+
+
+def class_weights(counts: DataFrame, reduce_frequent: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """topic_id, term, tf, weight: (root of) the share of a term in its topic times ln(1 + mean words a topic / the term's
+    count); `by` names columns that part clusterings from one another."""
+    tf = counts if by else counts.withColumn("_one", F.lit(0))
+    keys = list(by) or ["_one"]
+    per_topic = tf.groupBy(*keys, "topic_id").agg(F.sum("tf").alias("topic_words"))
+    per_term = tf.groupBy(*keys, "term").agg(F.sum("tf").alias("term_count"))
+    average = per_topic.groupBy(*keys).agg((F.sum("topic_words") / F.count("*")).alias("average"))
     share = F.col("tf") / F.col("topic_words")
     weight = (F.sqrt(share) if reduce_frequent else share) * F.ln(1 + F.col("average") / F.col("term_count"))
-    return tf.join(per_topic, "topic_id").join(per_term, "term").crossJoin(F.broadcast(average)).select("topic_id", "term", "tf", weight.alias("weight"))
+    whole = tf.join(per_topic, [*keys, "topic_id"]).join(per_term, [*keys, "term"]).join(average, keys)
+    return whole.select(*by, "topic_id", "term", "tf", weight.alias("weight"))
+
+
+def class_tfidf(tokens: DataFrame, assigned: DataFrame, words: str = "tokens", key: str = "doc_idx", reduce_frequent: bool = True) -> DataFrame:
+    """topic_id, term, tf, weight of class_weights over a clustering."""
+    return class_weights(class_counts(tokens, assigned, words, key), reduce_frequent)
+
+
+def merge_order(counts: DataFrame) -> dict[int, dict[int, int]]:
+    """For each number of topics from all down to 1, the topic that each topic is then part of: the two most alike by class
+    TF-IDF (average linkage of cosines) merge, one pair at a time. Topics are few, so their cosines come to the driver."""
+    weights = class_weights(counts, False).select("topic_id", "term", "weight")
+    squares = {r.topic_id: r.s for r in weights.groupBy("topic_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()}
+    other = weights.select("term", F.col("topic_id").alias("o"), F.col("weight").alias("v"))
+    dots = weights.join(other, "term").filter("topic_id < o").groupBy("topic_id", "o").agg(F.sum(F.col("weight") * F.col("v")).alias("d")).collect()
+    alike = {(r.topic_id, r.o): r.d / sqrt(squares[r.topic_id] * squares[r.o]) for r in dots if squares[r.topic_id] * squares[r.o]}
+    groups = [[t] for t in sorted(squares)]
+    mean = lambda g, h: sum(alike.get((min(a, b), max(a, b)), 0.0) for a in g for b in h) / (len(g) * len(h))
+    found = {}
+    while groups:
+        found[len(groups)] = {t: min(g) for g in groups for t in g}
+        if len(groups) == 1:
+            break
+        i, j = max(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda p: (mean(groups[p[0]], groups[p[1]]), -p[0], -p[1]))
+        groups[i] = groups[i] + groups.pop(j)
+    return found
+
+
+def merged(assigned: DataFrame, parts: dict[int, int], key: str = "doc_idx") -> DataFrame:
+    """The assignment after a merge; outliers stay."""
+    table = assigned.sparkSession.createDataFrame(sorted(parts.items()), "topic_id int, _to int")
+    return assigned.join(F.broadcast(table), "topic_id", "left").select(key, F.coalesce("_to", "topic_id").alias("topic_id"))  # one row a topic
+
+
+def sweep_k(tokens: DataFrame, assigned: DataFrame, ks: list[int] | None = None, words: str = "tokens", key: str = "doc_idx", config: TopicConfig = TopicConfig()) -> DataFrame:
+    """k, c_v, c_npmi, diversity, outlier_rate, largest_share for numbers of topics that a clustering is merged down to (all
+    down to 2). Words of all of them are scored in one pass over the corpus."""
+    counts = materialize(class_counts(tokens, assigned.filter("topic_id != -1"), words, key), "sweep_counts")
+    order = merge_order(counts)
+    chosen = sorted(k for k in order if (k in ks if ks is not None else k > 1))
+    width = max([0, *(t for m in order.values() for t in m)]) + 1
+    spark = tokens.sparkSession
+    maps = spark.createDataFrame([(k, old, k * width + new) for k in chosen for old, new in order[k].items()], "k int, topic_id int, _to int")
+    moved = counts.join(F.broadcast(maps), "topic_id").groupBy("k", F.col("_to").alias("topic_id"), "term").agg(F.sum("tf").alias("tf"))  # a row for each k and topic
+    labels = materialize(top_terms(class_weights(moved, by=("k",)), config.top_words), "sweep_labels")
+    of = F.floor(F.col("topic_id") / width).cast("int").alias("k")
+    mean = lambda scores, name: scores.groupBy(of).agg(F.round(F.avg("v"), 4).alias(name))
+    sizes = assigned.groupBy("topic_id").agg(F.count("*").alias("n"))
+    held = sizes.join(F.broadcast(maps), "topic_id").groupBy("k", "_to").agg(F.sum("n").alias("n")).groupBy("k").agg(F.max("n").alias("most"))
+    total = sizes.agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("topic_id") == -1, F.col("n"))), F.lit(0)).alias("out"))
+    shares = held.join(F.broadcast(total), how="cross").select("k", F.round(F.col("out") / F.col("all"), 4).alias("outlier_rate"), F.round(F.col("most") / F.col("all"), 4).alias("largest_share"))  # one row
+    varied = labels.select(of, F.explode("words").alias("w")).groupBy("k").agg(F.round(F.count_distinct("w") / F.count("*"), 4).alias("diversity"))
+    return mean(quality.cv_by_topic(labels, tokens, words, top_n=config.top_words), "c_v").join(mean(quality.npmi_by_topic(labels, tokens, words, top_n=config.top_words), "c_npmi"), "k").join(varied, "k").join(shares, "k")
+
+
+def choose_topics(tokens: DataFrame, assigned: DataFrame, num_topics: int, words: str = "tokens", key: str = "doc_idx", config: TopicConfig = TopicConfig()) -> DataFrame:
+    """The assignment with at most num_topics topics; 0 or less: with the number that select_k takes by balance and C_v."""
+    natural = assigned.filter("topic_id != -1").select("topic_id").distinct().count()
+    if num_topics <= 0:
+        if natural <= config.min_topics:
+            return assigned
+        rows = {r.k: r for r in sweep_k(tokens, assigned, list(range(config.min_topics, natural + 1)), words, key, config).collect()}
+        num_topics = select_k(natural, lambda k: (rows[k].largest_share, rows[k].c_v), config)
+    if natural <= num_topics:
+        return assigned
+    return merged(assigned, merge_order(class_counts(tokens, assigned.filter("topic_id != -1"), words, key))[num_topics], key)
 
 
 def top_terms(weights: DataFrame, n: int = 10) -> DataFrame:
@@ -183,8 +265,14 @@ def pull_outliers(tokens: DataFrame, assigned: DataFrame, words: str = "tokens",
     return assigned.join(best.select(key, (-F.col("_b._t")).alias("_new")), key, "left").select(key, F.coalesce("_new", "topic_id").alias("topic_id"))
 
 
+def term_vectors(weights: DataFrame, topics: list[int]) -> DataFrame:
+    """term, vector: a term's weights over the topics, which stand for its meaning where no encoder does."""
+    wide = weights.groupBy("term").pivot("topic_id", topics).agg(F.first("weight"))
+    return wide.select("term", F.array(*(F.coalesce(F.col(f"`{t}`"), F.lit(0.0)) for t in topics)).alias("vector"))
+
+
 def mmr(candidates: DataFrame, n: int = 10, diversity: float = 0.3) -> DataFrame:
-    """Maximal marginal relevance within each topic: topic_id, term, relevance, vector -> topic_id, words.
+    """Maximal marginal relevance within each topic: topic_id, term, relevance, vector -> topic_id, words, weights.
 
     A topic's candidates are few (its top terms), and one topic is one group.
     """
@@ -198,9 +286,16 @@ def mmr(candidates: DataFrame, n: int = 10, diversity: float = 0.3) -> DataFrame
         while rest and len(chosen) < n:
             gain = [(1 - diversity) * relevance[i] - diversity * alike[i, chosen].max() for i in rest]
             chosen.append(rest.pop(int(np.argmax(gain))))
-        return pd.DataFrame({"topic_id": [int(pdf.topic_id.iloc[0])], "words": [[terms[i] for i in chosen]]})
+        return pd.DataFrame({"topic_id": [int(pdf.topic_id.iloc[0])], "words": [[terms[i] for i in chosen]], "weights": [[float(relevance[i]) for i in chosen]]})
+
+    return candidates.select("topic_id", "term", "relevance", "vector").groupBy("topic_id").applyInPandas(choose, "topic_id int, words array<string>, weights array<double>")
+
 
-    return candidates.select("topic_id", "term", "relevance", "vector").groupBy("topic_id").applyInPandas(choose, "topic_id int, words array<string>")
+def diverse_labels(weights: DataFrame, topics: list[int], n: int = 10, diversity: float = 0.3) -> DataFrame:
+    """topic_id, words, weights: of each topic's 3 n strongest terms the n that mmr picks."""
+    top = top_terms(weights, 3 * n).select("topic_id", F.explode(F.arrays_zip("words", "weights")).alias("z"))
+    named = top.select("topic_id", F.col("z.words").alias("term"), F.col("z.weights").alias("relevance"))
+    return mmr(named.join(term_vectors(weights, topics), "term"), n, diversity)
 
 
 def label_vocabulary(docs: DataFrame, text: str = "text", min_freq: int = 1, stopwords=TOPIC_LABEL_STOPWORDS) -> DataFrame | None:
@@ -284,9 +379,22 @@ def summary(topics: DataFrame) -> DataFrame:
     return row.select("num_topics", F.when(F.col("num_topics") == 0, "Tidak ada topik yang ditemukan.").otherwise(text).alias("summary"))
 
 
+def readable_topics(topics: DataFrame, frequent: DataFrame, docs: DataFrame, text: str, key: str, roots) -> tuple[DataFrame, DataFrame]:
+    """Topics with words as people write them (words_stemmed keeps the stems), and the surfaces of these and the frequent words."""
+    wanted = topics.select(F.explode("words").alias("word")).unionByName(frequent.select("word")).distinct()
+    written = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b([a-z]{3,})\b"), F.lit(1)))).alias("token"))
+    surfaces = materialize(surface_map(docs, wanted, stem_map(written, "token", roots), text, key), "topic_surfaces")
+    return readable(topics, surfaces), surfaces
+
+
 def analyze(docs: DataFrame, user: dict | None = None, num_topics: int = 5, text: str = "text", key: str = "doc_idx", lexicon: Lexicon = INDONESIAN, config: TopicConfig = TopicConfig(), method: str = "kmeans", stopwords=TOPIC_LABEL_STOPWORDS, iterations: int = 20) -> dict:
     """Cleans with the bag-of-words profile, filters rare tokens, drops blank documents, and models the rest; documents that
-    were not modelled get -1. Under three documents, or when LDA finds too few words, topics come from word frequencies."""
+    were not modelled get -1. Under three documents, or when LDA finds too few words, topics come from word frequencies.
+
+    Clusters come from k-means, by bisection if it degenerates, and their farthest documents are outliers. num_topics of 0 or
+    less chooses a number by balance and C_v; clusters beyond the number merge, and outliers near a topic are pulled in. Labels
+    are diverse terms that the label vocabulary has, as people write them; quality is measured on their stems.
+    """
     cleaned = clean(docs.select(key, text), CleanConfig.for_task("bag_of_words", user), text, (key,), lexicon)
     tokens = filter_rare_tokens(cleaned.select(key, split_tokens(F.col("processed_text")).alias("tokens")), "tokens", [key], config.min_token_freq)
     tokens = materialize(tokens, "topic_tokens")  # each later step would plan the cleaning anew
@@ -300,15 +408,23 @@ def analyze(docs: DataFrame, user: dict | None = None, num_topics: int = 5, text
         except ValueError:
             topics, assigned = frequency_topics(kept, "tokens", key, stopwords)
     else:
-        vectors = features(kept, seed=config.seed).persist()
-        assigned = materialize(cluster(vectors, kmeans_k(num_topics, n), key, config.seed, method == "bisecting"), "topic_clusters")
-        if degenerate(assigned, config).first().degenerate and method != "bisecting":
-            again = materialize(cluster(vectors, kmeans_k(num_topics, n), key, config.seed, True), "topic_clusters")
+        vectors = materialize(features(kept, seed=config.seed).select(key, "features"), "topic_vectors")
+        k = kmeans_k(num_topics, n)
+        clustered = lambda bisecting: materialize(cluster(vectors, k, key, config.seed, bisecting, config.outlier_share), "topic_clusters")
+        assigned = clustered(method == "bisecting")
+        if method != "bisecting" and degenerate(assigned, config).first().degenerate:
+            again = clustered(True)
             if not degenerate(again, config).first().degenerate:
                 assigned, method = again, "bisecting"
+        assigned = materialize(choose_topics(kept, assigned, num_topics, "tokens", key, config), "topic_merged")
         pulled = materialize(pull_outliers(kept, assigned, "tokens", key, config), "topic_pulled")
-        labels = materialize(top_terms(class_tfidf(kept, pulled.filter("topic_id != -1"), "tokens", key), config.top_words), "topic_labels")
+        weights = materialize(class_tfidf(kept, pulled.filter("topic_id != -1"), "tokens", key), "topic_weights")
+        ids = sorted(r[0] for r in weights.select("topic_id").distinct().collect())
+        labels = materialize(diverse_labels(weights, ids, config.top_words, config.label_diversity), "topic_labels")
         topics, assigned = renumber(labels.withColumn("method", F.lit(method)), pulled, key)
-    topics, assigned = materialize(topics, "topics"), materialize(assigned, "topic_documents")
+        remove(vectors)
+    vocabulary = label_vocabulary(kept.select(key, F.array_join("tokens", " ").alias("tokens")), "tokens", config.min_label_freq, stopwords)
+    topics, assigned = materialize(filter_label_words(topics, vocabulary, config.top_words), "topics"), materialize(assigned, "topic_documents")
     aligned = docs.select(key).join(assigned, key, "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
-    return {"topics": topics, "document_topics": aligned, "word_frequencies": word_frequencies(kept, "tokens", key, stopwords=stopwords), "quality": quality.evaluate(topics, kept, aligned), "summary": summary(topics)}
+    shown, surfaces = readable_topics(topics, word_frequencies(kept, "tokens", key, stopwords=stopwords), docs, text, key, lexicon.roots)
+    return {"topics": shown, "document_topics": aligned, "word_frequencies": word_frequencies(kept, "tokens", key, stopwords=stopwords, surfaces=surfaces), "quality": quality.evaluate(topics, kept, aligned), "summary": summary(shown)}

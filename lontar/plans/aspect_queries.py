@@ -9,8 +9,10 @@ from lontar.operators import aspects as A
 from lontar.operators import datasets as D
 from lontar.operators import evaluate as E
 from lontar.operators import spans as P
-from lontar.plans.common import ASPECTS, DOCS, LATIN, TABLE_LEXICON, TOKENS, docs, in_list, latin_sql, read
+from lontar.operators.sentiment import LABELS
+from lontar.plans.common import ASPECTS, DOCS, LATIN, TABLE_LEXICON, TOKENS, docs, in_list, latin_sql, read, words_sql
 from lontar.plans.registry import query
+from lontar.plans.sentiment_queries import predictions_sql
 
 _NAMES = "(VALUES " + ", ".join(f"('{a}')" for a in ASPECTS) + ")"
 #: occ: literal spans, by trying each place where an aspect's text stands.
@@ -163,10 +165,37 @@ def iob_spans(spark, sf_dir):
     return _long(P.iob_spans(flat.withColumn("label", label)), "start", "end")
 
 
-@query()
+#: win: the spans of occ that stay when longest come first, then earliest, then by name.
+_GREEDY = """o AS (SELECT doc_idx, aspect, start, "end", row_number() OVER (PARTITION BY doc_idx ORDER BY start - "end", start, "end", aspect) AS i FROM occ),
+r AS (SELECT doc_idx, i, [struct_pack(a := start, z := "end")] AS held, true AS stays FROM o WHERE i = 1
+UNION ALL SELECT o.doc_idx, o.i, CASE WHEN len(list_filter(r.held, lambda k: k.a < o."end" AND o.start < k.z)) = 0 THEN list_append(r.held, struct_pack(a := o.start, z := o."end")) ELSE r.held END, len(list_filter(r.held, lambda k: k.a < o."end" AND o.start < k.z)) = 0
+    FROM r JOIN o ON o.doc_idx = r.doc_idx AND o.i = r.i + 1),
+win AS (SELECT o.* FROM o JOIN r USING (doc_idx, i) WHERE r.stays)"""
+
+
+@query(f'WITH RECURSIVE {_OCC}, {_GREEDY} SELECT doc_idx, aspect, start, "end" FROM win')
 def resolve_overlaps(spark, sf_dir):
-    """Greedy, so no plain SQL."""
-    return P.resolve_overlaps(_occurrences(spark, sf_dir))
+    """Greedy, longest first."""
+    return _long(P.resolve_overlaps(_occurrences(spark, sf_dir)), "start", "end")
+
+
+@query(f"WITH RECURSIVE {_OCC}, {_GREEDY} SELECT doc_idx, count(*) AS n, min(start) AS first_start FROM win WHERE aspect IN ('the', 'of the', 'reason') GROUP BY doc_idx")
+def gold_spans(spark, sf_dir):
+    """A gold set with the annotators' offsets, read back from its own structure."""
+    from lontar.sources.writers import to_gold
+
+    made = to_gold(docs(spark, sf_dir), P.resolve_overlaps(_occurrences(spark, sf_dir)).filter("aspect IN ('the', 'of the', 'reason')"))
+    flat = made.select("doc_idx", F.explode("spans").alias("s")).filter("char_length(s.surface) = s.end - s.start")
+    return flat.groupBy("doc_idx").agg(F.count("*").alias("n"), F.min("s.start").cast("long").alias("first_start"))
+
+
+@query(f"""WITH {_OCC}, w AS (SELECT doc_id AS doc_idx, {words_sql('lower(text)')} AS w, lower(text) AS l FROM documents),
+f AS (SELECT doc_idx, l, w, aspect, list_position(w, aspect) AS p FROM w, (VALUES ('the'), ('reason'), ('und'), ('zzz')) AS n(aspect))
+SELECT doc_idx, aspect, CASE WHEN p IS NULL OR p = 0 THEN substr(l, 1, 50) ELSE array_to_string(w[greatest(1, p - 3):least(len(w), p + 3)], ' ') END AS context FROM f""")
+def word_context(spark, sf_dir):
+    """Three words on either side of the first occurrence."""
+    names = F.explode(F.array(*map(F.lit, ("the", "reason", "und", "zzz"))))
+    return docs(spark, sf_dir).select("doc_idx", "text", names.alias("aspect")).select("doc_idx", "aspect", P.context_words(F.col("aspect"), F.col("text")).alias("context"))
 
 
 @query()
@@ -175,23 +204,48 @@ def lexicon_annotation(spark, sf_dir):
     return D.annotate(docs(spark, sf_dir), [("the", True), ("reason", False), ("heit", False)], roots=frozenset({"reason", "heit"}))
 
 
-@query()
+_CONNECTIVES = ("and", "der", "que", "mais")
+#: cl: occ with its clause. Bounds are the ends of the text, places after sentence marks, and whole connectives.
+_CLAUSES = f"""l0 AS (SELECT doc_id AS doc_idx, text, lower(text) AS l FROM documents),
+mk AS (SELECT doc_idx, unnest(list_filter(generate_series(1, len(text)), lambda i: contains('.!?;' || chr(10), substr(text, i, 1)))) AS b FROM l0),
+cx AS (SELECT doc_idx, l, c, unnest(list_filter(generate_series(1, len(l)), lambda i: substr(l, i, len(c)) = c)) AS i FROM l0, (VALUES {", ".join(f"('{c}')" for c in _CONNECTIVES)}) AS n(c) WHERE contains(l, c)),
+bd AS (SELECT doc_idx, CAST(0 AS BIGINT) AS b FROM l0 UNION SELECT doc_idx, len(text) FROM l0 UNION SELECT doc_idx, b FROM mk
+    UNION SELECT doc_idx, i - 1 FROM cx WHERE NOT (i > 1 AND regexp_matches(substr(l, i - 1, 1), '[\\p{{L}}\\p{{N}}]')) AND NOT regexp_matches(substr(l, i + len(c), 1), '[\\p{{L}}\\p{{N}}]')),
+lo AS (SELECT o.doc_idx, o.aspect, o.start, o."end", o.text, max(b) AS low FROM occ o JOIN bd ON bd.doc_idx = o.doc_idx AND b <= start GROUP BY ALL),
+hi AS (SELECT lo.*, high FROM lo JOIN (SELECT o.doc_idx, o.aspect, o.start, min(b) AS high FROM occ o JOIN bd ON bd.doc_idx = o.doc_idx AND b >= "end" GROUP BY ALL) USING (doc_idx, aspect, start)),
+pc AS (SELECT *, regexp_replace(regexp_replace(substr(text, CAST(low AS BIGINT) + 1, CAST(high - low AS BIGINT)), '^[ ,.;!?\\n]+|[ ,.;!?\\n]+$', '', 'g'), '^(?i:{"|".join(_CONNECTIVES)}) [ ,]*', '') AS piece FROM hi),
+cl AS (SELECT doc_idx, aspect, start, "end", text, CASE WHEN len({words_sql('piece')}) <= len({words_sql('substr(text, CAST(start AS BIGINT) + 1, CAST("end" - start AS BIGINT))')}) THEN text ELSE piece END AS clause FROM pc)"""
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return A.aspect_sentiments(docs(spark, sf_dir), _occurrences(spark, sf_dir), lexicon=TABLE_LEXICON, connectives=_CONNECTIVES)
+
+
+@query(f'WITH {_OCC}, {_CLAUSES} SELECT doc_idx, aspect, start, "end", clause FROM cl')
 def clause_of_aspect(spark, sf_dir):
     """A26."""
-    made = P.add_clauses(_occurrences(spark, sf_dir), docs(spark, sf_dir), connectives=("and", "der", "que", "mais"))
-    return made.select("doc_idx", "aspect", "start", "end", "clause")
+    made = P.add_clauses(_occurrences(spark, sf_dir), docs(spark, sf_dir), connectives=_CONNECTIVES)
+    return _long(made.select("doc_idx", "aspect", "start", "end", "clause"), "start", "end")
 
 
-@query()
+#: sc: cl with the sentiment of its clause, or of the whole text where that is unsure.
+_SCORED = f"""q AS (SELECT row_number() OVER (ORDER BY doc_idx, aspect, start) AS q, * FROM cl), qc AS (SELECT q AS doc_idx, clause AS text, '' AS lang FROM q),
+pq AS (WITH {predictions_sql('qc')} SELECT * FROM pred), pw AS (WITH {DOCS}, {predictions_sql()} SELECT * FROM pred),
+sc AS (SELECT q.doc_idx, aspect, CASE WHEN pq.confidence < 0.6 AND clause <> q.text THEN pw.sentiment ELSE pq.sentiment END AS sentiment FROM q JOIN pq ON pq.doc_idx = q.q JOIN pw ON pw.doc_idx = q.doc_idx),
+po AS (SELECT aspect, count(*) AS count, {", ".join(f"round(count(*) FILTER (sentiment = '{k}') * 100 / count(*), 2) AS {k}" for k in LABELS)} FROM sc GROUP BY aspect)"""
+
+
+@query(f"WITH {_OCC}, {_CLAUSES}, {_SCORED} SELECT *, CASE greatest(positive, neutral, negative) WHEN positive THEN 'positive' WHEN neutral THEN 'neutral' ELSE 'negative' END AS dominant FROM po")
 def aspect_polarity(spark, sf_dir):
     """Clauses, retry on the whole text, shares by aspect."""
-    return A.aspect_polarity(A.aspect_sentiments(docs(spark, sf_dir), _occurrences(spark, sf_dir), lexicon=TABLE_LEXICON))
+    return A.aspect_polarity(_scored(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_OCC}, {_CLAUSES}, {_SCORED}, st AS (SELECT count(*) AS total_aspects, CAST(sum(count) AS BIGINT) AS total_mentions, arg_min(aspect, (-count, aspect)) AS most_mentioned, arg_min(aspect, (-positive, aspect)) AS most_positive, arg_min(aspect, (-negative, aspect)) AS most_negative FROM po)
+SELECT *, 'Ditemukan ' || total_aspects || ' aspek dengan ' || total_mentions || ' penyebutan. Paling sering: ' || most_mentioned || '.' AS summary FROM st""")
 def aspect_statistics(spark, sf_dir):
     """A29, A30."""
-    return A.summary(A.statistics(A.aspect_polarity(A.aspect_sentiments(docs(spark, sf_dir), _occurrences(spark, sf_dir), lexicon=TABLE_LEXICON))))
+    return A.summary(A.statistics(A.aspect_polarity(_scored(spark, sf_dir))))
 
 
 @query()
@@ -200,6 +254,57 @@ def aspect_merge(spark, sf_dir):
     return A.merge_variants(A.group_occurrences(_occurrences(spark, sf_dir)).withColumn("confidence", F.lit(0.5)))
 
 
+@query(f"WITH {_OCC}, f AS (SELECT doc_idx, aspect, min(start) AS s FROM occ GROUP BY doc_idx, aspect), l AS (SELECT doc_idx, string_agg(aspect, '|' ORDER BY s, aspect) AS a FROM f GROUP BY doc_idx) SELECT d.doc_idx, coalesce(l.a, '') AS aspects FROM d LEFT JOIN l USING (doc_idx)")
+def base_form_lists(spark, sf_dir):
+    """A10, without roots: the base form of these names is the name."""
+    lists = A.document_aspects(docs(spark, sf_dir), _occurrences(spark, sf_dir))
+    return A.base_forms(lists, roots=frozenset()).select("doc_idx", F.array_join("aspects", "|").alias("aspects"))
+
+
+@query("""WITH c AS (SELECT * FROM (VALUES ('gaji', 'gajinya'), ('gaji', 'gaji nya'), ('tni', 'tninya'), ('wifi', 'wifiku')) AS v(label, form))
+SELECT label AS aspect, count(*) + 1 AS n_forms FROM c GROUP BY label""")
+def clitic_merge(spark, sf_dir):
+    """Forms with clitics join the name they come from."""
+    rows = [(w, n, 0.5, [w], i) for i, (w, n) in enumerate([("gaji", 9), ("gajinya", 3), ("gaji nya", 2), ("tni", 5), ("tninya", 4), ("wifi", 7), ("wifiku", 1)])]
+    merged = A.merge_variants(spark.createDataFrame(rows, "aspect string, count long, confidence double, variants array<string>, first long"), frozenset())
+    return merged.select("aspect", F.size("merged_from").cast("long").alias("n_forms"))
+
+
+@query(f"""WITH {_OCC}, f AS (SELECT doc_idx, aspect FROM occ WHERE aspect IN ('the', 'und', 'reason'))
+SELECT aspect, count(*) AS count, count(*) AS lexical_matches, CAST(0 AS BIGINT) AS semantic_matches FROM f GROUP BY aspect""")
+def rule_based_analysis(spark, sf_dir):
+    """A1 in rule-based mode: the user's own aspects, without merging."""
+    found = A.analyze(docs(spark, sf_dir), "rule-based", ["the", "und", "reason"], lexicon=TABLE_LEXICON, roots=frozenset())
+    return found["aspects"].select("aspect", "count", "lexical_matches", "semantic_matches")
+
+
+@query(f"""WITH w AS (SELECT doc_id AS doc_idx, lower(text) AS l, {latin_sql('lower(text)')} AS w FROM documents),
+k AS (SELECT DISTINCT doc_idx, k AS aspect FROM (SELECT doc_idx, unnest(w) AS k FROM w) WHERE k IN ('the', 'and', 'thin')),
+n AS (SELECT aspect, count(*) AS count FROM k GROUP BY aspect) SELECT aspect, count, count::DOUBLE AS score FROM n""")
+def automatic_aspects(spark, sf_dir):
+    """A1 in automatic mode without a trained tagger: keywords, each once a document, merged and counted."""
+    found = A.analyze(docs(spark, sf_dir), keywords=frozenset({"the", "and", "thin"}), stopwords=frozenset(), lexicon=TABLE_LEXICON, roots=frozenset())
+    return found["aspects"].select("aspect", "count", "score")
+
+
+@query(f"""WITH {_TAGS}, s AS (SELECT doc_idx, start, "end", conf AS c FROM tags WHERE label = 1 AND pos < 3)
+SELECT s.doc_idx, s.start, s."end", round(avg(t.pos), 6) AS x, round(avg(t.conf), 6) AS y FROM s JOIN tags t ON t.doc_idx = s.doc_idx AND t.start < s."end" + 12 AND t."end" > s.start GROUP BY s.doc_idx, s.start, s."end" """)
+def span_vectors(spark, sf_dir):
+    """Means of the token vectors that overlap a span."""
+    tags = _tags(spark, sf_dir).withColumn("vector", F.array(F.col("pos").cast("double"), "conf"))
+    spans = tags.filter("label = 1 AND pos < 3").select("doc_idx", "start", (F.col("end") + 12).alias("end"))
+    made = A.pool_spans(spans, tags)
+    return _long(made.select("doc_idx", "start", (F.col("end") - 12).alias("end"), F.round(F.get("vector", 0), 6).alias("x"), F.round(F.get("vector", 1), 6).alias("y")), "start", "end")
+
+
+@query(f"""WITH {_islands('label', '').split('WITH ', 1)[1].replace('SELECT doc_idx, min(pos)', ', b AS (SELECT doc_idx, min(pos)', 1)}), o AS (SELECT b.doc_idx, b.start, b."end", substr(text, CAST(b.start AS BIGINT) + 1, CAST(b."end" - b.start AS BIGINT)) AS surface FROM b JOIN documents ON doc_id = b.doc_idx)
+SELECT doc_idx, count(*) AS n, CAST(min(start) AS BIGINT) AS first_start FROM o WHERE len(trim(regexp_replace(lower(surface), '^[^\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+$', '', 'g'))) >= 3 GROUP BY doc_idx""")
+def tagger_aspects(spark, sf_dir):
+    """Occurrences from a tagger's labels; what is left of a name has three letters at least."""
+    made = A.extract_model(docs(spark, sf_dir), _tags(spark, sf_dir), stopwords=frozenset({"zzz"}))
+    return made.groupBy("doc_idx").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start"))
+
+
 @query()
 def rule_based_aspects(spark, sf_dir):
     """Words, else stems."""
@@ -244,13 +349,24 @@ def term_candidates(spark, sf_dir):
     return D.reject_reasons(terms, D.lowercase_vocabulary(d))
 
 
+@query("SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT 'given' AS kind, doc_id FROM documents UNION ALL SELECT 'negative', doc_id + 1000000000 FROM documents WHERE lang = 'fr') GROUP BY kind")
+def augmentation_parts(spark, sf_dir):
+    """Every document stays, and every negative comes."""
+    made = _augmented(spark, sf_dir).filter("kind != 'augmented'")
+    return made.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_idx").alias("documents"))
+
+
 @query()
 def augmentation(spark, sf_dir):
-    """Spans replaced from a pool, offsets anew."""
+    """Documents, copies with spans replaced from a pool and offsets anew, negatives, shuffled."""
+    return _augmented(spark, sf_dir).select("doc_idx", "copy", "kind", "text", F.size("spans").alias("n"), "position")
+
+
+def _augmented(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     spans = P.resolve_overlaps(_occurrences(spark, sf_dir)).join(_occurrences(spark, sf_dir).select("doc_idx", "start", "end", "surface"), ["doc_idx", "start", "end"])
-    made = D.substitute(d, spans, D.substitution_pool(d, spans))
-    return made.select("doc_idx", "new_text", F.size("new_spans").alias("n"))
+    negatives = d.filter("lang = 'fr'").withColumn("doc_idx", F.col("doc_idx") + 1_000_000_000)
+    return D.augment(d, spans, D.substitution_pool(d, spans), 1, negatives)
 
 
 @query(f"""WITH {_OCC}, t AS (SELECT lower(surface) AS y, count(*) AS n FROM occ GROUP BY 1), p AS (SELECT sum(n) AS n FROM (SELECT n FROM t ORDER BY n DESC, y LIMIT 10)), {DOCS}, {LATIN}

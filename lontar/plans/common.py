@@ -24,8 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Tables below so many bytes are dealt over the cores, as their few row groups would keep few of them busy.
+SMALL = 1 << 28
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), "text", "lang", "source")
+    """Documents as the operators name them. A small table is dealt over all cores; others are read as they lie."""
+    d = read(spark, sf_dir, "documents")
+    small = int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL
+    named = d.select(F.col("doc_id").alias("doc_idx"), "text", "lang", "source")
+    return named.repartition(2 * spark.sparkContext.defaultParallelism) if small else named
 
 
 def in_list(values) -> str:

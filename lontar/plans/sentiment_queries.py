@@ -9,6 +9,7 @@ from lontar.config import CleanConfig, SentimentConfig
 from lontar.operators import sentiment as S
 from lontar.plans.common import DOCS, TABLE_LEXICON, docs, in_list, read, words_sql
 from lontar.plans.registry import query
+from lontar.plans.text_queries import clean_ctes
 
 _L = TABLE_LEXICON
 _EDGE = """^[.,!?;:"()\\[\\]]+|[.,!?;:"()\\[\\]]+$"""
@@ -96,7 +97,10 @@ def padded_lengths(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", S.padded_length(n).cast("long").alias("padded"), (n >= 512).alias("truncated"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id AS doc_idx, text, trim(text) = '' AS blank, contains(text, '!!') AS bad, len(text) % 7 AS a, len(text) % 5 AS b, len(text) % 3 AS c FROM documents),
+e AS (SELECT *, exp((a - greatest(a, b, c)) / {_T}) AS x, exp((b - greatest(a, b, c)) / {_T}) AS y, exp((c - greatest(a, b, c)) / {_T}) AS z FROM s)
+SELECT doc_idx, CASE WHEN blank OR bad THEN 'neutral' ELSE CASE greatest(x, y, z) WHEN x THEN 'positive' WHEN y THEN 'neutral' ELSE 'negative' END END AS sentiment,
+CASE WHEN blank OR bad THEN 0.0 ELSE round(greatest(x, y, z) / (x + y + z), 4) END AS confidence, CASE WHEN blank THEN 'empty' WHEN bad THEN 'error' ELSE 'model' END AS method FROM e""")
 def plugin_scorer(spark, sf_dir):
     """A plug-in scorer in length order; texts that break it are found by halving and marked."""
 
@@ -109,20 +113,35 @@ def plugin_scorer(spark, sf_dir):
     return S.finish_model_rows(scored, "text").select("doc_idx", "sentiment", "confidence", "method")
 
 
+def _prepared(name: str, ctes: str, column: str) -> str:
+    """A subquery of a preparation's predictions."""
+    head = f"{ctes}, " if ctes else ""
+    source = f"SELECT doc_idx, lang, {column} AS text FROM f" if ctes else "SELECT doc_id AS doc_idx, lang, text FROM documents"
+    return f"(WITH {head}v AS ({source}), {predictions_sql('v')} SELECT '{name}' AS config, sentiment, method FROM pred)"
+
+
+_PLAIN, _NORMAL = clean_ctes(typos=False, slang=False), clean_ctes()
+
+
 @query(
-    f"WITH {DOCS}, v AS (SELECT doc_idx, lang, text FROM docs), r AS (WITH {predictions_sql('v')} SELECT 'raw' AS config, * FROM pred), "
-    f"u AS (SELECT doc_idx, lang, lower(text) AS text FROM docs), f AS (WITH {predictions_sql('u')} SELECT 'folded' AS config, * FROM pred) "
-    f"SELECT config, {_SHARES}, count(*) AS total FROM (SELECT config, sentiment, method FROM r UNION ALL SELECT config, sentiment, method FROM f) WHERE method <> 'empty' GROUP BY config"
+    f"SELECT config, {_SHARES}, count(*) AS total FROM (SELECT * FROM " + " UNION ALL SELECT * FROM ".join(
+        [_prepared("none", "", ""), _prepared("case_and_punctuation", _PLAIN, "processed_text"), _prepared("normalised", _NORMAL, "processed_text"), _prepared("as_sent", _NORMAL, "processed_text")]
+    ) + ") WHERE method <> 'empty' GROUP BY config"
 )
 def preprocessing_ablation(spark, sf_dir):
-    """The same scorer over differently prepared texts, one frame with a config column."""
-    base = docs(spark, sf_dir)
-    both = base.withColumn("config", F.lit("raw")).unionByName(base.withColumn("text", F.lower("text")).withColumn("config", F.lit("folded")))
-    return S.distribution(S.score_lexicon(both, "text", _L), ("config",))
+    """Four preparations, of which the last two must agree."""
+    return S.distribution(S.preprocessing_ablation(docs(spark, sf_dir).select("doc_idx", "text"), lexicon=_L), ("config",))
 
 
-@query()
+@query(f"WITH {_NORMAL}, v AS (SELECT doc_idx, lang, processed_text AS text FROM f), {predictions_sql('v')} SELECT doc_idx, sentiment, confidence, method FROM pred")
 def sentiment_cleaned(spark, sf_dir):
     """Cleaning first, under the transformer profile."""
     found = S.analyze(docs(spark, sf_dir), CleanConfig(), _L)
     return found["predictions"].select("doc_idx", "sentiment", "confidence", "method")
+
+
+@query("SELECT * FROM (VALUES ('own names', 0, 'negative'), ('own names', 1, 'neutral'), ('own names', 2, 'positive'), ('unknown names', 0, 'positive'), ('unknown names', 1, 'neutral'), ('unknown names', 2, 'negative')) AS v(model, id, label)")
+def label_maps(spark, sf_dir):
+    """A model's own names in any order; the default order where they don't name all three."""
+    models = {"own names": {0: "NEG", 1: "Netral", 2: "positif"}, "unknown names": {0: "LABEL_0", 1: "LABEL_1", 2: "LABEL_2"}}
+    return spark.createDataFrame([(m, i, label) for m, names in models.items() for i, label in S.resolve_label_map(names).items()], "model string, id int, label string")

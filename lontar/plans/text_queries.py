@@ -116,11 +116,21 @@ def rare_token_filter(spark, sf_dir):
 
 
 _CONFIG = CleanConfig.for_task("transformer", {"remove_numbers": True})
-_FULL = f"""WITH a AS (SELECT doc_id AS doc_idx, text, {_strip_sql('text')} AS t FROM documents), b AS (SELECT doc_idx, text, {_LATIN_ONLY} AS t FROM a),
-c AS (SELECT doc_idx, text, regexp_replace(regexp_replace({_squeeze_sql('t')}, '\\s+', ' ', 'g'), '\\bto the\\b', 'toward the', 'g') AS t FROM b),
-d AS (SELECT doc_idx, text, list_transform({words_sql('t')}, lambda x: {case_map('x', _TYPO_WORDS)}) AS w FROM c),
-e AS (SELECT doc_idx, text, {words_sql(f"array_to_string(list_transform(w, lambda x: {case_map('x', _L.slang)}), ' ')")} AS w FROM d),
-f AS (SELECT doc_idx, text, array_to_string({words_sql("regexp_replace(array_to_string(w, ' '), '[0-9]+', '', 'g')")}, ' ') AS processed_text FROM e)"""
+
+
+def clean_ctes(typos: bool = True, slang: bool = True, numbers: bool = False) -> str:
+    """CTEs up to `f` (doc_idx, text, lang, processed_text): the chain under the transformer profile; numbers: digits go."""
+    phrase = "regexp_replace({}, '\\bto the\\b', 'toward the', 'g')".format
+    c = f"regexp_replace({_squeeze_sql('t')}, '\\s+', ' ', 'g')"
+    d = f"list_transform({words_sql('t')}, lambda x: {case_map('x', _TYPO_WORDS)})" if typos else words_sql("t")
+    e = words_sql(f"array_to_string(list_transform(w, lambda x: {case_map('x', _L.slang)}), ' ')") if slang else "w"
+    f = words_sql("regexp_replace(array_to_string(w, ' '), '[0-9]+', '', 'g')") if numbers else "w"
+    return f"""c1 AS (SELECT doc_id AS doc_idx, text, lang, {_strip_sql('text')} AS t FROM documents), c2 AS (SELECT doc_idx, text, lang, {_LATIN_ONLY} AS t FROM c1),
+c3 AS (SELECT doc_idx, text, lang, {phrase(c) if typos else c} AS t FROM c2), c4 AS (SELECT doc_idx, text, lang, {d} AS w FROM c3), c5 AS (SELECT doc_idx, text, lang, {e} AS w FROM c4),
+f AS (SELECT doc_idx, text, lang, array_to_string({f}, ' ') AS processed_text FROM c5)"""
+
+
+_FULL = f"WITH {clean_ctes(numbers=True)}"
 
 
 @query(_FULL + " SELECT doc_idx, processed_text FROM f")

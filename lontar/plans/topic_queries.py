@@ -35,11 +35,17 @@ def _assigned(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_BASE}, df AS (SELECT word, count(*) AS tf, count(DISTINCT doc_idx) AS df FROM lat WHERE word NOT IN ({in_list(_STOP)}) GROUP BY word) SELECT word, tf, df FROM df WHERE df >= 2 AND df <= 0.85 * (SELECT count(*) FROM docs)")
 def count_vocabulary(spark, sf_dir):
     """K2's vocabulary: min_df 2, max_df 0.85."""
-    d = _tokens(spark, sf_dir, _STOP)
-    total = d.count()
-    flat = d.select("doc_idx", F.explode("tokens").alias("word"))
-    by = flat.groupBy("word", "doc_idx").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-    return by.filter((F.col("df") >= 2) & (F.col("df") <= 0.85 * total))
+    return K.vocabulary_counts(_tokens(spark, sf_dir, _STOP))
+
+
+@query(f"WITH {_BASE}, df AS (SELECT word, count(*) AS tf, count(DISTINCT doc_idx) AS df FROM lat WHERE word NOT IN ({in_list(_STOP)}) GROUP BY word), v AS (SELECT * FROM df WHERE df >= 2 AND df <= 0.85 * (SELECT count(*) FROM docs)) SELECT count(*) AS words, CAST(sum(tf) AS BIGINT) AS counted FROM v")
+def count_vectors(spark, sf_dir):
+    """K2's vectors: how many words there are and how often they are counted."""
+    from pyspark.ml.functions import vector_to_array
+
+    counted, vocabulary = K.count_vectors(_tokens(spark, sf_dir, _STOP))
+    total = counted.agg(F.sum(F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda s, x: s + x)).cast("long").alias("counted"))
+    return total.select(F.lit(len(vocabulary)).cast("long").alias("words"), "counted")
 
 
 @query(f"WITH {_BASE}, c AS (SELECT word, count(*) AS frequency, min(struct_pack(d := doc_idx, p := pos)) AS f FROM lat WHERE len(word) > 2 AND word NOT IN ({in_list(_STOP)}) GROUP BY word) SELECT word, frequency, row_number() OVER (ORDER BY frequency DESC, f) AS rank FROM c ORDER BY frequency DESC, f LIMIT 50")
@@ -145,7 +151,7 @@ def lda_topics(spark, sf_dir):
 def kmeans_topics(spark, sf_dir):
     """K4, K5: TF-IDF, PCA, k-means; class TF-IDF labels."""
     tokens = _tokens(spark, sf_dir, _STOP).filter(F.size("tokens") > 0)
-    assigned = K.cluster(K.features(tokens, size=8), 4)
+    assigned = K.cluster(K.features(tokens), 4)
     return K.renumber(K.top_terms(K.class_tfidf(tokens, assigned)), assigned)[0].select("topic_id", "words", "size", "proportion")
 
 
@@ -153,9 +159,62 @@ def kmeans_topics(spark, sf_dir):
 def diverse_labels(spark, sf_dir):
     """Maximal marginal relevance over topics' terms, with class-share vectors."""
     weights = K.class_tfidf(_tokens(spark, sf_dir), _assigned(spark, sf_dir))
-    vectors = weights.groupBy("term").pivot("topic_id", [-1, 0, 1, 2]).agg(F.first("weight")).select("term", F.array(*(F.coalesce(F.col(f"`{k}`"), F.lit(0.0)) for k in (-1, 0, 1, 2))).alias("vector"))
-    top = K.top_terms(weights, 30).select("topic_id", F.explode(F.arrays_zip("words", "weights")).alias("z")).select("topic_id", F.col("z.words").alias("term"), F.col("z.weights").alias("relevance"))
-    return K.mmr(top.join(vectors, "term"))
+    return K.diverse_labels(weights, [-1, 0, 1, 2]).select("topic_id", "words")
+
+
+_SURFACES = f"s AS (SELECT word, count(*) AS n, min(struct_pack(d := doc_idx, p := pos)) AS f FROM (SELECT doc_id AS doc_idx, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {latin_sql('lower(text)', 3)} AS w FROM documents)) GROUP BY word), sf AS (SELECT substr(word, 1, 4) AS stem, word AS surface FROM s QUALIFY row_number() OVER (PARTITION BY substr(word, 1, 4) ORDER BY n DESC, f) = 1)"
+
+
+@query(f"WITH {_SURFACES}, t AS (SELECT * FROM (VALUES (0, 0, 'tion'), (0, 1, 'thin'), (1, 0, 'erst'), (1, 1, 'zzzz'), (1, 2, 'enhe')) AS v(topic_id, i, w)) SELECT topic_id, string_agg(coalesce(surface, w), ' ' ORDER BY i) AS words, string_agg(w, ' ' ORDER BY i) AS words_stemmed FROM t LEFT JOIN sf ON stem = w GROUP BY topic_id")
+def readable_labels(spark, sf_dir):
+    """K17, with the first four letters as stems; a stem that nobody wrote stays."""
+    d = docs(spark, sf_dir)
+    words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b([a-z]{3,})\b"), F.lit(1))).alias("token")).distinct().withColumn("stem", F.substring("token", 1, 4))
+    topics = spark.createDataFrame([(0, ["tion", "thin"]), (1, ["erst", "zzzz", "enhe"])], "topic_id int, words array<string>")
+    wanted = topics.select(F.explode("words").alias("word"))
+    shown = K.readable(topics, K.surface_map(d, wanted, words))
+    return shown.select("topic_id", F.array_join("words", " ").alias("words"), F.array_join("words_stemmed", " ").alias("words_stemmed"))
+
+
+@query(f"{_FREQ} SELECT count(DISTINCT topic_id) AS num_topics, 'Ditemukan ' || count(DISTINCT topic_id) || ' topik dengan frekuensi kata. Topik utama: ' || (SELECT string_agg(word, ', ' ORDER BY r) FROM b WHERE topic_id = 0 AND r < 3) || '.' AS summary FROM b")
+def topic_summary(spark, sf_dir):
+    """K19."""
+    return K.summary(K.frequency_topics(_tokens(spark, sf_dir), stopwords=_STOP)[0])
+
+
+def _by_source(spark, sf_dir) -> DataFrame:
+    """Sources, numbered by their names, as a clustering of 20 topics."""
+    names = docs(spark, sf_dir).select("source").distinct()
+    from pyspark.sql import Window
+
+    numbered = names.withColumn("topic_id", (F.row_number().over(Window.orderBy("source")) - 1).cast("int"))
+    return docs(spark, sf_dir).join(F.broadcast(numbered), "source").select("doc_idx", "topic_id")
+
+
+@query()
+def topic_sweep(spark, sf_dir):
+    """Measures of every number of topics that 20 clusters merge down to."""
+    return K.sweep_k(_tokens(spark, sf_dir, _STOP), _by_source(spark, sf_dir))
+
+
+@query(f"WITH {_BASE} SELECT 3 AS k, round(count(*) FILTER (topic_id = -1) / count(*), 4) AS outlier_rate, (SELECT round(max(n) / (SELECT count(*) FROM asg), 4) FROM (SELECT count(*) AS n FROM asg WHERE topic_id <> -1 GROUP BY topic_id)) AS largest_share FROM asg")
+def sweep_shares(spark, sf_dir):
+    """E32's shares, of languages as they are."""
+    return K.sweep_k(_tokens(spark, sf_dir, _STOP), _assigned(spark, sf_dir), [3]).select("k", "outlier_rate", "largest_share")
+
+
+@query()
+def auto_topics(spark, sf_dir):
+    """K6, K8: the number of topics by balance and C_v."""
+    chosen = K.choose_topics(_tokens(spark, sf_dir, _STOP), _by_source(spark, sf_dir), 0)
+    return chosen.groupBy("topic_id").agg(F.count("*").alias("size"))
+
+
+@query()
+def topic_analysis(spark, sf_dir):
+    """K1: the whole chain, with readable labels."""
+    found = K.analyze(docs(spark, sf_dir).select("doc_idx", "text"), num_topics=4, stopwords=_STOP)
+    return found["topics"].select("topic_id", "words", "words_stemmed", "size", "proportion")
 
 
 # ---- association ------------------------------------------------------------------------------------------------------
@@ -218,6 +277,13 @@ def window_cooccurrence(spark, sf_dir):
     return M.cooccurrence(M.windows(_tokens(spark, sf_dir), "tokens", 10, vocabulary))
 
 
+@query(f"WITH {_npmi_sql(110)} SELECT w1 AS term1, w2 AS term2, n FROM two WHERE w1 IN ('de', 'of') AND w2 IN ('de', 'of', 'the') AND w1 <= w2")
+def window_pair_counts(spark, sf_dir):
+    """Q5 for given pairs of words, counted from their places without making windows."""
+    pairs = spark.createDataFrame([(a, b) for a in ("de", "of") for b in ("de", "of", "the") if a <= b], "term1 string, term2 string")
+    return M.window_counts(_tokens(spark, sf_dir), "tokens", 110, pairs)
+
+
 _CNPMI = "(SELECT round(avg(v), 4) FROM (SELECT topic_id, avg(npmi) AS v FROM {cell} WHERE i < j GROUP BY topic_id))"
 
 
@@ -248,7 +314,8 @@ def outlier_rate(spark, sf_dir):
     return M.outlier_rate(_assigned(spark, sf_dir))
 
 
-@query()
+@query(f"""SELECT (WITH {_npmi_sql(110)}, {_CV} SELECT round(avg(v), 4) FROM (SELECT topic_id, avg(v) AS v FROM cs GROUP BY topic_id)) AS c_v, (WITH {_npmi_sql(10)} SELECT {_CNPMI.format(cell='cell')}) AS c_npmi,
+(WITH {_TERMS} SELECT round(count(DISTINCT term) / count(*), 4) FROM tw) AS diversity, (WITH {_BASE} SELECT round(avg(CASE WHEN topic_id = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) FROM asg) AS outlier_rate, CAST({len(_TOPICS)} AS BIGINT) AS num_topics""")
 def topic_quality(spark, sf_dir):
     """Q11: the measures above in one row."""
     return M.evaluate(_topics(spark), _tokens(spark, sf_dir), _assigned(spark, sf_dir))

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lontar.config import MAX_CHARS, MAX_TEXTS
+from lontar.functions.ranks import rank_by_order
 
 LABELS = ("positive", "neutral", "negative")
 
 
 def number_documents(df: DataFrame, order: str, corpus: str = "corpus_id") -> DataFrame:
-    """Adds doc_idx 0, 1, 2, ... within each corpus, by a column that orders it. A request's corpus is bounded (MAX_TEXTS)."""
-    return df.withColumn("doc_idx", F.row_number().over(Window.partitionBy(corpus).orderBy(order)) - 1)
+    """Adds doc_idx 0, 1, 2, ... within each corpus, by a column that orders it, however large the corpus."""
+    return rank_by_order(df, [corpus], [order], "doc_idx")
 
 
-def validate_corpus(df: DataFrame, text: str = "text") -> DataFrame:
-    """Trims; raises at run time for texts over the limit. Blank texts are kept: results stay aligned with the corpus."""
+def validate_corpus(df: DataFrame, text: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Trims. Blank texts are kept: results stay aligned with the corpus. With max_chars, longer texts raise at run time."""
     trimmed = F.trim(F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn(text, F.when(F.char_length(trimmed) > MAX_CHARS, F.raise_error(F.lit(f"a text has over {MAX_CHARS} characters"))).otherwise(trimmed))
+    if max_chars is None:
+        return df.withColumn(text, trimmed)
+    return df.withColumn(text, F.when(F.char_length(trimmed) > max_chars, F.raise_error(F.lit(f"a text has over {max_chars} characters"))).otherwise(trimmed))
 
 
-def text_problem(text: Column) -> Column:
+def text_problem(text: Column, max_chars: int) -> Column:
     """too_long where validate_corpus would raise, else empty; null is blank."""
-    return F.when(F.char_length(F.trim(F.coalesce(text, F.lit("")))) > MAX_CHARS, "too_long").otherwise("")
+    return F.when(F.char_length(F.trim(F.coalesce(text, F.lit("")))) > max_chars, "too_long").otherwise("")
 
 
-def corpus_problems(df: DataFrame, corpus: str = "corpus_id", text: str = "text") -> DataFrame:
-    """Corpora that no request could hold: too many texts, or none but blank ones."""
+def corpus_problems(df: DataFrame, corpus: str = "corpus_id", text: str = "text", max_texts: int | None = None) -> DataFrame:
+    """Corpora with too many texts for a caller's limit, or none but blank ones."""
     by = df.groupBy(corpus).agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce(text, F.lit(""))) != "").alias("filled"))
-    return by.withColumn("problem", F.when(F.col("n") > MAX_TEXTS, "too_many_texts").when(F.col("filled") == 0, "all_blank")).filter("problem is not null")
+    many = F.col("n") > max_texts if max_texts is not None else F.lit(False)
+    return by.withColumn("problem", F.when(many, "too_many_texts").when(F.col("filled") == 0, "all_blank")).filter("problem is not null")
 
 
 def _elements(raw: DataFrame, value) -> DataFrame:
@@ -52,7 +55,7 @@ def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     items = _elements(flat, F.col("a"))
     text = F.when(F.expr("schema_of_variant(x)") == "STRING", F.expr("try_variant_get(x, '$', 'string')")).otherwise(F.expr("try_variant_get(x, '$.text', 'string')"))
     kept = items.select("_file", "_pos", text.alias("text")).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
-    out = kept.withColumn("doc_idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_file", "_pos")) - 1).select("doc_idx", "text")  # a file's worth of short texts
+    out = rank_by_order(kept, [], ["_file", "_pos"], "doc_idx").select("doc_idx", "text")
     return out.filter(F.col("doc_idx") < limit) if limit is not None else out
 
 
@@ -61,7 +64,7 @@ def read_gold(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])
     rows = spark.read.schema(schema).json(path, multiLine=True).withColumn("_o", F.monotonically_increasing_id())
     good = rows.withColumn("label", F.lower(F.trim("label"))).filter((F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("label").isin(*LABELS))
-    out = good.withColumn("doc_idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_o")) - 1).select("doc_idx", "text", "label")
+    out = rank_by_order(good, [], ["_o"], "doc_idx").select("doc_idx", "text", "label")
     return out.filter(F.col("doc_idx") < limit) if limit is not None else out
 
 
@@ -103,6 +106,11 @@ def read_stopwords(spark: SparkSession, path: str, fallback: frozenset[str] = fr
     return frozenset(found - {""}) or fallback
 
 
+def read_roots(spark: SparkSession, path: str, fallback: frozenset[str] = frozenset()) -> frozenset[str]:
+    """A root dictionary, one word a line; hyphens are kept. Pass it as `roots` of a Lexicon, a stemmer or an operator."""
+    return read_stopwords(spark, path, fallback)
+
+
 def read_pairs(spark: SparkSession, path: str) -> dict[str, str]:
     """A slang or typo dictionary: a JSON object of strings. Later keys win."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>", {"mapKeyDedupPolicy": "LAST_WIN"}).alias("m")).collect()

@@ -34,13 +34,32 @@ def write_results(df: DataFrame, path: str, label: str = "label") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(label).json(path)
 
 
-def render_table(df: DataFrame, columns: list[str]) -> str:
-    """A Markdown table of a small result."""
-    rows = df.select(*columns).limit(1000).collect()
+def to_gold(docs: DataFrame, spans: DataFrame, key: str = "doc_idx", text: str = "text") -> DataFrame:
+    """text, spans array<struct<start, end, surface>> by place: a gold set that keeps the annotators' offsets. Documents
+    without spans have an empty array; write it with write_json."""
+    s = spans.select(key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).join(docs.select(key, text), key)
+    item = F.struct("start", "end", F.expr(f"substring({text}, start + 1, end - start)").alias("surface"))
+    lists = s.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("spans"))
+    return docs.select(key, text).join(lists, key, "left").select(key, text, F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,surface:string>>")).alias("spans"))
+
+
+def render_table(df: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A Markdown table of a small result, in its order. Over `most` rows raise, as a page holds no table of that size."""
+    rows = df.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows; raise `most` or aggregate first")
     line = lambda cells: "| " + " | ".join("" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in cells) + " |"
     return "\n".join([line(columns), line(["---"] * len(columns)), *(line(r) for r in rows)])
 
 
+def render_between(page: str, name: str, table: str) -> str:
+    """The page with the table put between the marks of that name; a page without them gets both at its end."""
+    first, last = f"<!-- AUTO:{name} -->", f"<!-- /AUTO:{name} -->"
+    if first not in page or last not in page:
+        return f"{page.rstrip()}\n\n{first}\n{table}\n{last}\n"
+    return page[: page.index(first) + len(first)] + f"\n{table}\n" + page[page.index(last) :]
+
+
 def write_provenance(spark: SparkSession, path: str, record: dict) -> bool:
     """A record beside a model; failing to write it is no failure."""
     import json

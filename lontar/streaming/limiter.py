@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,22 +13,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lontar.operators.limiter import Window
 
+#: Decisions that go out at a time.
+_ROWS = 10_000
 
-def stream_rate_limit(events: DataFrame, key: str, at: str, most: int = 30, window: float = 60.0) -> DataFrame:
-    """key, at, allowed. Within a trigger events are taken in time order; a key idle for two windows of processing time
-    loses its state, which changes nothing, as all its times would have been forgotten."""
-    rows = events.select(key, F.col(at).cast("double").alias("at"))
-    out = T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType())])
+
+def stream_rate_limit(events: DataFrame, key: str, at: str, most: int = 30, window: float = 60.0, late: str | None = None) -> DataFrame:
+    """key, at, allowed. Within a trigger a key's events are taken in time order, however many Arrow batches they come in; only
+    their times are held for that.
+
+    State of idle keys goes, which changes nothing, as all its times would have been forgotten. By default a key that is idle
+    for two windows of processing time loses it; such a query stays awake for its timeouts. With `late` (an interval, `at` a
+    timestamp after 1970) state goes when the watermark passes the window, events later than that are left out, and a query over
+    all that is available ends.
+    """
+    timed = events.withWatermark(at, late) if late else events
+    rows = timed.select(key, F.col(at).cast("double").alias("at"), *([F.col(at).alias("_ts")] if late else []))
+    out = T.StructType([f for f in rows.schema.fields if f.name != "_ts"] + [T.StructField("allowed", T.BooleanType())])
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         held = Window(most, window, state.get[0] if state.exists else ())
-        for frame in sorted((f for f in frames if len(f)), key=lambda f: f["at"].min()):
-            frame = frame.sort_values("at", kind="stable")
-            yield frame.assign(allowed=[held.allow(t) for t in frame["at"]])
+        times = np.sort(np.concatenate([f["at"].to_numpy(float) for f in frames]))
+        allowed = np.array([held.allow(t) for t in times.tolist()])
+        for k in range(0, len(times), _ROWS):
+            part = slice(k, k + _ROWS)
+            yield pd.DataFrame({key: [group[0]] * len(times[part]), "at": times[part], "allowed": allowed[part]})
         state.update((list(held.held),))
-        state.setTimeoutDuration(int(2000 * window))
+        if late:
+            state.setTimeoutTimestamp(max(int(1000 * (times[-1] + window)), state.getCurrentWatermarkMs() + 1))
+        else:
+            state.setTimeoutDuration(int(2000 * window))
 
-    return rows.groupBy(key).applyInPandasWithState(run, out, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, out, "held array<double>", "append", timeout)

@@ -84,8 +84,6 @@ def test_runs_and_agreement(spark):
     assert (v.k_mean, v.k_stdev, v.runs) == (2.3333, 1.5275, 3)
     p = spark.createDataFrame([(i, m, (i if m == "a" else 0)) for i in range(4) for m in ("a", "b")], "doc_idx long, model string, label int")
     assert E.model_agreement(p).first().agreement == 0.25
-    cases = spark.createDataFrame([("t", "MFT", "p", "p", None, 0.0, 0.0), ("t", "MFT", "p", "n", None, 0.0, 0.0), ("u", "INV", None, "p", "p", 0.0, 0.0), ("v", "DIR", None, "p", "p", 0.56, 0.5)], "test string, kind string, expected string, label string, base_label string, score double, base_score double")
-    assert {r.test: r.pass_rate for r in E.behaviour_report(cases).collect()} == {"t": 0.5, "u": 1.0, "v": 0.0}
 
 
 def test_training_gate(spark):
@@ -93,6 +91,40 @@ def test_training_gate(spark):
     df = spark.createDataFrame(rows, "id long, tokens array<string>, label int")
     _, report = E.train_classifier(df, "tokens", "label", "id", features=1 << 10)
     assert report["accepted"] and report["after"]["macro_f1"] == 1.0 and report["before"]["macro_f1"] < 0.5
+    assert report["weighted_f1_delta"] > 0 and report["temperature"] == 1.0 and report["train"] + report["val"] == 60
+    with pytest.raises(ValueError, match="validation"):
+        E.train_classifier(df.limit(0), "tokens", "label", "id")
+
+
+def test_rows_that_cannot_be_trained_on(spark):
+    df = spark.createDataFrame([("a", 0), (" ", 1), (None, 7), ("b", 7), ("c", None)], "t string, y int")
+    good, skipped = E.training_rows(df, "t", "y", [0, 1])
+    assert [r.t for r in good.collect()] == ["a"]
+    assert {(r.reason, r.label): r.n for r in skipped.collect()} == {("empty_text", 1): 1, ("empty_text", 7): 1, ("unknown_label", 7): 1, ("unknown_label", None): 1}
+    assert E.inherited_temperature(1.0, 2.5, 10) == (2.5, True) and E.inherited_temperature(1.0, 2.5, 90) == (1.0, False) and E.inherited_temperature(1.7, 2.5, 10) == (1.7, False)
+
+
+def test_tagger(spark):
+    """The word after 'soal' is an aspect."""
+    rows = []
+    for i in range(60):
+        words = ["kita", "bicara", "soal", f"hal{i % 5}", "hari", "ini"] if i % 6 else ["tidak", "ada", "apa"]
+        rows += [(i, k, w, int(k > 0 and words[k - 1] == "soal") if k else -100) for k, w in enumerate(words)]
+    tags = spark.createDataFrame(rows, "doc_idx long, pos int, token string, label int")
+    _, report = E.train_tagger(tags, weighted=True)
+    assert report["accepted"] and report["after"]["f1"] == 1.0 and report["before"]["f1"] == 0.0 and report["split"] == "stratified"
+    assert (report["train"], report["val"]) == (48, 12)
+    _, official = E.train_tagger(tags.filter("doc_idx < 40"), official=tags.filter("doc_idx >= 40"))
+    assert official["split"] == "official" and (official["train"], official["val"]) == (40, 20)
+
+
+def test_pool_digest_is_of_the_set_and_its_counts(spark):
+    rows = [(f"text {i}",) for i in range(50)] + [(None,), ("",)]
+    digest = lambda r, parts=3: tuple(E.pool_digest(spark.createDataFrame(r, "t string").repartition(parts), "t").first())
+    assert digest(rows) == digest(rows[::-1], 5) and digest(rows)[1] == 52
+    assert len({digest(rows)[0], digest(rows[1:])[0], digest(rows + rows[:1])[0], digest([])[0]}) == 4
+    with pytest.raises(ValueError, match="pool_digest"):
+        E.pool_fingerprint(spark.createDataFrame([("x" * 20,)], "t string"), "t", most_chars=10)
 
 
 def test_rate_limit(spark):

@@ -1,14 +1,20 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lontar.operators.limiter import rate_limit
 from lontar.sources import readers as R
 from lontar.sources import writers as W
 from lontar.streaming.limiter import stream_rate_limit
 from lontar.streaming.sentiment import stream_distribution, stream_sentiment
 
 
+#: Seconds: a watermark starts at the epoch, and what isn't after it counts as late.
+BASE = 1_000_000.0
+
+
 def put(tmp_path, name, content):
     path = tmp_path / name
     path.write_text(content if isinstance(content, str) else json.dumps(content))
@@ -45,7 +51,17 @@ def test_corpus_rules(spark):
     assert {(r.corpus_id, r.doc_idx, r.text) for r in rows} == {("c", 0, ""), ("c", 1, "x"), ("d", 0, "")}
     assert [tuple(r) for r in R.corpus_problems(df).select("corpus_id", "problem").collect()] == [("d", "all_blank")]
     with pytest.raises(Exception, match="characters"):
-        R.validate_corpus(spark.createDataFrame([("y" * 10_001,)], "text string")).collect()
+        R.validate_corpus(spark.createDataFrame([("y" * 11,)], "text string"), max_chars=10).collect()
+    assert R.validate_corpus(spark.createDataFrame([("y" * 10_001,)], "text string")).count() == 1
+    assert [r.problem for r in R.corpus_problems(df, max_texts=1).orderBy("corpus_id").collect()] == ["too_many_texts", "all_blank"]
+
+
+def test_numbers_over_many_ranges(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("corpus_id"), (1000 - F.col("id")).alias("t")).repartition(7)
+    rows = R.number_documents(df, "t").collect()
+    for c in range(3):
+        part = sorted((r.t, r.doc_idx) for r in rows if r.corpus_id == c)
+        assert [i for _, i in part] == list(range(len(part)))
 
 
 def test_tasks_round_trip(spark, tmp_path):
@@ -68,23 +84,44 @@ def test_results(spark, tmp_path):
     W.write_results(spark.createDataFrame([("a", 9)], "label string, v int"), out)
     assert {(r.label, r.v) for r in spark.read.json(out).collect()} == {("a", 9), ("b", 2)}
     assert W.render_table(spark.createDataFrame([("a", 0.5)], "k string, v double"), ["k", "v"]) == "| k | v |\n| --- | --- |\n| a | 0.5000 |"
+    with pytest.raises(ValueError, match="rows"):
+        W.render_table(spark.range(5), ["id"], most=4)
+    page = W.render_between("intro", "x", "| a |")
+    assert W.render_between(page, "x", "| b |") == page.replace("| a |", "| b |") and page.startswith("intro")
+    gold = W.to_gold(spark.createDataFrame([(0, "harga dan wifi"), (1, "kosong")], "doc_idx long, text string"), spark.createDataFrame([(0, 10, 14), (0, 0, 5)], "doc_idx long, start int, end int"))
+    assert {r.doc_idx: [tuple(s) for s in r.spans] for r in gold.collect()} == {0: [(0, 5, "harga"), (10, 14, "wifi")], 1: []}
     assert W.write_provenance(spark, str(tmp_path / "p"), {"seed": 1}) and json.loads(spark.read.text(str(tmp_path / "p")).first()[0]) == {"seed": 1}
 
 
 def run(query, name, spark):
     q = query.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    return spark.table(name).collect()
+    try:
+        assert q.awaitTermination(240), "the query over what is available didn't end"
+        assert q.exception() is None
+        return spark.table(name).collect()
+    finally:
+        q.stop()
 
 
 def test_stream_rate_limit(spark, tmp_path):
     folder = str(tmp_path / "events")
     for batch in ([("a", 0.0), ("a", 1.0), ("b", 0.0)], [("a", 2.0), ("a", 11.0)]):
-        spark.createDataFrame(batch, "k string, t double").coalesce(1).write.mode("append").parquet(folder)
-    events = spark.readStream.schema("k string, t double").option("maxFilesPerTrigger", 1).parquet(folder)
-    rows = run(stream_rate_limit(events, "k", "t", 2, 10.0), "limited", spark)
-    assert len(rows) == 5 and sum(r.allowed for r in rows) == 4 and not next(r for r in rows if r["at"] == 2.0).allowed
+        spark.createDataFrame(batch, "k string, t double").select("k", (F.col("t") + BASE).cast("timestamp").alias("t")).coalesce(1).write.mode("append").parquet(folder)
+    events = spark.readStream.schema("k string, t timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = run(stream_rate_limit(events, "k", "t", 2, 10.0, late="1 minute"), "limited", spark)
+    assert len(rows) == 5 and sum(r.allowed for r in rows) == 4 and not next(r for r in rows if r["at"] == BASE + 2.0).allowed
+
+
+def test_one_key_with_many_events_in_a_trigger(spark, tmp_path):
+    """More events than an Arrow batch holds, in no order: decisions are those of the batch form."""
+    folder = str(tmp_path / "many")
+    times = list(range(25_000))
+    random.Random(3).shuffle(times)
+    spark.createDataFrame([("a", float(t)) for t in times], "k string, t double").select("k", (F.col("t") + BASE).cast("timestamp").alias("t")).coalesce(2).write.parquet(folder)
+    events = spark.readStream.schema("k string, t timestamp").parquet(folder)
+    got = {r["at"]: r.allowed for r in run(stream_rate_limit(events, "k", "t", 2, 10.0, late="1 day"), "many", spark)}
+    batch = rate_limit(spark.read.parquet(folder), "k", F.col("t"), 2, 10.0).collect()
+    assert got == {r["at"]: r.allowed for r in batch} and sum(got.values()) == 5000
 
 
 def test_stream_sentiment(spark, tmp_path):

@@ -1,3 +1,5 @@
+import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -124,8 +126,8 @@ def test_terms(spark):
     terms = spark.createDataFrame([(t,) for t in ["layanan 3G", "yang terbaik", "Manchester City", "RUPS", "bagus sekali", "tahun lalu", "membayar pajak", "Pajak", "harga saham"]], "term string")
     seen = spark.createDataFrame([("pajak",)], "term string")
     assert {r.term: r.reason for r in D.reject_reasons(terms, seen).collect()} == {
-        "layanan 3G": "has_digit", "yang terbaik": "function_head", "Manchester City": "proper_noun", "RUPS": None, "bagus sekali": "opinion_head",
-        "tahun lalu": "time_head", "membayar pajak": "verbal_head", "Pajak": None, "harga saham": None,
+        "layanan 3G": "mengandung angka", "yang terbaik": "berkepala kata fungsi", "Manchester City": "nama diri", "RUPS": None, "bagus sekali": "berkepala kata opini",
+        "tahun lalu": "berkepala satuan waktu", "membayar pajak": "berkepala verba", "Pajak": None, "harga saham": None,
     }
 
 
@@ -150,3 +152,88 @@ def test_reports_on_training_data(spark):
     for s in D.annotate(d, [("harga", True), ("layan", False)]).collect():
         got[s.aspect] += 1
     assert dict(got) == {"harga": 1, "layan": 1}
+
+
+def brute_spans(texts, names):
+    out = []
+    for i, t in enumerate(texts):
+        for n in names:
+            for at in range(len(t) - len(n) + 1):
+                before, after = t[at - 1 : at], t[at + len(n) : at + len(n) + 1]
+                if t[at : at + len(n)].lower() == n and not (before.isalpha() or before.isnumeric()) and not (after.isalpha() or after.isnumeric()):
+                    out.append((i, n, at, at + len(n)))
+    return sorted(out)
+
+
+def test_literal_spans_of_long_texts_are_those_of_a_loop(spark):
+    rng = random.Random(4)
+    words = ["harga", "harga pasar", "pasar", "a", "a a", "x-harga", "Harga,", "sepasar", "9", "harga9"]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 63, 64, 65, 500)]
+    names = ["harga", "harga pasar", "pasar", "a a", "a", "9", "harga pasar a"]
+    assert spans_of(P.literal_spans(docs(spark, texts), names)) == brute_spans(texts, names)
+
+
+def test_work_on_long_texts_grows_in_proportion(spark):
+    """Eight times the text takes far less than 64 times the time."""
+    one = "harga naik dan pasar turun tapi kualitas bagus. "
+
+    def seconds(repeats):
+        d = docs(spark, [one * repeats])
+        best = []
+        for _ in range(2):
+            began = time.perf_counter()
+            P.literal_spans(d, ["harga", "pasar"]).count()
+            d.select(F.size(P.clause_bounds(F.col("text"))), P.context_words(F.lit("zzz"), F.col("text"))).collect()
+            A.keyword_aspects(d).collect()
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    seconds(100)
+    small, large = seconds(1000), seconds(8000)
+    assert large < 24 * small + 2
+
+
+def test_span_vectors(spark):
+    tokens = spark.createDataFrame([(0, 0, 5, [1.0, 0.0]), (0, 6, 9, [0.0, 1.0]), (0, 10, 14, [0.0, 3.0])], "doc_idx long, start int, end int, vector array<double>")
+    spans = spark.createDataFrame([(0, 0, 5), (0, 3, 8), (0, 20, 25)], "doc_idx long, start int, end int")
+    got = {(r.start, r.end): r.vector for r in A.pool_spans(spans, tokens).collect()}
+    assert got[0, 5] == [1.0, 0.0] and got[3, 8] == [0.5, 0.5] and got[20, 25] == pytest.approx([1 / 3, 4 / 3])
+
+
+def test_analyze_modes(spark):
+    texts = ["Harga mahal tapi pelayanan bagus", "Pelayanan lambat sekali", "layanannya ramah, harganya terjangkau", "", None]
+    d = docs(spark, texts)
+    own = A.analyze(d, "rule-based", ["harga", "pelayanan"])
+    assert {r.aspect: r["count"] for r in own["aspects"].collect()} == {"harga": 2, "pelayanan": 3}
+    assert {r.doc_idx: r.aspects for r in own["document_aspects"].collect()} == {0: ["pelayanan", "harga"], 1: ["pelayanan"], 2: ["pelayanan", "harga"], 3: [], 4: []}
+    assert {r.doc_idx: r.aspects for r in own["document_aspects_normalized"].collect()}[1] == ["layan"]
+    assert own["statistics"].first().total_mentions == 5 and "pelayanan" in own["summary"].first().summary
+    kept = A.analyze(d, "rule-based", ["gaji", "gajinya"])  # the user's own aspects are not merged
+    assert kept["aspects"].count() == 0 and kept["document_aspects"].count() == 5
+    auto = A.analyze(d)
+    assert {r.aspect: r["count"] for r in auto["aspects"].collect()} == {"harga": 1, "pelayanan": 2}
+    places = {(r.doc_idx, r.aspect): (r.start, r.end) for r in auto["occurrences"].collect()}
+    assert places == {(0, "harga"): (0, 5), (0, "pelayanan"): (17, 26), (1, "pelayanan"): (0, 9)}
+
+
+def test_analyze_with_a_tagger_merges_variants(spark):
+    texts = ["gajinya besar", "gaji kecil", "gaji nya naik"]
+    spans = [(0, 0, 7), (1, 0, 4), (2, 0, 8)]
+    tags = spark.createDataFrame([(i, 0, 1, s, e, 0.9) for i, s, e in spans] + [(0, 1, 0, 8, 13, 0.9)], "doc_idx long, pos int, label int, start int, end int, conf double")
+    found = A.analyze(docs(spark, texts), tags=tags)
+    row = found["aspects"].first()
+    assert (row.aspect, row["count"], row.variants) == ("gaji", 3, ["gaji", "gaji nya", "gajinya"]) and row.score == pytest.approx(2.7)
+    assert {r.aspect for r in found["occurrences"].collect()} == {"gaji"}
+
+
+def test_augmentation_keeps_all_and_adds(spark):
+    d = docs(spark, ["ac rusak dan wifi lemot", "tanpa aspek", None])
+    spans = spark.createDataFrame([(0, 0, 2, "ac"), (0, 13, 17, "wifi")], "doc_idx long, start int, end int, surface string")
+    pool = spark.createDataFrame([("resepsionis", 0), ("kamar", 1)], "term string, slot int")
+    more = spark.createDataFrame([(100, "kalimat biasa")], "doc_idx long, text string")
+    rows = D.augment(d, spans, pool, 2, more).collect()
+    assert sorted((r.kind, r.doc_idx, r["copy"]) for r in rows) == [("augmented", 0, 1), ("augmented", 0, 2), ("given", 0, 0), ("given", 1, 0), ("given", 2, 0), ("negative", 100, 0)]
+    assert sorted(r.position for r in rows) == list(range(6))
+    for r in rows:
+        words = [r.text[s.start : s.end] for s in r.spans]
+        assert words == (["ac", "wifi"] if r.kind == "given" and r.doc_idx == 0 else []) or (r.kind == "augmented" and set(words) <= {"resepsionis", "kamar"} and len(words) == 2)

@@ -2,6 +2,7 @@ import math
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lontar.config import TopicConfig
 from lontar.operators import association as Q
@@ -104,7 +105,8 @@ def test_degenerate_and_k(spark):
     assert K.degenerate(assigned(spark, [0, 0, 1, 1, 2, 2, -1])).first().degenerate is False
     assert K.degenerate(assigned(spark, [0, 0, 1, 1])).first().degenerate is True
     assert K.select_k(3, None) == 3
-    assert K.select_k(7, lambda k: {6: (0.8, 0.9), 5: (0.4, 0.5), 4: (0.3, 0.6)}[k]) == 4
+    assert K.select_k(7, lambda k: {7: (0.2, 0.3), 6: (0.8, 0.9), 5: (0.4, 0.5), 4: (0.3, 0.6)}[k]) == 4
+    assert K.select_k(5, lambda k: {5: (0.3, 0.6), 4: (0.3, 0.6)}[k]) == 5 and K.select_k(5, lambda k: {5: (0.3, 0.6), 4: (0.95, 0.9)}[k]) == 5
     assert K.select_k(6, lambda k: (0.9, 1.0)) == 6
     assert [K.auto_k(n) for n in (2, 50, 10_000)] == [2, 5, 20] and K.lda_k(10, 5, 100) == 4 and K.kmeans_k(0, 200) == 10
 
@@ -180,3 +182,57 @@ def test_words_beyond_the_most_frequent_count_for_clusters(spark):
     rows = [(i, [f"a{(i * 35 + k) % 2100}" for k in range(105)]) for i in range(60)] + [(60 + i, [f"rare{i // 2}x{k}" for k in range(4)]) for i in range(10)]
     found = K.features(spark.createDataFrame(rows, "doc_idx long, tokens array<string>"), size=70).collect()
     assert all(r.features.norm(2) > 0.5 for r in found if r.doc_idx >= 60)
+
+
+def six_topics(spark):
+    """Topics 0-2 share words pairwise with 3-5, so merging to three makes pairs."""
+    docs, topics = [], []
+    for i in range(60):
+        t = i % 6
+        docs.append([f"tema{t % 3}a", f"tema{t % 3}b", f"tema{t % 3}c", f"khas{t}"])
+        topics.append(t)
+    return tokens(spark, docs), assigned(spark, topics)
+
+
+def test_merging_and_choosing(spark):
+    docs, given = six_topics(spark)
+    order = K.merge_order(K.class_counts(docs, given))
+    assert sorted(order) == [1, 2, 3, 4, 5, 6] and order[6] == {t: t for t in range(6)} and order[3] == {0: 0, 3: 0, 1: 1, 4: 1, 2: 2, 5: 2}
+    moved = {r.doc_idx: r.topic_id for r in K.merged(given.union(assigned(spark, [-1]).withColumn("doc_idx", F.lit(99).cast("long"))), order[3]).collect()}
+    assert moved[3] == 0 and moved[4] == 1 and moved[99] == -1
+    rows = {r.k: r for r in K.sweep_k(docs, given, [3, 4, 5, 6]).collect()}
+    assert sorted(rows) == [3, 4, 5, 6] and rows[3].largest_share == pytest.approx(1 / 3, abs=1e-4) and rows[3].outlier_rate == 0 and rows[3].diversity == 1.0
+    for k in (3,):  # as if the clustering had been k all along
+        alone = K.top_terms(K.class_tfidf(docs, K.merged(given, order[k])))
+        assert rows[k].c_v == pytest.approx(M.cv_coherence(alone, docs).first().c_v, abs=1e-4) and rows[k].c_npmi == pytest.approx(M.npmi_coherence(alone, docs).first().c_npmi, abs=1e-4)
+    assert {r.topic_id for r in K.choose_topics(docs, given, 3).collect()} == {0, 1, 2} and K.choose_topics(docs, given, 9) is given
+    auto = {r.topic_id for r in K.choose_topics(docs, given, 0).collect()}
+    assert len(auto) == max((4, 5, 6), key=lambda k: (rows[k].c_v, k))
+
+
+def test_outliers_are_the_farthest(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.dense([float(i % 2) * 10 + (i % 5) / 100, 0.0])) for i in range(100)] + [(100, Vectors.dense([14.0, 3.0]))]
+    got = {r.doc_idx: r.topic_id for r in K.cluster(spark.createDataFrame(rows, ["doc_idx", "features"]), 2, outlier_share=0.02).collect()}
+    assert got[100] == -1 and sum(t == -1 for t in got.values()) <= 3 and len(got) == 101
+
+
+def test_labels_are_readable(spark):
+    themes = ["pelayanan pejabat membayar pajak", "nelayan ikan laut kapal", "guru sekolah murid buku"]
+    d = spark.createDataFrame([(i, f"{themes[i % 3]} {themes[i % 3].split()[i % 4]}") for i in range(60)], "doc_idx long, text string")
+    found = K.analyze(d, num_topics=0)
+    for r in found["topics"].collect():
+        assert len(r.words) == len(r.words_stemmed)
+    pairs = {s: w for r in found["topics"].collect() for s, w in zip(r.words_stemmed, r.words, strict=True)}
+    assert pairs.get("jabat", "pejabat") == "pejabat" and pairs.get("bayar", "membayar") == "membayar" and ("jabat" in pairs or "bayar" in pairs)
+    assert {"pejabat", "membayar"} & {r.word for r in found["word_frequencies"].collect()}
+
+
+def test_pair_counts_are_those_of_windows(spark):
+    docs = tokens(spark, [["a", "b", "x", "a", "y", "b", "b"], ["x"] * 30 + ["a"] + ["x"] * 5 + ["b"], ["a"], []])
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("a", "zz")], "term1 string, term2 string")
+    vocabulary = spark.createDataFrame([("a",), ("b",)], "term string")
+    for size in (1, 2, 3, 10, 0):
+        want = {(r.term1, r.term2): r.n for r in M.cooccurrence(M.windows(docs, "tokens", size, vocabulary)).collect()}
+        assert {(r.term1, r.term2): r.n for r in M.window_counts(docs, "tokens", size, pairs).collect()} == want
