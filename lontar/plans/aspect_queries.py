@@ -297,7 +297,7 @@ def span_vectors(spark, sf_dir):
     return _long(made.select("doc_idx", "start", (F.col("end") - 12).alias("end"), F.round(F.get("vector", 0), 6).alias("x"), F.round(F.get("vector", 1), 6).alias("y")), "start", "end")
 
 
-@query(f"""WITH {_islands('label', '').split('WITH ', 1)[1].replace('SELECT doc_idx, min(pos)', ', b AS (SELECT doc_idx, min(pos)', 1)}), o AS (SELECT b.doc_idx, b.start, b."end", substr(text, CAST(b.start AS BIGINT) + 1, CAST(b."end" - b.start AS BIGINT)) AS surface FROM b JOIN documents ON doc_id = b.doc_idx)
+@query(rf"""WITH {_islands('label', '').split('WITH ', 1)[1].replace('SELECT doc_idx, min(pos)', ', b AS (SELECT doc_idx, min(pos)', 1)}), o AS (SELECT b.doc_idx, b.start, b."end", substr(text, CAST(b.start AS BIGINT) + 1, CAST(b."end" - b.start AS BIGINT)) AS surface FROM b JOIN documents ON doc_id = b.doc_idx)
 SELECT doc_idx, count(*) AS n, CAST(min(start) AS BIGINT) AS first_start FROM o WHERE len(trim(regexp_replace(lower(surface), '^[^\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+$', '', 'g'))) >= 3 GROUP BY doc_idx""")
 def tagger_aspects(spark, sf_dir):
     """Occurrences from a tagger's labels; what is left of a name has three letters at least."""

@@ -31,14 +31,17 @@ def _benchmark(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "benchmark").withColumn("g", F.lpad((F.col("item_id") % 16).cast("string"), 2, "0"))
 
 
-_ITEMS = F.array_sort(F.collect_list(F.struct("item_id", "text")))
+def _items():
+    return F.array_sort(F.collect_list(F.struct("item_id", "text")))
+
+
 _NUMBERED = "SELECT row_number() OVER (ORDER BY lpad(CAST(item_id % 16 AS VARCHAR), 2, '0'), item_id) - 1 AS doc_idx, text FROM benchmark"
 
 
 @query(_NUMBERED)
 def corpus_scan(spark, sf_dir):
     """JSON arrays of strings and records."""
-    mixed = F.transform(_ITEMS, lambda x: F.when(x["item_id"] % 3 == 0, F.to_json(F.struct(x["text"].alias("t")))).otherwise(F.to_json(F.struct(x["text"].alias("text")))))
+    mixed = F.transform(_items(), lambda x: F.when(x["item_id"] % 3 == 0, F.to_json(F.struct(x["text"].alias("t")))).otherwise(F.to_json(F.struct(x["text"].alias("text")))))
     bare = F.transform(mixed, lambda j: F.regexp_replace(j, r'(?s)^\{"t":(.*)\}$', "$1"))
     return R.read_corpus(spark, _files(_benchmark(spark, sf_dir), "corpus", "g", F.concat(F.lit('["  ",'), F.array_join(bare, ","), F.lit("]"))))
 
@@ -46,7 +49,7 @@ def corpus_scan(spark, sf_dir):
 @query(_NUMBERED)
 def wrapped_corpus_scan(spark, sf_dir):
     """Arrays that a record wraps, under `data` or another name."""
-    body = F.to_json(F.transform(_ITEMS, lambda x: F.struct(x["text"].alias("text"))))
+    body = F.to_json(F.transform(_items(), lambda x: F.struct(x["text"].alias("text"))))
     return R.read_corpus(spark, _files(_benchmark(spark, sf_dir), "wrapped", "g", F.concat(F.when(F.min("item_id") % 2 == 0, '{"data":').otherwise('{"rows":'), body, F.lit("}"))))
 
 
@@ -54,7 +57,7 @@ def wrapped_corpus_scan(spark, sf_dir):
 def gold_scan(spark, sf_dir):
     """S3: rows with a known label, in any letter case."""
     label = lambda i: F.when(i % 4 == 0, " Positive").when(i % 4 == 1, "neutral").when(i % 4 == 2, "NEGATIVE ").otherwise("odd")
-    value = F.to_json(F.transform(_ITEMS, lambda x: F.struct(x["text"].alias("text"), label(x["item_id"]).alias("label"))))
+    value = F.to_json(F.transform(_items(), lambda x: F.struct(x["text"].alias("text"), label(x["item_id"]).alias("label"))))
     return R.read_gold(spark, _files(_benchmark(spark, sf_dir), "gold", "g", value)).select("text", "label")
 
 
@@ -65,7 +68,7 @@ def conll_scan(spark, sf_dir):
     from lontar.functions.text import tokens
 
     line = lambda x: F.array_join(F.transform(tokens(x["text"]), lambda t, i: F.concat(t, F.lit("\t"), F.element_at(F.array(F.lit("b"), F.lit("I"), F.lit("O")), ((x["item_id"] + i) % 3 + 1).cast("int")))), "\n")
-    value = F.array_join(F.transform(_ITEMS, line), "\nnolabel\n \n\n")
+    value = F.array_join(F.transform(_items(), line), "\nnolabel\n \n\n")
     return R.read_conll(spark, _files(_benchmark(spark, sf_dir), "conll", "g", value)).groupBy("token", "label").agg(F.count("*").alias("n"))
 
 

@@ -1,8 +1,20 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from lontar.plans import registry
+from tests.conftest import ROOT
+
+
+def test_queries_load_without_a_session():
+    """The register is read before there is a session."""
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={**os.environ, "PYTHONPATH": ROOT}).returncode == 0
+
 
 def test_names_agree():
     assert set(registry.oracle_sql()) <= set(registry.queries())
