@@ -22,7 +22,7 @@ from lontar.operators.clean import clean, filter_rare_tokens
 from lontar.tables import materialize, remove
 
 #: Hash values of terms, and columns that their fixed random projection leaves for PCA.
-TERMS, COLUMNS = 1 << 20, 2000
+TERMS, COLUMNS = 1 << 20, 1000
 
 
 def label_tokens(text: Column, stopwords=TOPIC_LABEL_STOPWORDS) -> Column:
