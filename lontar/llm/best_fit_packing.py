@@ -26,7 +26,7 @@ from lontar.llm.common import gapless, materialize, read, remove, salts_for, sli
 
 CAPACITY, END_ID = 2048, 0
 #: Entries of a worker's cache of coded chunks; it starts anew beyond that.
-CACHE = 500_000
+CACHE = 300_000
 
 
 def default_vocabulary() -> str:
