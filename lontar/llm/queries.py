@@ -16,6 +16,9 @@ _MODULES = {
     "op8_best_fit_packing": "best_fit_packing",
     "op9_quality_classifier": "quality_classifier",
     "op10_simhash_dedup": "simhash_dedup",
+    "op11_spelling_variants": "spelling_variants",
+    "op12_exact_search": "exact_search",
+    "op13_merkle_manifest": "merkle_manifest",
 }
 
 
