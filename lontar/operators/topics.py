@@ -19,6 +19,9 @@ from lontar.functions.text import tokens as split_tokens
 from lontar.lexicons import INDONESIAN, TOPIC_LABEL_STOPWORDS
 from lontar.operators import quality
 from lontar.operators.clean import clean, filter_rare_tokens
+from lontar.operators.density import density_clusters
+from lontar.operators.layout import graph_layout
+from lontar.operators.neighbours import distinct_points
 from lontar.tables import materialize, remove
 
 #: Hash values of terms, and columns that their fixed random projection leaves for PCA.
@@ -133,6 +136,19 @@ def cluster(vectors: DataFrame, k: int, key: str = "doc_idx", seed: int = 42, bi
     return far.join(F.broadcast(cuts), "topic_id").select(key, F.when(F.col("_d") > F.col("_cut"), -1).otherwise(F.col("topic_id")).cast("int").alias("topic_id"))
 
 
+def density_cluster(vectors: DataFrame, key: str = "doc_idx", seed: int = 42, size: int = 5, k: int | None = None, min_size: int | None = None) -> DataFrame:
+    """key, topic_id by density: documents are laid out in `size` dimensions by their k nearest neighbours (one in 59, 10 to
+    30), and dense parts of the layout are clusters; their number, and the outliers (-1), follow from the data."""
+    rows = materialize(vectors.select(key, vector_to_array("features").alias("v")), "density_features")
+    near = k or max(10, min(30, rows.count() // 59))
+    points = materialize(distinct_points(rows, key), "density_distinct")
+    layout = graph_layout(points, size, near, seed)
+    laid = materialize(rows.join(points, "v").join(layout.withColumnRenamed("v", "at"), "node").select(key, F.col("at").alias("v")), "density_layout")
+    out = density_clusters(laid, key, "v", min_size, k=near, seed=seed)
+    remove(rows, points, layout, laid)
+    return out
+
+
 def degenerate(assigned: DataFrame, config: TopicConfig = TopicConfig()) -> DataFrame:
     """clusters, largest_share (of all documents, outliers too), degenerate."""
     sizes = assigned.groupBy("topic_id").agg(F.count("*").alias("n"))
@@ -368,7 +384,7 @@ def readable(topics: DataFrame, surfaces: DataFrame) -> DataFrame:
     return topics.withColumnRenamed("words", "words_stemmed").join(lists, "topic_id", "left").withColumnRenamed("_w", "words")
 
 
-METHOD_NAMES = {"lda": "LDA", "kmeans": "KMeans", "bisecting": "Bisecting KMeans", "frequency-based": "frekuensi kata"}
+METHOD_NAMES = {"lda": "LDA", "density": "kepadatan", "kmeans": "KMeans", "bisecting": "Bisecting KMeans", "frequency-based": "frekuensi kata"}
 
 
 def summary(topics: DataFrame) -> DataFrame:
@@ -391,8 +407,9 @@ def analyze(docs: DataFrame, user: dict | None = None, num_topics: int = 5, text
     """Cleans with the bag-of-words profile, filters rare tokens, drops blank documents, and models the rest; documents that
     were not modelled get -1. Under three documents, or when LDA finds too few words, topics come from word frequencies.
 
-    Clusters come from k-means, by bisection if it degenerates, and their farthest documents are outliers. num_topics of 0 or
-    less chooses a number by balance and C_v; clusters beyond the number merge, and outliers near a topic are pulled in. Labels
+    Clusters come from k-means, by bisection if it degenerates, and their farthest documents are outliers; with method
+    "density" from density_cluster, then LDA if that finds one at most, or k-means if it degenerates and k-means does not.
+    num_topics of 0 or less chooses a number by balance and C_v; clusters beyond the number merge, and outliers near a topic are pulled in. Labels
     are diverse terms that the label vocabulary has, as people write them; quality is measured on their stems.
     """
     cleaned = clean(docs.select(key, text), CleanConfig.for_task("bag_of_words", user), text, (key,), lexicon)
@@ -411,11 +428,15 @@ def analyze(docs: DataFrame, user: dict | None = None, num_topics: int = 5, text
         vectors = materialize(features(kept, seed=config.seed).select(key, "features"), "topic_vectors")
         k = kmeans_k(num_topics, n)
         clustered = lambda bisecting: materialize(cluster(vectors, k, key, config.seed, bisecting, config.outlier_share), "topic_clusters")
-        assigned = clustered(method == "bisecting")
-        if method != "bisecting" and degenerate(assigned, config).first().degenerate:
-            again = clustered(True)
+        assigned = density_cluster(vectors, key, config.seed) if method == "density" else clustered(method == "bisecting")
+        found = degenerate(assigned, config).first()
+        if method == "density" and found.clusters < 2:
+            remove(vectors, tokens)
+            return analyze(docs, user, num_topics, text, key, lexicon, config, "lda", stopwords, iterations)
+        if method != "bisecting" and found.degenerate:
+            again = clustered(method != "density")
             if not degenerate(again, config).first().degenerate:
-                assigned, method = again, "bisecting"
+                assigned, method = again, "kmeans" if method == "density" else "bisecting"
         assigned = materialize(choose_topics(kept, assigned, num_topics, "tokens", key, config), "topic_merged")
         pulled = materialize(pull_outliers(kept, assigned, "tokens", key, config), "topic_pulled")
         weights = materialize(class_tfidf(kept, pulled.filter("topic_id != -1"), "tokens", key), "topic_weights")
