@@ -159,8 +159,8 @@ def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, id_col:
 
     chains, subroots = combine(tops.select("key", F.col("bucket").alias("pos"), "h"))
     subroots = materialize(subroots, "manifest_subroots")
-    numbered = rank_by_order(subroots, [], ["key"], "pos")
-    further, root = combine(numbered.select(F.lit("").alias("key"), "pos", "h"))
+    numbered = materialize(rank_by_order(subroots, [], ["key"], "pos").select("key", "h", "pos", F.lit("").alias("all")), "manifest_numbered")
+    further, root = combine(numbered.select(F.col("all").alias("key"), "pos", "h"))
     top = root.first()  # one row: the root
     above = numbered.join(further.select("pos", F.col("chain").alias("further")), "pos").select("key", F.col("h").alias("subroot"), "further")
     outer = chains.join(above, "key").select(
