@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lontar.functions.ranks import rank_in_group
 from lontar.functions.stem import stem_map
 from lontar.lexicons import NEGATIVE, POSITIVE, ROOTS, STOPWORDS, TIME_UNITS, VERBAL_PREFIXES
+from lontar.operators.patterns import term_spans
 from lontar.operators.spans import find_spans, literal_spans, resolve_overlaps
 
 MAX_WORDS, MIN_CHARS = 4, 3
+_SPLICED = T.StructType().add("text", "string").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("surface", "string")))
 # ---- FIXED VALUES: the names of the reasons, as users read them, in the order of the rules
 REASONS = ("terlalu pendek", "mengandung angka", "berkepala kata fungsi", "seluruhnya kata fungsi", "berkepala kata opini", "berkepala satuan waktu", "berkepala verba", "nama diri")
 # ---- end of fixed values
@@ -67,13 +71,14 @@ def harvest_terms(tasks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lowercase_vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Words that occur in lower case somewhere."""
-    return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\b([a-z]+)\b"), F.lit(1)))).alias("term")).distinct()
+    """Words of two characters or more, a-z and hyphens, that occur in lower case somewhere."""
+    return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\b([a-z][a-z\-]+)\b"), F.lit(1)))).alias("term")).distinct()
 
 
 def project(docs: DataFrame, terms: list[str], key: str = "doc_idx", text: str = "text") -> DataFrame:
-    """Occurrences of terms in any letter case, the longest of overlapping ones."""
-    return resolve_overlaps(literal_spans(docs, terms, key, text), key)
+    """Occurrences of terms in any letter case, with any white space between their words and no word character beside them; the
+    longest of overlapping ones, of equally long ones the first."""
+    return resolve_overlaps(term_spans(docs, terms, key, text), key)
 
 
 def annotate(docs: DataFrame, lexicon: list[tuple[str, bool]], key: str = "doc_idx", text: str = "text", roots=ROOTS) -> DataFrame:
@@ -98,18 +103,26 @@ def substitute(docs: DataFrame, spans: DataFrame, pool: DataFrame, seed: int = 4
     size = pool.agg(F.max("slot").alias("_m"))
     picked = spans.join(F.broadcast(size), how="cross").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("start")), F.col("_m") + 1)).join(F.broadcast(pool), "slot")  # one row; at most 600 words
     lists = picked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "term"))).alias("_s"))
-    fold = F.aggregate(
-        "_s",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast("array<struct<start:int,end:int,surface:string>>").alias("spans")),
-        lambda a, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), s["term"]).alias("out"),
-            F.concat(a["spans"], F.array(F.struct(
-                (F.char_length(a["out"]) + s["start"] - a["at"]).alias("start"), (F.char_length(a["out"]) + s["start"] - a["at"] + F.char_length(s["term"])).alias("end"), s["term"].alias("surface")))).alias("spans"),
-        ),
-    )
-    made = docs.join(lists, key).withColumn("_f", fold)
-    return made.select(key, F.concat("_f.out", F.expr(f"substring({text}, _f.at + 1, char_length({text}) - _f.at)")).alias("new_text"), F.col("_f.spans").alias("new_spans"))
+    cut = lambda name: F.transform("_s", lambda s: s[name])
+    made = docs.join(lists, key).withColumn("_f", _spliced(text, cut("start"), cut("end"), cut("term")))
+    return made.select(key, F.col("_f.text").alias("new_text"), F.col("_f.spans").alias("new_spans"))
+
+
+@F.arrow_udf(_SPLICED)
+def _spliced(texts: pa.Array, starts: pa.Array, ends: pa.Array, terms: pa.Array) -> pa.Array:
+    """Texts with pieces replaced, each put together once, and where the new pieces stand."""
+    new, spans = [], []
+    for text, a, b, words in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), terms.to_pylist(), strict=True):
+        parts, held, at, size = [], [], 0, 0
+        for start, end, word in zip(a, b, words, strict=True):
+            size += start - at + len(word)
+            parts += [text[at:start], word]
+            held.append({"start": size - len(word), "end": size, "surface": word})
+            at = end
+        new.append("".join([*parts, text[at:]]))
+        spans.append(held)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())]))
+    return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(spans, kind)], ["text", "spans"])
 
 
 def augment(docs: DataFrame, spans: DataFrame, pool: DataFrame, factor: int = 1, negatives: DataFrame | None = None, seed: int = 42, key: str = "doc_idx", text: str = "text") -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lontar.functions import text as X
 from lontar.functions.stem import stem_udf, verbal_derivation
@@ -76,32 +79,28 @@ def word_spans(docs: DataFrame, key: str = "doc_idx", text: str = "text") -> Dat
 
 
 def stem_spans(docs: DataFrame, aspects: list[str], key: str = "doc_idx", text: str = "text", roots=ROOTS) -> DataFrame:
-    """Occurrences by stem: n words in a row whose stems are the aspect's, unless one is a verb formed from its word."""
+    """Occurrences by stem: n words in a row whose stems are the aspect's, unless one is a verb formed from its word.
+
+    Windows of stems meet a table of the aspects' stems in a hash join, so a word costs the same whatever the lexicon."""
     from lontar.functions.stem import stem
 
     words = word_spans(docs, key, text)
     stems = words.select(F.col("word").alias("_w")).distinct().withColumn("stem", stem_udf(roots)("_w"))
     words = words.join(stems, F.col("word") == F.col("_w")).drop("_w")
-    found = None
-    in_order = Window.partitionBy(key).orderBy("pos")
-    by_length: dict[int, list[tuple[str, list[str], list[str]]]] = {}
-    for a in dict.fromkeys(map(python_normalize_aspect, aspects)):
-        if parts := re.findall(r"\w+", a):
-            by_length.setdefault(len(parts), []).append((a, parts, [stem(p, roots) for p in parts]))
-    for n, group in by_length.items():
-        rows = words
-        for k in range(n):
-            rows = rows.withColumn(f"_s{k}", F.lead("stem", k).over(in_order)).withColumn(f"_v{k}", F.lead("word", k).over(in_order))
-        rows = rows.withColumn("_end", F.lead("end", n - 1).over(in_order))
-        table = F.array(*(F.struct(F.lit(a).alias("aspect"), F.array(*map(F.lit, p)).alias("parts"), F.array(*map(F.lit, s)).alias("stems")) for a, p, s in group))
-        rows = rows.withColumn("_a", F.explode(F.filter(table, lambda a: F.array(*(F.col(f"_s{k}") for k in range(n))) == a["stems"])))
-        verbal = F.lit(False)
-        for k in range(n):
-            verbal = verbal | verbal_derivation(F.col(f"_v{k}"), F.get("_a.parts", k), VERBAL_PREFIXES)
-        part = rows.filter(~verbal).select(key, F.col("_a.aspect").alias("aspect"), "start", F.col("_end").alias("end"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    terms = [(a, parts, "\0".join(stem(p, roots) for p in parts)) for a in dict.fromkeys(map(python_normalize_aspect, aspects)) if (parts := re.findall(r"\w+", a))]
+    if not terms:
         return docs.select(key, F.lit("").alias("aspect"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface")).limit(0)
+    postings = docs.sparkSession.createDataFrame(terms, "aspect string, parts array<string>, gram string")
+    in_order = Window.partitionBy(key).orderBy("pos")
+    lengths = sorted({len(parts) for _, parts, _ in terms})
+    for k in range(lengths[-1]):
+        words = words.withColumn(f"_s{k}", F.lead("stem", k).over(in_order)).withColumn(f"_v{k}", F.lead("word", k).over(in_order)).withColumn(f"_e{k}", F.lead("end", k).over(in_order))
+    windows = F.array(*(F.when(F.col(f"_s{n - 1}").isNotNull(), F.struct(F.concat_ws("\0", *(f"_s{k}" for k in range(n))).alias("gram"), F.array(*(f"_v{k}" for k in range(n))).alias("words"), F.col(f"_e{n - 1}").alias("end"))) for n in lengths))
+    grams = words.select(key, "start", F.explode(F.array_compact(windows)).alias("g")).select(key, "start", "g.*")
+    heads = postings.select(F.substring_index("gram", "\0", 1).alias("_s0")).distinct()  # most windows begin with no term's first stem
+    grams = grams.withColumn("_s0", F.substring_index("gram", "\0", 1)).join(heads, "_s0", "left_semi").drop("_s0")
+    verbal = F.exists(F.arrays_zip("words", "parts"), lambda x: verbal_derivation(x["words"], x["parts"], VERBAL_PREFIXES))
+    found = grams.join(postings, "gram").filter(~verbal).select(key, "aspect", "start", "end")
     return found.join(docs.select(key, F.col(text).alias("_t")), key).select(key, "aspect", "start", "end", F.expr("substring(_t, start + 1, end - start)").alias("surface"))
 
 
@@ -159,17 +158,31 @@ def iob_spans(tokens: DataFrame, key: str = "doc_idx") -> DataFrame:
 def resolve_overlaps(spans: DataFrame, key: str = "doc_idx") -> DataFrame:
     """Greedy choice within each document: longest first, then earliest; what overlaps a chosen one goes.
 
-    The choice is sequential, so it is a fold over the document's sorted spans; documents bound its length.
+    A span is no longer than those chosen before it, so it overlaps one only if its first or last place is taken: the time
+    follows the number of spans and the text's length. A document's spans are held together.
     """
     item = F.struct((F.col("start") - F.col("end")).alias("n"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("aspect").alias("aspect"))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.array().cast("array<struct<start:int,end:int,aspect:string>>"),
-        lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(
-            F.concat(kept, F.array(F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["aspect"].alias("aspect"))))
-        ),
-    )
-    return spans.groupBy(key).agg(fold.alias("_kept")).select(key, F.explode("_kept").alias("s")).select(key, "s.aspect", "s.start", "s.end")
+    held = spans.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    cut = lambda name: F.transform("_s", lambda s: s[name].cast("int"))
+    flat = held.select(key, F.explode(F.arrays_zip("_s", _chosen(cut("start"), cut("end")).alias("kept"))).alias("z")).filter("z.kept")
+    return flat.select(key, F.col("z._s.aspect").alias("aspect"), F.col("z._s.start").cast("int").alias("start"), F.col("z._s.end").cast("int").alias("end"))
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _chosen(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Of spans in order of falling length, those that overlap none chosen before. Empty ones overlap what they lie within."""
+    out = []
+    for a, b in zip(starts.to_pylist(), ends.to_pylist(), strict=True):
+        least = min(a, default=0)
+        owner, kept = np.zeros(max(b, default=0) - least + 1, np.int32), []
+        for i, (start, end) in enumerate(zip(a, b, strict=True), 1):
+            x, y = start - least, end - least
+            free = (owner[x] == 0 and owner[y - 1] == 0) if x < y else x == 0 or owner[x] == 0 or owner[x - 1] != owner[x]
+            if free:
+                owner[x:y] = i
+            kept.append(bool(free))
+        out.append(kept)
+    return pa.array(out, pa.list_(pa.bool_()))
 
 
 def overlap_anti_join(candidates: DataFrame, taken: DataFrame, key: str = "doc_idx") -> DataFrame:

@@ -334,12 +334,28 @@ def tagger_uncertainty(spark, sf_dir):
     return A.uncertainty(p, ["doc_idx"]).withColumn("uncertainty", F.round("uncertainty", 6))
 
 
-@query(f"SELECT DISTINCT unnest({latin_sql('text')}) AS term FROM documents")
+@query(r"SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\p{Z}\p{P}\p{S}\p{C}]', 'X', 'g'), '\b[a-z][a-z\-]+\b')) AS term FROM documents")
 def lowercase_vocabulary(spark, sf_dir):
-    """E26's vocabulary."""
+    """E26's vocabulary. SQL's boundaries know ASCII only, so other letters become an X there."""
     return D.lowercase_vocabulary(docs(spark, sf_dir))
 
 
+_PROJECTED = ("the", "reason", "la", "und", "of the", "De  la", "in\tthe")
+
+
+@query(r"""WITH p AS (SELECT doc_id AS doc_idx, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS a FROM documents),
+t AS (SELECT doc_idx, text, unnest(a) AS piece, generate_subscripts(a, 1) AS i FROM p),
+w AS (SELECT *, sum(len(piece)) OVER o - len(piece) AS start, lead(piece, 1) OVER o AS gap, lead(piece, 2) OVER o AS next FROM t WINDOW o AS (PARTITION BY doc_idx ORDER BY i)),
+one AS (SELECT doc_idx, lower(piece) AS aspect, start, start + len(piece) AS "end", piece AS surface, i FROM w WHERE lower(piece) IN ('the', 'reason', 'la', 'und')),
+two AS (SELECT doc_idx, CASE lower(piece) WHEN 'of' THEN 'of the' WHEN 'de' THEN 'De  la' ELSE 'in' || chr(9) || 'the' END AS aspect, start, start + len(piece || gap || next) AS "end", piece || gap || next AS surface, i FROM w
+    WHERE regexp_full_match(gap, '\s+') AND (lower(piece), lower(next)) IN (('of', 'the'), ('de', 'la'), ('in', 'the')))
+SELECT doc_idx, aspect, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM two
+UNION ALL SELECT doc_idx, aspect, CAST(start AS BIGINT), CAST("end" AS BIGINT) FROM one WHERE NOT EXISTS (FROM two WHERE two.doc_idx = one.doc_idx AND two.i IN (one.i, one.i - 2))""")
+def term_projection(spark, sf_dir):
+    """E26's projection: any white space between words, whole words, longest first."""
+    return _long(D.project(docs(spark, sf_dir), list(_PROJECTED)), "start", "end")
+
+
 @query()
 def term_candidates(spark, sf_dir):
     """Capitalised word pairs as raw terms, normalised and judged."""

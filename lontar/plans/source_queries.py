@@ -61,15 +61,15 @@ def gold_scan(spark, sf_dir):
     return R.read_gold(spark, _files(_benchmark(spark, sf_dir), "gold", "g", value)).select("text", "label")
 
 
-@query("""WITH t AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark))
-SELECT token, CASE (item_id + pos) % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'I' ELSE 'O' END AS label, count(*) AS n FROM t GROUP BY 1, 2""")
+@query("""WITH t AS (SELECT item_id, doc_idx, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, row_number() OVER (ORDER BY lpad(CAST(item_id % 16 AS VARCHAR), 2, '0'), item_id) - 1 AS doc_idx, list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark))
+SELECT doc_idx, pos, token, CASE (item_id + pos) % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'I' ELSE 'O' END AS label FROM t""")
 def conll_scan(spark, sf_dir):
-    """Tokens and labels by line, documents by blank lines, lines without a label between them."""
+    """Tokens and labels by line, documents by blank lines, lines without a label between them; 16 files."""
     from lontar.functions.text import tokens
 
     line = lambda x: F.array_join(F.transform(tokens(x["text"]), lambda t, i: F.concat(t, F.lit("\t"), F.element_at(F.array(F.lit("b"), F.lit("I"), F.lit("O")), ((x["item_id"] + i) % 3 + 1).cast("int")))), "\n")
     value = F.array_join(F.transform(_items(), line), "\nnolabel\n \n\n")
-    return R.read_conll(spark, _files(_benchmark(spark, sf_dir), "conll", "g", value)).groupBy("token", "label").agg(F.count("*").alias("n"))
+    return R.read_conll(spark, _files(_benchmark(spark, sf_dir), "conll", "g", value)).select("doc_idx", F.col("pos").cast("long").alias("pos"), "token", "label")
 
 
 @query("SELECT DISTINCT source AS term, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS provenance, lang = 'de' AS literal_only FROM (SELECT source, min(lang) AS lang FROM documents GROUP BY source)")

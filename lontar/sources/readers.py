@@ -61,10 +61,11 @@ def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 
 def read_gold(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """doc_idx, text, label of a JSON array; rows with a blank text or an unknown label go."""
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])
-    rows = spark.read.schema(schema).json(path, multiLine=True).withColumn("_o", F.monotonically_increasing_id())
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.expr("try_variant_get(try_parse_json(value), '$', 'array<variant>')").alias("v"))
+    part = lambda name: F.expr(f"try_variant_get(x, '$.{name}', 'string')").alias(name)
+    rows = _elements(raw, "v").select("_file", "_pos", part("text"), part("label"))
     good = rows.withColumn("label", F.lower(F.trim("label"))).filter((F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("label").isin(*LABELS))
-    out = rank_by_order(good, [], ["_o"], "doc_idx").select("doc_idx", "text", "label")
+    out = rank_by_order(good, [], ["_file", "_pos"], "doc_idx").select("doc_idx", "text", "label")
     return out.filter(F.col("doc_idx") < limit) if limit is not None else out
 
 
@@ -75,16 +76,19 @@ def gold_drops(spark: SparkSession, path: str) -> DataFrame:
     return rows.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
 
 
-def parse_conll(files: DataFrame, value: str = "value") -> DataFrame:
-    """doc_idx, pos, token, label from whole CoNLL files: blank lines end documents, lines of under two fields are skipped."""
+def parse_conll(files: DataFrame, value: str = "value", file: str | None = None) -> DataFrame:
+    """doc_idx, pos, token, label from whole CoNLL files: blank lines end documents, lines of under two fields are skipped.
+
+    doc_idx counts documents over all files, in the order of the column `file`; without one, files must be a single row."""
     documents = F.filter(F.split(F.col(value), r"\n[ \t\r]*\n\s*"), lambda d: F.trim(d) != "")
-    flat = files.select(F.posexplode(documents).alias("doc_idx", "_d"))
-    lines = flat.select("doc_idx", F.posexplode(F.filter(F.transform(F.split("_d", "\n"), lambda x: F.split(F.rtrim(x), "\t")), lambda f: F.size(f) >= 2)).alias("pos", "_f"))
+    flat = files.select((F.col(file) if file else F.lit("")).alias("_file"), F.posexplode(documents).alias("_place", "_d"))
+    numbered = rank_by_order(flat, [], ["_file", "_place"], "doc_idx") if file else flat.withColumnRenamed("_place", "doc_idx")
+    lines = numbered.select("doc_idx", F.posexplode(F.filter(F.transform(F.split("_d", "\n"), lambda x: F.split(F.rtrim(x), "\t")), lambda f: F.size(f) >= 2)).alias("pos", "_f"))
     return lines.select("doc_idx", "pos", F.get("_f", 0).alias("token"), F.upper(F.trim(F.get("_f", 1))).alias("label"))
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    return parse_conll(spark.read.text(path, wholetext=True))
+    return parse_conll(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()), file="file")
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
