@@ -1,7 +1,8 @@
 """Indonesian word lists.
 
-The lists under FIXED VALUES must equal the ones users know for right results. The slang, stopword and root lists in daily use
-are longer than what is here: pass a file's content (sources.read_pairs, read_stopwords, read_roots) for those.
+The lists under FIXED VALUES must equal the ones users know for right results. There is no slang dictionary here: pass one as a
+file (sources.read_pairs). The stopword and root lists in daily use are longer than the seeds here: pass files for those
+too (sources.read_stopwords, read_roots).
 """
 
 from __future__ import annotations
@@ -40,27 +41,6 @@ TYPOS = {
     "kwalitas": "kualitas", "kwantitas": "kuantitas", "wa": "whatsapp", "wassap": "whatsapp", "tokped": "tokopedia",
     "toped": "tokopedia", "shope": "shopee", "go-jek": "gojek",
 }
-#: Everyday short forms: those that a corpus is full of. Longer dictionaries are a parameter (sources.read_pairs).
-SLANG = {
-    "gak": "tidak", "ga": "tidak", "gk": "tidak", "ngga": "tidak", "nggak": "tidak", "enggak": "tidak", "kaga": "tidak",
-    "kagak": "tidak", "nda": "tidak", "ndak": "tidak", "gag": "tidak", "ngak": "tidak", "nggk": "tidak", "tdk": "tidak",
-    "yg": "yang", "dgn": "dengan", "dg": "dengan", "utk": "untuk", "krn": "karena", "karna": "karena", "pd": "pada", "dr": "dari",
-    "kpd": "kepada", "tsb": "tersebut", "thd": "terhadap", "dll": "dan lain lain", "dsb": "dan sebagainya",
-    "dst": "dan seterusnya", "spt": "seperti", "krg": "kurang", "sdh": "sudah", "udah": "sudah", "udh": "sudah", "dah": "sudah",
-    "blm": "belum", "belom": "belum", "blom": "belum", "jd": "jadi", "jg": "juga", "tp": "tetapi", "tpi": "tetapi",
-    "kl": "kalau", "klo": "kalau", "kalo": "kalau", "bs": "bisa", "hrs": "harus", "spy": "supaya", "trs": "terus", "trus": "terus",
-    "sgt": "sangat", "bgt": "banget", "bngt": "banget", "bener": "benar", "bnr": "benar", "sbg": "sebagai", "sblm": "sebelum",
-    "stlh": "setelah", "kmrn": "kemarin", "skrg": "sekarang", "skr": "sekarang", "ntr": "nanti", "gue": "saya", "gw": "saya",
-    "lo": "kamu", "lu": "kamu", "ngomong": "bicara", "pake": "pakai", "tau": "tahu", "liat": "lihat", "mantul": "mantap",
-    "mantep": "mantap", "oke": "baik", "ok": "baik", "pinter": "pintar", "males": "malas", "gimana": "bagaimana",
-    "gmn": "bagaimana", "gmna": "bagaimana", "bgmn": "bagaimana", "knp": "mengapa", "napa": "mengapa", "kpn": "kapan",
-    "dmn": "di mana", "emang": "memang", "emg": "memang", "aja": "saja", "aj": "saja", "lg": "lagi", "lgi": "lagi",
-    "ama": "sama", "sm": "sama", "abis": "habis", "bkn": "bukan", "tq": "terima kasih", "thx": "terima kasih",
-    "thanks": "terima kasih", "mksh": "terima kasih", "sori": "maaf", "sorry": "maaf", "wkwk": "tertawa", "haha": "tertawa",
-    "good": "bagus", "nice": "bagus", "best": "terbaik", "sama2": "sama sama", "jgn": "jangan", "brp": "berapa",
-    "org": "orang", "byk": "banyak", "bnyk": "banyak", "dri": "dari", "dlm": "dalam", "sampe": "sampai", "gitu": "begitu",
-    "gini": "begini", "milyar": "miliar", "duwit": "duit",
-}
 TOPIC_LABEL_STOPWORDS = NEGATIONS | frozenset(
     "susah gampang mudah banget sekali sangat lebih paling makin terus aja saja juga udah sudah masih lagi harus bisa ada "
     "punya jadi buat hahaha haha wkwk wkwkwk ngapain emang memang kali kayak gitu gini begitu begini bilang orang yg nya ha "
@@ -102,4 +82,4 @@ ROOTS = frozenset(
     "prajurit tunjangan gedung latih makanya empunya bahwasanya perang tahan serang menang kalah".split()
 )
 
-INDONESIAN = Lexicon(slang=SLANG, typos=TYPOS, stopwords=STOPWORDS | SOCIAL_STOPWORDS, negations=NEGATIONS, positive=POSITIVE, negative=NEGATIVE, lexicon_negations=LEXICON_NEGATIONS, roots=ROOTS)
+INDONESIAN = Lexicon(typos=TYPOS, stopwords=STOPWORDS | SOCIAL_STOPWORDS, negations=NEGATIONS, positive=POSITIVE, negative=NEGATIVE, lexicon_negations=LEXICON_NEGATIONS, roots=ROOTS)

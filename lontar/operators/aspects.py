@@ -3,10 +3,11 @@ table (doc, aspect, surface, start, end, ...); nesting happens at the output edg
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.config import Lexicon
+from lontar.functions.ranks import rank_by_order
 from lontar.functions.stem import prefix_class, stem_map
 from lontar.functions.text import cosine, let
 from lontar.lexicons import CLITICS, COMMON_ASPECTS, CONNECTIVES, INDONESIAN, MERGE_PREFIXES, ROOTS, STOPWORDS
@@ -40,6 +41,12 @@ def merge_keys(names: DataFrame, column: str = "aspect", roots=ROOTS) -> DataFra
     return keyed.withColumn("prefix", prefix_class(squash(F.col("bare")), squash(F.col("stem_key")), MERGE_PREFIXES))
 
 
+def ranked(entries: DataFrame, by: str) -> DataFrame:
+    """Adds rank, 1, 2, ...: most of `by` first, of equal ones the first seen, over ranges of any number of entries."""
+    placed = rank_by_order(entries.withColumn("_less", -F.col(by)), [], ["_less", "first"], "_rank")
+    return placed.withColumn("rank", (F.col("_rank") + 1).cast("int")).drop("_less", "_rank")
+
+
 def merge_variants(aspects: DataFrame, roots=ROOTS) -> DataFrame:
     """Merges entries (aspect, count, confidence, variants, first) that differ in inflection only.
 
@@ -54,7 +61,7 @@ def merge_variants(aspects: DataFrame, roots=ROOTS) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("variants")))).alias("variants"), F.array_sort(F.collect_list("aspect")).alias("merged_from"), F.min("first").alias("first"),
     )
     scored = merged.withColumn("score", F.coalesce(F.col("count") * F.col("confidence"), F.col("count").cast("double")))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first"))).drop("stem_key", "prefix")
+    return ranked(scored.drop("stem_key", "prefix"), "score")
 
 
 def group_occurrences(occurrences: DataFrame, key: str = "doc_idx") -> DataFrame:
@@ -62,7 +69,7 @@ def group_occurrences(occurrences: DataFrame, key: str = "doc_idx") -> DataFrame
     sure = F.avg("confidence") if "confidence" in occurrences.columns else F.lit(None).cast("double")
     grouped = occurrences.groupBy("aspect").agg(F.count("*").alias("count"), sure.alias("confidence"), F.array_sort(F.collect_set("surface")).alias("variants"), F.min(F.struct(key, "start")).alias("first"))
     scored = grouped.withColumn("score", F.coalesce(F.col("count") * F.col("confidence"), F.col("count").cast("double")))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first")))
+    return ranked(scored, "score")
 
 
 def document_aspects(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx") -> DataFrame:
@@ -167,7 +174,7 @@ def rule_based_counts(occurrences: DataFrame, key: str = "doc_idx") -> DataFrame
     grouped = occurrences.groupBy("aspect").agg(
         F.count("*").alias("count"), F.count_if(F.col("match_type") != "semantic").alias("lexical_matches"), F.count_if(F.col("match_type") == "semantic").alias("semantic_matches"), F.min(F.struct(key, "start")).alias("first")
     )
-    return grouped.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "first"))).drop("first")
+    return ranked(grouped, "count").drop("first")
 
 
 def aspect_sentiments(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx", text: str = "text", lexicon: Lexicon = INDONESIAN, retry_below: float = 0.6, connectives=CONNECTIVES) -> DataFrame:

@@ -104,12 +104,12 @@ def report(rows: DataFrame) -> DataFrame:
 
 
 # ---- the pattern probe ------------------------------------------------------------------------------------------------
-def probe_cases(spark: SparkSession, templates: list[str], groups: dict[str, list[str]]) -> DataFrame:
-    """doc_idx, group, word, text, slot_start, slot_end: every word of every group in every template (`{}` is the slot)."""
-    rows = [(g, w) for g, words in groups.items() for w in words]
-    words = spark.createDataFrame(rows, "group string, word string")
-    shapes = spark.createDataFrame([(t.split("{}", 1)[0], t.split("{}", 1)[1]) for t in templates], "head string, tail string")
-    filled = words.join(shapes, how="cross")
+def probe_cases(spark: SparkSession, templates: list[str], groups: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """doc_idx, group, word, text, slot_start, slot_end: every word of every group in every template (`{}` is the slot).
+    groups: words by group, or a frame of group and word."""
+    words = groups if isinstance(groups, DataFrame) else spark.createDataFrame([(g, w) for g, held in groups.items() for w in held], "group string, word string")
+    shapes = F.array(*(F.struct(F.lit(t.split("{}", 1)[0]).alias("head"), F.lit(t.split("{}", 1)[1]).alias("tail")) for t in templates))
+    filled = words.select("group", "word", F.inline(shapes))
     text = F.concat("head", "word", "tail")
     return filled.select(F.xxhash64("group", text).alias("doc_idx"), "group", "word", text.alias("text"), F.char_length("head").alias("slot_start"), (F.char_length("head") + F.char_length("word")).alias("slot_end"))
 

@@ -6,12 +6,13 @@ from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, Normalizer, Word2Vec
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.feature import PCA, CountVectorizer, Normalizer, Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lontar.config import CleanConfig, Lexicon, TopicConfig
 from lontar.functions.stem import stem_map
@@ -92,30 +93,35 @@ def features(docs: DataFrame, words: str = "tokens", method: str = "pca", size:
     if method == "word2vec":
         made = Word2Vec(inputCol=words, outputCol="_raw", vectorSize=size, minCount=1, seed=seed).fit(docs).transform(docs)
     else:
-        counted = HashingTF(numFeatures=TERMS, inputCol=words, outputCol="counts").transform(docs)
-        weighed = counted.withColumn("_tfidf", _projected(IDF(inputCol="counts", outputCol="_").fit(counted), seed)("counts"))
+        weighed = _projected(docs, words, seed)
         made = PCA(k=min(size, COLUMNS), inputCol="_tfidf", outputCol="_raw").fit(weighed).transform(weighed)
-    return Normalizer(inputCol="_raw", outputCol="features").transform(made).drop("_raw", "_tfidf", "counts")
+    return Normalizer(inputCol="_raw", outputCol="features").transform(made).drop("_raw", "_tfidf")
 
 
-def _projected(idf, seed: int):
-    """TF-IDF of hashed terms under count_vectors' rules for rare and frequent ones, by a fixed sparse random projection:
-    each term adds to one of COLUMNS with a random sign."""
-    df, n = np.asarray(idf.docFreq), idf.numDocs
-    weight = np.asarray(idf.idf) * ((df >= 2) & (df <= 0.85 * n) if n >= 50 else 1)
+def _projected(docs: DataFrame, words: str, seed: int) -> DataFrame:
+    """docs with _tfidf: TF-IDF of hashed terms under count_vectors' rules for rare and frequent ones, by a fixed sparse random
+    projection: each term adds to one of COLUMNS with a random sign. Document frequencies of the TERMS hash values, a bounded
+    table, go to the tasks."""
+    hashed = docs.withColumn("_h", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(TERMS)).cast("int")))
+    counts = hashed.select(F.explode(F.array_distinct("_h")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).toPandas()
+    df, n = np.zeros(TERMS, np.int64), docs.count()
+    df[counts.h.to_numpy(int)] = counts.n.to_numpy()
     rng = np.random.default_rng(seed)
-    column, weight = rng.integers(0, COLUMNS, TERMS).astype(np.int32), weight * rng.choice([-1.0, 1.0], TERMS)
-    sent = SparkSession.getActiveSession().sparkContext.broadcast((column, weight))
-
-    @F.udf(VectorUDT())
-    def project(counts):
-        column, weight = sent.value
-        at = counts.indices
-        total = np.bincount(column[at], counts.values * weight[at], COLUMNS)
-        held = np.flatnonzero(total)
-        return Vectors.sparse(COLUMNS, held, total[held])
-
-    return project
+    column, sign = rng.integers(0, COLUMNS, TERMS), rng.choice([-1.0, 1.0], TERMS)
+    weight = sign * np.log((n + 1) / (df + 1)) * ((df >= 2) & (df <= 0.85 * n) if n >= 50 else df > 0)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def project(hashes: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(hashes), 500):
+            part = hashes.slice(at, 500)
+            rows = np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            h = part.flatten().to_numpy(zero_copy_only=False)
+            dense = np.bincount(rows * COLUMNS + column[h], weight[h], len(part) * COLUMNS)
+            parts.append(pa.ListArray.from_arrays(np.arange(0, len(dense) + 1, COLUMNS, dtype=np.int32), dense))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+
+    return hashed.withColumn("_tfidf", array_to_vector(project("_h"))).drop("_h")
 
 
 def kmeans_k(requested: int, n: int) -> int:

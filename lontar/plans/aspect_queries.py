@@ -261,13 +261,16 @@ def base_form_lists(spark, sf_dir):
     return A.base_forms(lists, roots=frozenset()).select("doc_idx", F.array_join("aspects", "|").alias("aspects"))
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES ('gaji', 'gajinya'), ('gaji', 'gaji nya'), ('tni', 'tninya'), ('wifi', 'wifiku')) AS v(label, form))
-SELECT label AS aspect, count(*) + 1 AS n_forms FROM c GROUP BY label""")
+@query(f"""WITH {DOCS}, {LATIN}, b AS (SELECT doc_idx, word FROM lat WHERE len(word) >= 6 AND NOT regexp_matches(word, '(nya|ku|mu)$')),
+c AS (SELECT word, word || CASE doc_idx % 4 WHEN 0 THEN '' WHEN 1 THEN 'nya' WHEN 2 THEN ' nya' ELSE 'ku' END AS form, count(*) AS n FROM b GROUP BY ALL)
+SELECT max_by(form, struct_pack(n := n, s := -len(form), f := form)) AS aspect, count(*) AS n_forms, CAST(sum(n) AS BIGINT) AS count FROM c GROUP BY word""")
 def clitic_merge(spark, sf_dir):
-    """Forms with clitics join the name they come from."""
-    rows = [(w, n, 0.5, [w], i) for i, (w, n) in enumerate([("gaji", 9), ("gajinya", 3), ("gaji nya", 2), ("tni", 5), ("tninya", 4), ("wifi", 7), ("wifiku", 1)])]
-    merged = A.merge_variants(spark.createDataFrame(rows, "aspect string, count long, confidence double, variants array<string>, first long"), frozenset())
-    return merged.select("aspect", F.size("merged_from").cast("long").alias("n_forms"))
+    """The documents' longer words, given clitics by document, join the name that they come from."""
+    d = docs(spark, sf_dir)
+    words = d.select("doc_idx", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b([a-z]{6,})\b"), F.lit(1))).alias("word")).filter("word not rlike '(nya|ku|mu)$'")
+    clitic = F.element_at(F.array(F.lit(""), F.lit("nya"), F.lit(" nya"), F.lit("ku")), (F.col("doc_idx") % 4 + 1).cast("int"))
+    names = words.groupBy(F.concat("word", clitic).alias("aspect")).agg(F.count("*").alias("count"), F.lit(0.5).alias("confidence"), F.min("doc_idx").alias("first")).withColumn("variants", F.array("aspect"))
+    return A.merge_variants(names, frozenset()).select("aspect", F.size("merged_from").cast("long").alias("n_forms"), "count")
 
 
 @query(f"""WITH {_OCC}, f AS (SELECT doc_idx, aspect FROM occ WHERE aspect IN ('the', 'und', 'reason'))

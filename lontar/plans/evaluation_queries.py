@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lontar.operators import evaluate as E
 from lontar.operators import limiter
-from lontar.plans.common import docs, read
+from lontar.plans.common import ASPECTS, DOCS, LATIN, docs, in_list, read
 from lontar.plans.registry import query
+from lontar.plans.sentiment_queries import predictions_sql
 
 
 def _labels(spark, sf_dir) -> DataFrame:
@@ -216,26 +217,45 @@ _SUITE = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {n}::BIGINT, {p}::BIGINT, round({p} / {n}, 4))" for k, t, n, p in _SUITE) + ") AS v(kind, test, n, passed, pass_rate)")
+_BLAME = " on with die des que"
+
+
+def _scored(text: str) -> str:
+    return f"(WITH base AS (SELECT doc_id AS doc_idx, lang, {text} AS text FROM documents WHERE text IS NOT NULL), {predictions_sql('base')} SELECT doc_idx, sentiment, s_pos FROM pred)"
+
+
+def _held(kind: str, test: str, text: str, passed: str) -> str:
+    return f"SELECT '{kind}' AS kind, '{test}' AS test, count(*) AS n, count(*) FILTER ({passed}) AS passed, round(avg(CASE WHEN {passed} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS pass_rate FROM {_scored('text')} b JOIN {_scored(text)} c USING (doc_idx)"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {n}::BIGINT, {p}::BIGINT, round({p} / {n}, 4))" for k, t, n, p in _SUITE) + ") AS v(kind, test, n, passed, pass_rate)"
+       + f" UNION ALL {_held('INV', 'documents in capitals', 'upper(text)', 'b.sentiment = c.sentiment')} UNION ALL {_held('DIR', 'documents with blame', f"text || '{_BLAME}'", 'round(c.s_pos - b.s_pos, 6) <= 0.05')}")
 def behaviour_suite(spark, sf_dir):
-    """All cases through cleaning and the lexicon scorer; the tables play no part."""
+    """All cases through cleaning and the lexicon scorer, and every document perturbed and scored again."""
     from lontar.config import CleanConfig
     from lontar.operators import behaviour as B
     from lontar.operators import sentiment as S
+    from lontar.plans.common import TABLE_LEXICON
 
-    return B.report(B.judged(B.behaviour_cases(spark), lambda texts: S.analyze(texts, CleanConfig())["predictions"]))
+    suite = B.report(B.judged(B.behaviour_cases(spark), lambda texts: S.analyze(texts, CleanConfig())["predictions"]))
+    d, none = docs(spark, sf_dir).filter("text is not null"), F.lit(None).cast("string")
+    case = lambda kind, test, text: d.select(F.lit(kind).alias("kind"), F.lit(test).alias("test"), text.alias("text"), F.col("text").alias("base"), none.alias("expected"))
+    cases = case("INV", "documents in capitals", F.upper("text")).unionByName(case("DIR", "documents with blame", F.concat("text", F.lit(_BLAME))))
+    return suite.unionByName(B.report(B.judged(cases, lambda texts: S.score_lexicon(texts, "text", TABLE_LEXICON))))
 
 
-@query("""WITH t AS (SELECT * FROM (VALUES ('seen', 'the'), ('seen', 'und'), ('unseen', 'zebra'), ('unseen', 'quark'), ('nonce', 'blorf'), ('nonce', 'reason')) AS w(grp, word)),
-c AS (SELECT grp, word, h FROM t, (VALUES ('We saw that '), ('No ')) AS s(h))
-SELECT grp AS "group", count(*) AS n, count(*) FILTER (word IN ('the', 'und', 'reason')) AS hits, round(count(*) FILTER (word IN ('the', 'und', 'reason')) * 100 / count(*), 1) AS hit_rate FROM c GROUP BY grp""")
+@query(f"""WITH {DOCS}, {LATIN}, t AS (SELECT DISTINCT word, CASE WHEN word IN ({in_list(ASPECTS)}) THEN 'seen' WHEN len(word) > 7 THEN 'nonce' ELSE 'unseen' END AS grp FROM lat),
+c AS (SELECT grp, word FROM t, (VALUES ('We saw that '), ('No ')) AS s(h))
+SELECT grp AS "group", count(*) AS n, count(*) FILTER (word IN ({in_list(ASPECTS)})) AS hits, round(count(*) FILTER (word IN ({in_list(ASPECTS)})) * 100 / count(*), 1) AS hit_rate FROM c GROUP BY grp""")
 def pattern_probe(spark, sf_dir):
-    """E30, with literal search for a tagger: it finds the words it knows and no others."""
+    """E30, with literal search for a tagger and the documents' words for slots: it finds the words it knows and no others."""
     from lontar.operators import behaviour as B
     from lontar.operators.spans import literal_spans
-    from lontar.plans.common import ASPECTS
+    from lontar.operators.topics import label_tokens
 
-    cases = B.probe_cases(spark, ["We saw that {} is late", "No {} was there"], {"seen": ["the", "und"], "unseen": ["zebra", "quark"], "nonce": ["blorf", "reason"]})
+    found = docs(spark, sf_dir).select(F.explode(label_tokens(F.col("text"), frozenset())).alias("word")).distinct()
+    words = found.select(F.when(F.col("word").isin(*ASPECTS), "seen").when(F.char_length("word") > 7, "nonce").otherwise("unseen").alias("group"), "word")
+    cases = B.probe_cases(spark, ["We saw that {} is late", "No {} was there"], words)
     return B.probe_report(cases, literal_spans(cases, ASPECTS))
 
 

@@ -140,8 +140,11 @@ def sentiment_cleaned(spark, sf_dir):
     return found["predictions"].select("doc_idx", "sentiment", "confidence", "method")
 
 
-@query("SELECT * FROM (VALUES ('own names', 0, 'negative'), ('own names', 1, 'neutral'), ('own names', 2, 'positive'), ('unknown names', 0, 'positive'), ('unknown names', 1, 'neutral'), ('unknown names', 2, 'negative')) AS v(model, id, label)")
+@query("""WITH d AS (SELECT CASE WHEN lang = 'en' THEN 'own names' ELSE 'unknown names' END AS model, CAST(n_chars % 3 AS INTEGER) AS id FROM documents)
+SELECT model, id, CASE WHEN (model = 'own names') = (id = 0) AND id <> 1 THEN 'negative' WHEN id = 1 THEN 'neutral' ELSE 'positive' END AS label, count(*) AS n FROM d GROUP BY ALL""")
 def label_maps(spark, sf_dir):
-    """A model's own names in any order; the default order where they don't name all three."""
+    """Labels that models gave documents by number; names in any order, the default order where they don't name all three."""
     models = {"own names": {0: "NEG", 1: "Netral", 2: "positif"}, "unknown names": {0: "LABEL_0", 1: "LABEL_1", 2: "LABEL_2"}}
-    return spark.createDataFrame([(m, i, label) for m, names in models.items() for i, label in S.resolve_label_map(names).items()], "model string, id int, label string")
+    named = spark.createDataFrame([(m, i, label) for m, names in models.items() for i, label in S.resolve_label_map(names).items()], "model string, id int, label string")
+    given = read(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "own names").otherwise("unknown names").alias("model"), (F.col("n_chars") % 3).cast("int").alias("id"))
+    return given.groupBy("model", "id").agg(F.count("*").alias("n")).join(named, ["model", "id"])

@@ -302,10 +302,11 @@ def cv_coherence(spark, sf_dir):
     return M.cv_coherence(_topics(spark), _tokens(spark, sf_dir)).select(F.round("c_v", 4).alias("c_v"))
 
 
-@query(f"WITH {_TERMS} SELECT count(DISTINCT term) / count(*) AS diversity FROM tw")
+@query(f"WITH {_BASE}, c AS (SELECT topic_id, word, count(*) AS tf FROM lat JOIN asg USING (doc_idx) GROUP BY ALL), r AS (SELECT word FROM c QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY tf DESC, word) <= 25) SELECT count(DISTINCT word) / count(*) AS diversity FROM r")
 def topic_diversity(spark, sf_dir):
-    """Q9."""
-    return M.diversity(_topics(spark))
+    """Q9, of the 25 most frequent words of each topic."""
+    counts = K.class_counts(_tokens(spark, sf_dir), _assigned(spark, sf_dir))
+    return M.diversity(K.top_terms(counts.withColumn("weight", F.col("tf")), 25), 25)
 
 
 @query(f"WITH {_BASE} SELECT avg(CASE WHEN topic_id = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outlier_rate FROM asg")
