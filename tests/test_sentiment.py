@@ -83,7 +83,7 @@ def test_label_maps_and_calibration(tmp_path):
 
 
 def test_analyze_cleans_only_if_asked(spark):
-    df = spark.createDataFrame([(0, "BAGUS #sekali"), (1, "@siapa"), (2, "tdk bagus")], "doc_idx long, text string")
+    df = spark.createDataFrame([(0, "BAGUS #sekali"), (1, "@siapa"), (2, "tidak bagus")], "doc_idx long, text string")
     raw, made = S.analyze(df), S.analyze(df, CleanConfig())
     assert {r.doc_idx: r.method for r in raw["predictions"].collect()}[1] == "rule-based"
     rows = {r.doc_idx: r for r in made["predictions"].collect()}

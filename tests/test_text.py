@@ -24,11 +24,22 @@ def test_cases_of_the_whole_chain(spark):
         "saaangat baik", "maaaaf ya", "baca #pajak dan #korupsi", "", None, "   ", "😀 https://a.example/B?x=1 www.b.example/c me@x.example @you hi", "SMART phone RT @a",
     ]
     out = cleaned(spark, given, PLAIN)
-    assert out[:9] == ["harga mahal", "bagus", "bagus banget", "sesuai pasal 4 ayat 9 dan 8 orang", "terima kasih banyak", "utang 1000 triliun", "anggaran 100000 rupiah", "sangat baik", "maaf ya"]
+    assert out[:9] == ["harga mahal", "bagus", "bagus bgt", "sesuai pasal 4 ayat 9 dan 8 orang", "terima kasih banyak", "utang 1000 triliun", "anggaran 100000 rupiah", "sangat baik", "maaf ya"]
     assert out[9:13] == ["baca pajak dan korupsi", "", "", ""]
     assert out[13] == "hi" and out[14] == "smaphone"
 
 
+def test_slang_comes_from_a_file(spark, tmp_path):
+    from dataclasses import replace
+
+    from lontar.sources.readers import read_pairs
+
+    (tmp_path / "slang.json").write_text('{"bgt": "banget", "gpp": "tidak apa apa"}')
+    slang = replace(INDONESIAN, slang=read_pairs(spark, str(tmp_path / "slang.json")))
+    df = spark.createDataFrame([(0, "bagus bgt"), (1, "gpp kok")], "doc_idx long, text string")
+    assert [r.processed_text for r in clean(df, PLAIN, lexicon=slang).orderBy("doc_idx").collect()] == ["bagus banget", "tidak apa apa kok"]
+
+
 def test_profiles(spark):
     bag, transformer = CleanConfig.for_task("bag_of_words"), CleanConfig.for_task("transformer", {"stemming": True, "custom_stopwords": ["x"]})
     assert transformer.stemming is False and transformer.custom_stopwords == ("x",) and CleanConfig.for_task("span") is None
