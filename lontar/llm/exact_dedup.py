@@ -2,8 +2,8 @@
 
 Senders (input partitions) sort the 64-bit fingerprints of their texts, code the gaps with a Golomb-Rice code and send a
 message to each owner of a fingerprint range. Owners answer with bitmaps of what occurs twice or more. Only the suspects
-so found are shuffled with their texts, where grouping by the bytes themselves settles equality. Raw texts and raw hashes
-of unsuspected documents never move.
+so found are shuffled with their texts, where grouping by the bytes themselves settles equality. Texts and hashes of documents
+that the suspects' filter does not hit are never shuffled: such a document is alone, and its row is made where its hash lies.
 """
 
 from __future__ import annotations
@@ -133,26 +133,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b, bits in filled.collect():  # at most 16,384 rows of 4 KB
         bitmap[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
 
-    def suspected(texts: pa.Array) -> pa.Array:
-        fps = np.frombuffer(b"".join(digest(t)[:8] for part in slices(texts) for t in part.to_pylist()), ">u8").astype(np.uint64)
-        low = fps & np.uint64(size - 1)
+    def suspected(hashes: np.ndarray) -> pa.Array:
+        low = hashes & np.uint64(size - 1)
         hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
-        return pa.array(fps.view(np.int64), mask=hit == 0)
+        return pa.array(hashes.view(np.int64), mask=hit == 0)
 
-    found = F.arrow_udf(suspected, "long")
-    moved = base.withColumn("fp", found("text")).filter("fp is not null").join(suspects, "fp", "left_semi")
+    firsts = lambda shas: np.frombuffer(b"".join(s[:8] for s in shas), ">u8").astype(np.uint64)
+    of_text = F.arrow_udf(lambda texts: suspected(firsts(digest(t) for part in slices(texts) for t in part.to_pylist())), "long")
+    of_hash = F.arrow_udf(lambda shas: suspected(firsts(shas.to_pylist())), "long")
+    moved = base.withColumn("fp", of_text("text")).filter("fp is not null").join(suspects, "fp", "left_semi")
     groups = (
         moved.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("t"))
         .groupBy("t").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
         .filter("size > 1").select(F.sha2("t", 256).alias("text_sha256"), "keep", "size")
     )
-    rows = sent.filter("owner is null").groupBy("doc_id", F.lower(F.hex("sha")).alias("text_sha256")).agg(F.count("*").alias("copies"))
+    rows = sent.filter("owner is null").select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), of_hash("sha").alias("fp"))
+    alone = rows.filter("fp is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    asked = rows.filter("fp is not null").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies"))
     keep_id = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return (
-        rows.join(groups, "text_sha256", "left")
+    settled = (
+        asked.join(groups, "text_sha256", "left")
         .select("doc_id", keep_id.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "text_sha256")
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )
+    return alone.unionByName(settled)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,25 @@ def test_hot_group_over_many_owners(spark):
     assert Counter(map(tuple, exact_dedup(frame(spark, rows, 7), owners=5).collect())) == brute([(r[0], r[1]) for r in rows])
 
 
+def test_unsuspected_rows_are_not_shuffled(spark):
+    """Of 4,000 different texts and 40 copies only what the filter hits meets an exchange."""
+    rows = [(i, f"text {i}" if i < 4000 else "copy", None, None, 0, None, None, None, None) for i in range(4040)]
+    found = exact_dedup(frame(spark, rows, 6))
+    assert Counter(map(tuple, found.collect())) == brute([(r[0], r[1]) for r in rows])
+
+    def walk(node):
+        yield node
+        if "QueryStage" in node.nodeName():
+            yield from walk(node.plan())
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    plan = found._jdf.queryExecution().executedPlan()
+    stages = [n for n in walk(plan.executedPlan() if "Adaptive" in plan.nodeName() else plan) if n.nodeName().startswith("ShuffleQueryStage")]
+    most = max(int(str(n.getRuntimeStatistics().rowCount().get())) for n in stages)
+    assert stages and most < 200
+
+
 def test_table(spark, tables):
     assert Counter(map(tuple, op1_exact_dedup(spark, tables).collect())) == brute([(r["doc_id"], r["text"]) for r in table(tables, "documents")])
 
