@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lontar.config import CleanConfig
 from lontar.functions import text as X
+from lontar.functions.stem import stem_map
 from lontar.operators import clean as C
 from lontar.plans.common import DOCS, TABLE_LEXICON, TOKENS, case_map, docs, in_list, read, words_sql
 from lontar.plans.registry import query
@@ -153,3 +154,20 @@ def clean_statistics(spark, sf_dir):
 def clean_bag_of_words(spark, sf_dir):
     """The whole chain under the bag-of-words profile; stemming is no SQL."""
     return C.clean(docs(spark, sf_dir), CleanConfig.for_task("bag_of_words")).select("doc_idx", "processed_text")
+
+
+_SHOWN_ROOTS = ("bangun", "jalan", "lihat", "dengar", "bantu", "kirim", "latih", "buka")
+_SHOWN_AFFIXES = (("di", "kan"), ("", "nya"), ("ter", ""), ("ber", ""), ("ke", "an"), ("", "lah"))
+_SHOWN = f"list_extract({list(_SHOWN_ROOTS)}, CAST((doc_idx + pos) % {len(_SHOWN_ROOTS)} AS INT) + 1)"
+_SHOWN_ENDS = [f"list_extract({[a[k] for a in _SHOWN_AFFIXES]}, CAST(pos % {len(_SHOWN_AFFIXES)} AS INT) + 1)" for k in (0, 1)]
+
+
+@query(f"WITH {DOCS}, {TOKENS} SELECT {_SHOWN_ENDS[0]} || {_SHOWN} || {_SHOWN_ENDS[1]} AS word, {_SHOWN} AS stem, count(*) AS n, count(DISTINCT doc_idx) AS n_documents FROM tok GROUP BY ALL")
+def affixed_roots(spark, sf_dir):
+    """An affixed word for each token, from its document and place; the stemmer must give back the root that SQL knows."""
+    flat = docs(spark, sf_dir).select("doc_idx", F.posexplode(X.tokens(F.col("text"))).alias("pos", "_t"))
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), (i % len(values)).cast("int"))
+    pos = F.col("pos")
+    formed = flat.select("doc_idx", F.concat(pick([a for a, _ in _SHOWN_AFFIXES], pos), pick(_SHOWN_ROOTS, F.col("doc_idx") + pos), pick([b for _, b in _SHOWN_AFFIXES], pos)).alias("word"))
+    counted = formed.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_idx").alias("n_documents"))
+    return counted.join(stem_map(counted, "word").withColumnRenamed("token", "word"), "word").select("word", "stem", "n", "n_documents")
