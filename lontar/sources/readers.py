@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lontar.functions.ranks import rank_by_order
+from lontar.sources.splits import json_elements, read_pieces, with_count_before
 
 LABELS = ("positive", "neutral", "negative")
 
@@ -36,59 +37,46 @@ def corpus_problems(df: DataFrame, corpus: str = "corpus_id", text: str = "text"
     return by.withColumn("problem", F.when(many, "too_many_texts").when(F.col("filled") == 0, "all_blank")).filter("problem is not null")
 
 
-def _elements(raw: DataFrame, value) -> DataFrame:
-    return raw.select("_file", F.posexplode(value).alias("_pos", "x"))
-
-
 def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """doc_idx, text from a JSON array of strings or of objects with a `text`, or an object that wraps such an array (under
-    `data`, else its first value). Blank texts go; doc_idx counts what is left in file order; limit takes the first ones."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.parse_json("value").alias("v"))
-    flat = raw.select(
-        "_file",
-        F.coalesce(
-            F.expr("try_variant_get(v, '$', 'array<variant>')"),
-            F.expr("try_variant_get(v, '$.data', 'array<variant>')"),
-            F.expr("try_variant_get(element_at(map_values(try_variant_get(v, '$', 'map<string,variant>')), 1), '$', 'array<variant>')"),
-        ).alias("a"),
-    )
-    items = _elements(flat, F.col("a"))
+    `data`, else under its first name). Blank texts go; doc_idx counts what is left in file order; limit takes the first ones."""
+    items = json_elements(spark, path).withColumn("x", F.parse_json("value"))
     text = F.when(F.expr("schema_of_variant(x)") == "STRING", F.expr("try_variant_get(x, '$', 'string')")).otherwise(F.expr("try_variant_get(x, '$.text', 'string')"))
-    kept = items.select("_file", "_pos", text.alias("text")).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
-    out = rank_by_order(kept, [], ["_file", "_pos"], "doc_idx").select("doc_idx", "text")
+    kept = items.select("_file", "_block", "_n", text.alias("text")).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    out = rank_by_order(kept, [], ["_file", "_block", "_n"], "doc_idx").select("doc_idx", "text")
     return out.filter(F.col("doc_idx") < limit) if limit is not None else out
 
 
+def _gold_rows(spark: SparkSession, path: str) -> DataFrame:
+    part = lambda name: F.expr(f"try_variant_get(try_parse_json(value), '$.{name}', 'string')").alias(name)
+    return json_elements(spark, path, strict=False).select("_file", "_block", "_n", part("text"), part("label")).withColumn("label", F.lower(F.trim("label")))
+
+
+def _is_gold() -> Column:
+    return F.coalesce((F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("label").isin(*LABELS), F.lit(False))
+
+
 def read_gold(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """doc_idx, text, label of a JSON array; rows with a blank text or an unknown label go."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.expr("try_variant_get(try_parse_json(value), '$', 'array<variant>')").alias("v"))
-    part = lambda name: F.expr(f"try_variant_get(x, '$.{name}', 'string')").alias(name)
-    rows = _elements(raw, "v").select("_file", "_pos", part("text"), part("label"))
-    good = rows.withColumn("label", F.lower(F.trim("label"))).filter((F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("label").isin(*LABELS))
-    out = rank_by_order(good, [], ["_file", "_pos"], "doc_idx").select("doc_idx", "text", "label")
+    """doc_idx, text, label of a JSON array; rows with a blank text or an unknown label go, and files that don't close."""
+    good = _gold_rows(spark, path).filter(_is_gold())
+    out = rank_by_order(good, [], ["_file", "_block", "_n"], "doc_idx").select("doc_idx", "text", "label")
     return out.filter(F.col("doc_idx") < limit) if limit is not None else out
 
 
 def gold_drops(spark: SparkSession, path: str) -> DataFrame:
     """kept, dropped of a gold file."""
-    rows = spark.read.schema("text string, label string").json(path, multiLine=True)
-    good = (F.trim(F.coalesce("text", F.lit(""))) != "") & F.lower(F.trim(F.coalesce("label", F.lit("")))).isin(*LABELS)
-    return rows.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
-
-
-def parse_conll(files: DataFrame, value: str = "value", file: str | None = None) -> DataFrame:
-    """doc_idx, pos, token, label from whole CoNLL files: blank lines end documents, lines of under two fields are skipped.
-
-    doc_idx counts documents over all files, in the order of the column `file`; without one, files must be a single row."""
-    documents = F.filter(F.split(F.col(value), r"\n[ \t\r]*\n\s*"), lambda d: F.trim(d) != "")
-    flat = files.select((F.col(file) if file else F.lit("")).alias("_file"), F.posexplode(documents).alias("_place", "_d"))
-    numbered = rank_by_order(flat, [], ["_file", "_place"], "doc_idx") if file else flat.withColumnRenamed("_place", "doc_idx")
-    lines = numbered.select("doc_idx", F.posexplode(F.filter(F.transform(F.split("_d", "\n"), lambda x: F.split(F.rtrim(x), "\t")), lambda f: F.size(f) >= 2)).alias("pos", "_f"))
-    return lines.select("doc_idx", "pos", F.get("_f", 0).alias("token"), F.upper(F.trim(F.get("_f", 1))).alias("label"))
+    return _gold_rows(spark, path).agg(F.count_if(_is_gold()).alias("kept"), F.count_if(~_is_gold()).alias("dropped"))
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    return parse_conll(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()), file="file")
+    """doc_idx, pos, token, label of CoNLL files: blank lines end documents; lines of under two fields are skipped, and a
+    document of such lines alone is none. doc_idx counts documents over all files, in the order of files. Files are read in
+    ranges of lines."""
+    blank = F.trim("value", F.lit(" \t\r")) == ""
+    lines = with_count_before(read_pieces(spark, path), blank, "_gap").withColumn("_f", F.split(F.rtrim("value"), "\t")).filter(~blank & (F.size("_f") >= 2))
+    placed = rank_by_order(lines.select("_file", "_gap", "_block", "_n", "_f"), ["_file", "_gap"], ["_block", "_n"], "pos")
+    documents = rank_by_order(lines.select("_file", "_gap").distinct(), [], ["_file", "_gap"], "doc_idx")
+    return placed.join(documents, ["_file", "_gap"]).select("doc_idx", F.col("pos").cast("int").alias("pos"), F.get("_f", 0).alias("token"), F.upper(F.trim(F.get("_f", 1))).alias("label"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +123,7 @@ TASK = T.StructType([
 
 def read_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """text, spans array<struct<start, end>> of annotation tasks; the stored span text is not used, as offsets are right
-    where it isn't. Files are JSON arrays, or one record a line, as write_json leaves them."""
-    rows = spark.read.schema(TASK).json(path, multiLine=not lines)
+    where it isn't. Files are JSON arrays, read in ranges, or one record a line, as write_json leaves them."""
+    rows = spark.read.schema(TASK).json(path) if lines else json_elements(spark, path).select(F.inline(F.array(F.from_json("value", TASK))))
     values = F.flatten(F.transform("predictions", lambda p: p["result"]))
     return rows.select(F.col("data.text").alias("text"), F.transform(values, lambda r: F.struct(r["value"]["start"].alias("start"), r["value"]["end"].alias("end"))).alias("spans"))
