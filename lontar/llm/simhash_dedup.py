@@ -1,20 +1,24 @@
 """SimHash near-dedup by a binary trie self-join.
 
 Distinct fingerprints are joined by walking a trie's nodes in pairs, level by level, adding up differing bits and leaving a
-node pair as soon as the budget is exceeded. To deal the walk over tasks, the 64 bits are cut into budget + 1 blocks: two
-fingerprints within the budget are equal in one block at least. So there is a trie for each block, with that block's bits
-first and no difference allowed in them; its subtrees are walked apart, each fingerprint goes to one subtree of each trie,
-and what is shuffled grows with the fingerprints alone. A node pair whose fingerprints are all linked already is left too, so
-that dense groups cost no pair by pair work, and a task returns a forest of its links. Components of the forests are found
-by alternating star operations.
+node pair as soon as the budget is exceeded. To deal the walk over tasks, the 64 bits are cut into blocks: of budget + k
+blocks, two fingerprints within the budget are equal in k at least. So there is a trie for each choice of k blocks, with
+their bits first and no difference allowed in them; its subtrees are walked apart, and each fingerprint goes to one subtree
+of each trie. k is the least with which subtrees are small (see `orders`), so copies of a fingerprint are 5 up to some 1e8
+fingerprints, 15 up to 3e10, 35 beyond. Subtrees that are large all the same, as fingerprints lie unevenly, are cut into
+leaves, and the pairs of nodes above them are walked as a table; nothing of either comes to the driver. A node pair whose
+fingerprints are all linked already is left too, so that dense groups cost no pair by pair work, and a task returns a forest
+of its links. Components of the forests are found by alternating star operations.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -22,26 +26,60 @@ from lontar.llm.common import materialize, read, remove, shuffle_partitions, sli
 from lontar.llm.shingle_links import similar_links
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
-#: Up to so many distinct fingerprints are one trie. More are cut into subtrees (leaves) of at most LEAF, as far as 64 bits can
-#: tell them apart.
+#: Up to so many distinct fingerprints are one trie. More are cut into subtrees, and subtrees over LEAF into leaves of at most
+#: LEAF, as far as 64 bits can tell them apart.
 WHOLE, LEAF = 4096, 65_536
 #: Links that are dealt to a number of tasks that follows their number.
 FEW = 2_000_000
-#: Fingerprints are dealt to leaves in blocks of about so many.
-BLOCK = 16_384
-#: Bits of the trie counted at a time when leaves are cut; the driver sees at most 2**STEP counts for each heavy node.
-STEP = 10
+#: Bits by which the nodes of large subtrees grow from one table of node pairs to the next.
+STEP = 6
+#: Most blocks whose equality is asked for: 35 tries for a budget of 4.
+MOST = 3
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(bits before, width) of the budget + 1 blocks of 64 bits."""
-    ends = [64 * k // (budget + 1) for k in range(budget + 2)]
+def blocks(budget: int, equal: int = 1) -> list[tuple[int, int]]:
+    """(bits before, width) of the budget + equal blocks of 64 bits."""
+    n = budget + equal
+    ends = [64 * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def turned(prints: np.ndarray, by: int) -> np.ndarray:
-    """Bits moved to the left, the first ones to the end; 64 - by moves them back."""
-    return prints if by % 64 == 0 else (prints << np.uint64(by)) | (prints >> np.uint64(64 - by))
+def orders(n: int, budget: int = BUDGET, leaf: int = LEAF, equal: int | None = None) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(bits that may not differ, moves) of each trie over n fingerprints; moves are (from, to, width) of runs of bits, which
+    bring the chosen blocks to the front. The number of chosen blocks is the least that leaves half a leaf or less in a
+    subtree if fingerprints are even, up to MOST."""
+    least = lambda k: min(w for _, w in blocks(budget, k)) * k
+    k = equal or next((k for k in range(1, MOST) if n <= leaf // 2 << least(k)), MOST)
+    cut, found = blocks(budget, k), []
+    for chosen in combinations(range(len(cut)), k):
+        moves, to = [], 0
+        for i in [*chosen, *(i for i in range(len(cut)) if i not in chosen)]:
+            moves.append((cut[i][0], to, cut[i][1]))
+            to += cut[i][1]
+        found.append((sum(cut[i][1] for i in chosen), moves))
+    return found
+
+
+def moved(prints: np.ndarray, moves: list[tuple[int, int, int]], back: bool = False) -> np.ndarray:
+    """Fingerprints with their runs of bits moved (back)."""
+    out = np.zeros_like(prints)
+    for a, b, width in moves:
+        a, b = (b, a) if back else (a, b)
+        out |= ((prints << np.uint64(a)) >> np.uint64(64 - width)) << np.uint64(64 - width - b)
+    return out
+
+
+def _moved(fp: Column, moves: list[tuple[int, int, int]]) -> Column:
+    out = F.lit(0).cast("long")
+    for a, b, width in moves:
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftleft(fp, a), 64 - width), 64 - width - b))
+    return out
+
+
+def _mask(start: int, end: int) -> int:
+    """Bits start to end, counted from the left, as a signed long."""
+    bits = (1 << (64 - start)) - (1 << (64 - end))
+    return bits - 2**64 if bits >= 2**63 else bits
 
 
 def fingerprint(text: str | None) -> bytes:
@@ -183,102 +221,83 @@ def _compare(a, b, sa, na, sb, nb, x, y, budget, same, shift, links) -> None:
             links.add(i[near], j[near] + shift)
 
 
-def cut_leaves(prints: DataFrame, leaf: int = LEAF) -> list[tuple[int, int]]:
-    """(prefix, bits) of leaves that together hold all fingerprints, in order. Only counts of nodes reach the driver."""
-    unsigned = lambda bits: F.shiftrightunsigned("fp", 64 - bits)
-    done, heavy, depth = [], [0], 0
-    while heavy and depth < 64:
-        step = min(STEP, 64 - depth)
-        depth += step
-        inside = prints if depth == step else prints.filter(unsigned(depth - step).isin([h if h < 2**63 else h - 2**64 for h in heavy]))
-        level = {r.p & (2**64 - 1): r.n for r in inside.groupBy(unsigned(depth).alias("p")).agg(F.count("*").alias("n")).collect()}
-        nodes = [level]  # counts of the nodes at depth, depth - 1, ...
-        for _ in range(step):
-            above: dict[int, int] = {}
-            for p, n in nodes[-1].items():
-                above[p >> 1] = above.get(p >> 1, 0) + n
-            nodes.append(above)
-        pending, heavy = [(h, depth - step) for h in heavy], []
-        while pending:
-            prefix, bits = pending.pop()
-            n = nodes[depth - bits].get(prefix, 0)
-            if n and (n <= leaf or bits == 64):
-                done.append((prefix, bits))
-            elif n and bits == depth:
-                heavy.append(prefix)
-            elif n:
-                pending += [(2 * prefix, bits + 1), (2 * prefix + 1, bits + 1)]
-    return sorted(done, key=lambda x: x[0] << (64 - x[1]))
-
-
-def leaf_pairs(leaves: list[tuple[int, int]], budget: int = BUDGET, equal: int = 0) -> list[tuple[int, int]]:
-    """Positions (i <= j) of leaves whose common prefix bits differ in at most `budget`, and not in the first `equal`: found by
-    walking the trie above the leaves in pairs, too."""
-    at = {leaf: i for i, leaf in enumerate(leaves)}
-    inner = {(p >> k, m - k) for p, m in leaves for k in range(1, m + 1)}
-    below = lambda node: [c for c in ((2 * node[0], node[1] + 1), (2 * node[0] + 1, node[1] + 1)) if c in at or c in inner]
-    pairs, stack = [], [((0, 0), (0, 0), budget)] if leaves else []
-    while stack:
-        a, b, rest = stack.pop()
-        if a in at and b in at:
-            pairs.append((min(at[a], at[b]), max(at[a], at[b])))
-        elif a in at or b in at:  # the other one's further bits meet none
-            stack += [(a, x, rest) for x in below(b)] if a in at else [(x, b, rest) for x in below(a)]
-        else:
-            for x in below(a):
-                for y in below(b):
-                    cost = (x[0] ^ y[0]) & 1
-                    if (a != b or x <= y) and cost <= rest and not (cost and a[1] < equal):
-                        stack.append((x, y, rest - cost))
-    return sorted(pairs)
-
-
-def fingerprint_links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF, whole: int = WHOLE) -> DataFrame:
-    """Links u, v between distinct fingerprints (column fp) of at most `budget` differing bits: a forest for each pair of
-    leaves, so components are whole, and no more links than fingerprints dealt out."""
-    orders = [(0, 0)] if prints.limit(whole + 1).count() <= whole else blocks(budget)
-    lows, dealt_to, units = [], [], []  # of an order: first fingerprint of each leaf, and (unit, side) of each leaf; of all: their joins
-    for before, width in orders:
-        rotated = F.shiftleft("fp", before).bitwiseOR(F.shiftrightunsigned("fp", 64 - before)) if before else F.col("fp")
-        leaves = cut_leaves(prints.select(rotated.alias("fp")), leaf)
-        joins: list[list[tuple[int, int]]] = [[] for _ in leaves]
-        for i, j in leaf_pairs(leaves, budget, width):
-            joins[i].append((len(units), 0))
-            if j != i:
-                joins[j].append((len(units), 1))
-            units.append((before, width, i == j))
-        lows.append(np.array([p << (64 - m) for p, m in leaves], np.uint64))
-        dealt_to.append(joins)
-
-    schema = pa.schema([("unit", pa.int32()), ("side", pa.int8()), ("fps", pa.binary())])
-
-    def dealt(order: int, leaf: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        block = np.concatenate(found).tobytes()
-        numbers, sides = zip(*dealt_to[order][leaf], strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(sides, pa.int8()), pa.array([block] * len(numbers), pa.binary())], schema=schema)
-
-    def deal(batches):
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for order, (before, _) in enumerate(orders):
-                moved = turned(fps, before)
-                at = np.searchsorted(lows[order], moved, "right") - 1
-                for k in np.unique(at).tolist():
-                    held.setdefault((order, k), []).append(moved[at == k])
-                    if sum(map(len, held[order, k])) >= BLOCK:
-                        yield dealt(order, k, held.pop((order, k)))
-        for (order, k), found in held.items():
-            yield dealt(order, k, found)
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, width, within = units[int(pdf.unit.iloc[0])]
-        left, right = (np.sort(np.frombuffer(b"".join(pdf.fps[pdf.side == side]), np.uint64)) for side in (0, 1))
-        u, v = trie_join(left, None, budget, width) if within else trie_join(left, right, budget, width) if len(left) and len(right) else (left[:0], left[:0])
-        return pd.DataFrame({"u": turned(u, 64 - before).view(np.int64), "v": turned(v, 64 - before).view(np.int64)})
-
-    n = max(shuffle_partitions(prints.sparkSession), min(len(units), 2000))
-    return prints.select("fp").mapInArrow(deal, "unit int, side byte, fps binary").repartition(n, "unit").groupBy("unit").applyInPandas(join, "u long, v long")
+def node_pairs(placed: DataFrame, heavy: DataFrame, equal: list[int], depth: int, budget: int = BUDGET, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """(leaves, pairs) below the nodes (t, p) of `heavy`, which begin with `depth` equal bits: each fingerprint (t, a) of these
+    nodes with its leaf (p: its first bits, pd: how many), and the pairs (t, p, pd, q, qd) of leaves whose common bits
+    differ in at most `budget`, and not in the first equal[t] of trie t.
+
+    Pairs of nodes are walked together, STEP bits at a time. Both are tables, made anew a level; the levels end where no node
+    holds more than `leaf` fingerprints, at 64 bits at the latest."""
+    alive = materialize(placed.withColumn("p", F.col("a").bitwiseAND(F.lit(_mask(0, depth)))).join(heavy.select("t", "p"), ["t", "p"], "left_semi"), "simhash_alive")
+    pairs = materialize(heavy.select("t", "p", F.lit(depth).alias("pd"), F.lit(True).alias("pin"), F.col("p").alias("q"), F.lit(depth).alias("qd"), F.lit(True).alias("qin"), F.lit(budget).alias("rest")), "simhash_pairs")
+    fixed = F.element_at(F.array(*(F.lit(_mask(0, e)) for e in equal)), F.col("t") + 1)
+    leaves, ended = [], []
+    while True:
+        deeper = min(depth + STEP, 64)
+        below = alive.withColumn("c", F.col("a").bitwiseAND(F.lit(_mask(0, deeper))))
+        kids = materialize(below.groupBy("t", "p", "c").agg((F.count("*") > leaf).alias("cin")), "simhash_nodes")
+        leaves.append(materialize(below.join(kids.filter("not cin").select("t", "c"), ["t", "c"], "left_semi").select("t", "a", F.col("c").alias("p"), F.lit(deeper).alias("pd")), "simhash_leaves"))
+        left = pairs.join(kids, ["t", "p"]).select("t", F.col("c").alias("p"), F.lit(deeper).alias("pd"), F.col("cin").alias("pin"), "q", "qd", "qin", "rest", (F.col("p") == F.col("q")).alias("one"))
+        right = kids.select("t", F.col("p").alias("q"), "c", "cin")
+        apart = F.col("p").bitwiseXOR(F.col("c"))
+        cost = F.bit_count(apart.bitwiseAND(F.lit(_mask(depth, deeper))))
+        both = left.filter("qin").join(right, ["t", "q"]).filter((cost <= F.col("rest")) & (apart.bitwiseAND(fixed) == 0) & (~F.col("one") | (F.col("p") <= F.col("c"))))
+        both = both.select("t", "p", "pd", "pin", F.col("c").alias("q"), F.lit(deeper).alias("qd"), F.col("cin").alias("qin"), (F.col("rest") - cost).alias("rest"))
+        alone = left.filter("not qin").drop("one")  # the leaf's further bits are not known here
+        # a node that goes on comes first
+        turned = F.col("qin") & ~F.col("pin")
+        walked = both.unionByName(alone).select("t", *(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("p", "q"), ("pd", "qd"), ("pin", "qin"), ("q", "p"), ("qd", "pd"), ("qin", "pin"))), "rest")
+        found = materialize(walked, "simhash_pairs")
+        ended.append(found.filter("not pin").select("t", "p", "pd", "q", "qd"))
+        going = materialize(below.join(kids.filter("cin").select("t", "c"), ["t", "c"], "left_semi").select("t", F.col("c").alias("p"), "a"), "simhash_alive")
+        remove(alive, kids)
+        alive, pairs, depth = going, found.filter("pin"), deeper
+        if depth == 64 or going.isEmpty():
+            remove(alive)
+            union = lambda parts: parts[0] if len(parts) == 1 else union(parts[:-1]).unionByName(parts[-1])
+            return union(leaves), union(ended)
+
+
+def fingerprint_links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF, whole: int = WHOLE, equal: int | None = None) -> DataFrame:
+    """Links u, v between distinct fingerprints (column fp) of at most `budget` differing bits: a forest for each subtree or
+    pair of leaves, so components are whole, and no more links than fingerprints dealt out. `equal` sets the number of
+    blocks whose equality is asked for; else it follows from the number of fingerprints."""
+    n = prints.count()
+    tries = [(0, [(0, 0, 64)])] if n <= whole else orders(n, budget, leaf, equal)
+    equals = [e for e, _ in tries]
+    depth = min(min(equals), max(0, (4 * n // leaf).bit_length()))
+    arranged = F.array(*(_moved(F.col("fp"), moves) for _, moves in tries))
+    placed = prints.select(F.posexplode(arranged).alias("t", "a"))
+
+    def join(t: int, sides: list[np.ndarray]) -> pd.DataFrame:
+        left, *right = (np.sort(side.view(np.uint64)) for side in sides)
+        u, v = trie_join(left, right[0] if right else None, budget, equals[t])
+        return pd.DataFrame({"u": moved(u, tries[t][1], True).view(np.int64), "v": moved(v, tries[t][1], True).view(np.int64)})
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        return join(int(pdf.t.iloc[0]), [pdf.a.to_numpy()])
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, p, pd_, q, qd = pdf.iloc[0][["t", "p", "pd", "q", "qd"]].tolist()
+        return join(int(t), [pdf.a[pdf.side == side].to_numpy() for side in ((0,) if (p, pd_) == (q, qd) else (0, 1))])
+
+    inside = placed.withColumn("p", F.col("a").bitwiseAND(F.lit(_mask(0, depth))))
+    heavy = None
+    if n > leaf:
+        heavy = materialize(inside.groupBy("t", "p").count().filter(F.col("count") > leaf), "simhash_heavy")
+        heavy = None if heavy.isEmpty() else heavy
+    parts = max(shuffle_partitions(prints.sparkSession), min(len(tries) << depth, len(tries) * n // 1_000_000 + 1))
+    light = inside if heavy is None else inside.join(heavy, ["t", "p"], "left_anti")
+    links = light.repartition(parts, "t", "p").groupBy("t", "p").applyInPandas(within, "u long, v long")
+    if heavy is None:
+        return links
+    leaves, pairs = node_pairs(placed, heavy, equals, depth, budget, leaf)
+    second = pairs.filter("p != q or pd != qd").select("t", F.col("q").alias("_p"), F.col("qd").alias("_pd"), "p", "pd", "q", "qd")
+    named = leaves.select("t", F.col("p").alias("_p"), F.col("pd").alias("_pd"), "a")
+    first = pairs.select("t", F.col("p").alias("_p"), F.col("pd").alias("_pd"), "p", "pd", "q", "qd")
+    sides = [named.join(x, ["t", "_p", "_pd"]).select("t", "p", "pd", "q", "qd", F.lit(i).alias("side"), "a") for i, x in enumerate((first, second))]
+    unit = ["t", "p", "pd", "q", "qd"]
+    return links.unionByName(sides[0].unionByName(sides[1]).repartition(parts, *unit).groupBy(*unit).applyInPandas(between, "u long, v long"))
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

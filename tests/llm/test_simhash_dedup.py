@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lontar.llm.simhash_dedup import blocks, components, cut_leaves, fingerprint, fingerprint_links, leaf_pairs, op10_simhash_dedup, simhash_dedup, trie_join, turned
+from lontar.llm.simhash_dedup import blocks, components, fingerprint, fingerprint_links, moved, node_pairs, op10_simhash_dedup, orders, simhash_dedup, trie_join
 from tests.llm.cases import awkward, frame, table
 
 
@@ -93,55 +93,65 @@ def test_trie_join_finds_the_same_classes_as_all_pairs(seed):
     assert len(u) < len(prints) and all((int(a) ^ int(b)).bit_count() <= 4 for a, b in zip(u, v, strict=True))
 
 
-def test_leaves_and_links(spark):
+def test_links(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 150, np.uint64)
     prints = np.unique(np.concatenate([base, base ^ np.uint64(0b1011 << 40), np.uint64(7 << 58) ^ rng.integers(0, 64, 60).astype(np.uint64)]))
     df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
-    leaves = cut_leaves(df, 30)
-    spans = [(p << (64 - m), (p + 1) << (64 - m)) for p, m in leaves]
-    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
-    held = [sum(lo <= int(p) < hi for p in prints) for lo, hi in spans]
-    assert sum(held) == len(prints) and max(held) <= 30
     want = defaultdict(set)
     for p, r in classes([int(x) for x in prints]).items():
         want[r].add(p)
-    for options in ({"leaf": 30}, {"leaf": 30, "whole": 0}, {"leaf": 8, "whole": 0}, {"whole": 0}):
+    for options in ({"leaf": 30}, {"leaf": 30, "whole": 0}, {"leaf": 8, "whole": 0}, {"whole": 0}, {"whole": 0, "equal": 2}, {"leaf": 8, "whole": 0, "equal": 3}):
         links = [(r.u % 2**64, r.v % 2**64) for r in fingerprint_links(df, **options).collect()]
         assert all((u ^ v).bit_count() <= 4 for u, v in links)
         assert grouped(links, prints) == {frozenset(g) for g in want.values()}
 
 
-def test_blocks_and_turns():
+def test_blocks_and_moves():
     assert sum(w for _, w in blocks(4)) == 64 and [a for a, _ in blocks(4)] == [0, 12, 25, 38, 51]
     prints = np.random.default_rng(1).integers(0, 2**64, 50, np.uint64)
-    for before, _ in blocks(4):
-        assert np.array_equal(turned(turned(prints, before), 64 - before), prints)
+    for equal, tries in ((1, 5), (2, 15), (3, 35)):
+        assert len(orders(0, equal=equal)) == tries
+        for _, moves in orders(0, equal=equal):
+            assert np.array_equal(moved(moved(prints, moves), moves, True), prints)
+
+
+def test_near_fingerprints_share_the_front_of_a_trie():
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 2**64, 500, np.uint64)
+    other = one.copy()
+    for _ in range(4):
+        other ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    for equal in (1, 2, 3):
+        shared = [moved(one, moves) >> np.uint64(64 - width) == moved(other, moves) >> np.uint64(64 - width) for width, moves in orders(0, equal=equal)]
+        assert np.any(shared, axis=0).all()
+
+
+def test_copies_of_a_fingerprint_are_bounded():
+    """An even subtree holds half a leaf at most while copies go 5, 15, 35; they don't double with the corpus."""
+    for n, copies in ((1e4, 5), (1e8, 5), (1e9, 15), (1e10, 15), (3e10, 15), (1e11, 35), (1e12, 35)):
+        tries = orders(int(n))
+        assert len(tries) == copies and n / 2 ** min(width for width, _ in tries) <= 32_768
 
 
 @pytest.mark.parametrize("equal", [0, 3])
-def test_leaf_pairs_are_those_of_all_pairs(equal):
+def test_node_pairs_are_those_of_all_pairs(spark, equal):
     rng = np.random.default_rng(equal)
     prints = np.unique(rng.integers(0, 2**64, 400, np.uint64) >> rng.integers(0, 3, 400).astype(np.uint64))
-    leaves = []
-    stack = [(0, 0)]
-    while stack:  # leaves of uneven depth
-        p, m = stack.pop()
-        n = int(((prints >> np.uint64(64 - m)) == p).sum()) if m else len(prints)
-        if n > 9:
-            stack += [(2 * p, m + 1), (2 * p + 1, m + 1)]
-        elif n:
-            leaves.append((p, m))
-    leaves.sort(key=lambda x: x[0] << (64 - x[1]))
-    want = []
-    for i, (p, m) in enumerate(leaves):
-        for j in range(i, len(leaves)):
-            q, n = leaves[j]
-            k = min(m, n)
-            apart = (p >> (m - k)) ^ (q >> (n - k))
-            if apart.bit_count() <= 4 and not (apart >> max(0, k - equal)):
-                want.append((i, j))
-    assert leaf_pairs(leaves, 4, equal) == want
+    placed = spark.createDataFrame([(0, int(p)) for p in prints.view(np.int64)], "t int, a long")
+    leaves, pairs = node_pairs(placed, spark.createDataFrame([(0, 0)], "t int, p long"), [equal], 0, 4, 9)
+    held = Counter((r.p % 2**64, r.pd) for r in leaves.collect())
+    assert sum(held.values()) == len(prints) and max(held.values()) <= 9
+    spans = sorted((p, p + (1 << (64 - m))) for p, m in held)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    want = set()
+    for p, m in held:
+        for q, k in held:
+            apart = (p ^ q) >> (64 - min(m, k))
+            if apart.bit_count() <= 4 and not ((p ^ q) >> (64 - equal)):
+                want.add(frozenset([(p, m), (q, k)]))
+    found = [frozenset([(r.p % 2**64, r.pd), (r.q % 2**64, r.qd)]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
 
 
 def test_components_of_paths_and_stars(spark):
