@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("text_queries", "sentiment_queries", "aspect_queries", "topic_queries", "density_queries", "evaluation_queries", "source_queries")
+_MODULES = ("text_queries", "sentiment_queries", "aspect_queries", "topic_queries", "density_queries", "sweep_queries", "evaluation_queries", "source_queries")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
