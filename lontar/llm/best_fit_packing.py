@@ -12,6 +12,7 @@ by one join on length and rank.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from lontar.llm.common import gapless, materialize, read, remove, salts_for, slices
 
 CAPACITY, END_ID = 2048, 0
-#: Entries of a worker's cache of coded chunks; it starts anew beyond that.
-CACHE = 300_000
+#: Entries of one generation of a worker's cache of coded chunks, and of its words. A full generation becomes the older one, and
+#: what is met there again moves to the new one; so frequent chunks stay and rare ones leave.
+CACHE = 400_000
 
 
 def default_vocabulary() -> str:
@@ -53,30 +55,44 @@ class Chunks(dict):
 
         super().__init__()
         self.full = Tokenizer.from_file(path)
-        self.model, self.words = self.full.model, {}
+        self.model = self.full.model
+        self.forget()
         self.simple = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ſ]+").fullmatch
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.letters = byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE:
+        ids = self.older.get(chunk)
+        if ids is None:
+            if chunk.isascii() and chunk.isalpha():
+                ids = self.word(chunk.lower())
+            elif self.simple(chunk) and "<|" not in chunk:
+                ids = b"".join(map(self.word, self.split(chunk.lower())))
+            else:
+                ids = np.asarray(self.full.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if self.simple(chunk) and "<|" not in chunk:
-            ids = b"".join(map(self.word, self.split(chunk.lower())))
-        else:
-            ids = np.asarray(self.full.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         self[chunk] = ids
         return ids
 
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.words[word] = np.asarray([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            ids = self.older_words.get(word)
+            if ids is None:
+                spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+                found = [t.id for t in self.model.tokenize(spelled)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.words) >= CACHE:
+                self.older_words, self.words = self.words, {}
+            self.words[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.words, self.older_words = {}, {}, {}
+
     def text(self, text: str) -> bytes:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
@@ -105,8 +121,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CA
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        chunks.clear()  # the worker serves other operators next
-        chunks.words.clear()
+        chunks.forget()  # the worker serves other operators next
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

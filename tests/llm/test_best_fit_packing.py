@@ -117,3 +117,19 @@ def test_rounds_in_spark_are_the_same(spark):
     got = [tuple(r) for r in match(counts, 128, spark.range(1)).collect()]
     assert sorted((size, low, high - low, seq, off, per) for size, low, high, seq, off, per in got) == sorted(in_rounds(counts, 128, ZONES))
     assert held([(size, low, high - low, seq, off, per) for size, low, high, seq, off, per in got], counts, 128) <= 1.01 * -(-sum(k * n for k, n in counts.items()) // 128) + 1
+
+
+def test_frequent_chunks_survive_a_full_cache(monkeypatch):
+    from lontar.llm import best_fit_packing as B
+
+    monkeypatch.setattr(B, "CACHE", 50)
+    chunks, asked = Chunks(default_vocabulary()), Counter()
+    spell = chunks.model.tokenize
+    chunks.model = type("Counted", (), {"tokenize": staticmethod(lambda w: asked.update([w]) or spell(w))})
+    for k in range(400):
+        text = f"often Word{chr(97 + k % 26)}{chr(97 + k // 26)}x, café{k}"
+        assert chunks.text(text) == np.asarray(chunks.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert asked["often"] == 1
+    assert max(len(chunks), len(chunks.older), len(chunks.words), len(chunks.older_words)) <= 50
+    chunks.forget()
+    assert not (chunks or chunks.older or chunks.words or chunks.older_words)
