@@ -40,11 +40,11 @@ def count_vocabulary(spark, sf_dir):
 
 @query(f"WITH {_BASE}, df AS (SELECT word, count(*) AS tf, count(DISTINCT doc_idx) AS df FROM lat WHERE word NOT IN ({in_list(_STOP)}) GROUP BY word), v AS (SELECT * FROM df WHERE df >= 2 AND df <= 0.85 * (SELECT count(*) FROM docs)) SELECT count(*) AS words, CAST(sum(tf) AS BIGINT) AS counted FROM v")
 def count_vectors(spark, sf_dir):
-    """K2's vectors: how many words there are and how often they are counted."""
-    from pyspark.ml.functions import vector_to_array
-
+    """K2's vectors: how many words there are and how often they are counted. Vectors stay sparse: as an array each would be
+    as long as the vocabulary."""
     counted, vocabulary = K.count_vectors(_tokens(spark, sf_dir, _STOP))
-    total = counted.agg(F.sum(F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda s, x: s + x)).cast("long").alias("counted"))
+    held = F.udf(lambda v: int(v.values.sum()), "long")
+    total = counted.agg(F.coalesce(F.sum(held("counts")), F.lit(0)).alias("counted"))
     return total.select(F.lit(len(vocabulary)).cast("long").alias("words"), "counted")
 
 
