@@ -12,7 +12,7 @@ from lontar.functions.stem import prefix_class, stem_map
 from lontar.functions.text import cosine, let
 from lontar.lexicons import CLITICS, COMMON_ASPECTS, CONNECTIVES, INDONESIAN, MERGE_PREFIXES, ROOTS, STOPWORDS
 from lontar.operators import sentiment
-from lontar.operators.spans import add_clauses, char_context, context_words, decode_bio, find_spans, normalize_aspect, overlap_anti_join
+from lontar.operators.spans import char_context, context_words, decode_bio, find_clauses, find_spans, normalize_aspect, overlap_anti_join
 from lontar.tables import materialize
 
 
@@ -177,15 +177,17 @@ def rule_based_counts(occurrences: DataFrame, key: str = "doc_idx") -> DataFrame
     return ranked(grouped, "count").drop("first")
 
 
-def aspect_sentiments(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx", text: str = "text", lexicon: Lexicon = INDONESIAN, retry_below: float = 0.6, connectives=CONNECTIVES) -> DataFrame:
-    """Occurrences with their clause and its sentiment. All clauses are scored in one pass; where a clause is unsure and
-    is not the whole text, the whole text's prediction is taken, which is made once for each document."""
-    whole = sentiment.score_lexicon(docs.select(key, F.col(text).alias("_whole")), "_whole", lexicon).select(F.col(key), F.col("sentiment").alias("_ws"), F.col("confidence").alias("_wc"))
-    clauses = add_clauses(occurrences, docs, key, text, connectives)
-    scored = sentiment.score_lexicon(clauses, "clause", lexicon).drop("scores", "method").join(whole, key)
-    again = (F.col("confidence") < retry_below) & (F.col("clause") != F.col("_text"))
+def aspect_sentiments(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx", text: str = "text", lexicon: Lexicon = INDONESIAN, retry_below: float = 0.6, connectives=CONNECTIVES, whole_texts: bool = True) -> DataFrame:
+    """Occurrences with their clause and its sentiment. All clauses are scored in one pass; where a clause is unsure or is the
+    whole text, the whole text's prediction is taken, which is made once for each document. Without whole_texts, a clause that
+    is the whole text is null, so that a table of them holds no text once for each occurrence."""
+    judged = sentiment.score_lexicon(docs.select(key, F.col(text).alias("_whole")), "_whole", lexicon).select(key, "_whole", F.col("sentiment").alias("_ws"), F.col("confidence").alias("_wc"))
+    found = find_clauses(occurrences, judged, key, "_whole", connectives, ("_ws", "_wc"))
+    scored = sentiment.score_lexicon(found, "_piece", lexicon).drop("scores", "method")
+    again = F.col("_piece").isNull() | (F.col("confidence") < retry_below)
     label, sure = F.when(again, F.col("_ws")).otherwise(F.col("sentiment")), F.when(again, F.col("_wc")).otherwise(F.col("confidence"))
-    return scored.withColumns({"sentiment": label, "confidence": sure}).drop("_text", "_ws", "_wc")
+    clause = F.coalesce("_piece", "_text") if whole_texts else F.col("_piece")
+    return scored.select(*occurrences.columns, clause.alias("clause"), label.alias("sentiment"), sure.alias("confidence"))
 
 
 def aspect_polarity(scored: DataFrame) -> DataFrame:
@@ -249,12 +251,13 @@ def analyze(docs: DataFrame, mode: str = "automatic", predefined: list[str] | No
         found = materialize(merge_variants(group_occurrences(raw, key), roots), "aspects")
         occurrences = relabel(raw, found)
     occurrences = materialize(occurrences, "aspect_named")
-    scored = materialize(aspect_sentiments(docs, occurrences.drop("confidence"), key, text, lexicon), "aspect_scored")
+    scored = materialize(aspect_sentiments(docs, occurrences.drop("confidence"), key, text, lexicon, whole_texts=False), "aspect_scored")
+    shown = scored.join(docs.select(key, F.col(text).alias("_t")), key).withColumn("clause", F.coalesce("clause", "_t")).drop("_t")
     polarity = aspect_polarity(scored)
     stats = statistics(polarity)
     ranked = occurrences.join(found.select("aspect", "rank"), "aspect")
     lists = document_aspects(docs, ranked, key)
-    return {"aspects": found, "occurrences": scored, "sentiments": polarity, "statistics": stats, "summary": summary(stats), "document_aspects": lists, "document_aspects_normalized": base_forms(lists, key, roots)}
+    return {"aspects": found, "occurrences": shown, "sentiments": polarity, "statistics": stats, "summary": summary(stats), "document_aspects": lists, "document_aspects_normalized": base_forms(lists, key, roots)}
 
 
 def uncertainty(probabilities: DataFrame, keys: list[str], column: str = "probs") -> DataFrame:
