@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lontar.config import CleanConfig, Lexicon
 from lontar.functions import text as X
-from lontar.functions.stem import stem_map
+from lontar.functions.stem import stem_lists_udf
 from lontar.lexicons import INDONESIAN
 
 
@@ -41,24 +41,21 @@ def finish_tokens(words: Column, config: CleanConfig) -> Column:
     return X.no_adjacent_repeats(words) if config.collapse_repeated_words else words
 
 
-def stem_tokens(df: DataFrame, keys: list[str], words: str, roots) -> DataFrame:
-    """Replaces an array of tokens by their stems. The stemmer sees each distinct token once; the join back is on tokens,
-    where AQE splits hot ones, and rows without tokens survive."""
-    flat = df.select(*keys, F.posexplode(words).alias("_pos", "token"))
-    counted = flat.join(stem_map(flat, "token", roots), "token")
-    whole = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "stem"))).alias("_s"))
-    stemmed = whole.select(*keys, F.filter(F.transform("_s", lambda s: s["stem"]), lambda t: t != "").alias("_stems"))
-    return df.join(stemmed, keys, "left").withColumn(words, F.coalesce("_stems", F.array().cast("array<string>"))).drop("_stems")
+def stem_tokens(df: DataFrame, words: str, roots) -> DataFrame:
+    """Replaces an array of tokens by their stems, row by row, without a shuffle; null ones and empty stems go. inline() keeps
+    the stemmer out of later steps' lambdas, where it cannot run."""
+    stemmed = df.select("*", F.inline(F.array(F.struct(stem_lists_udf(roots)(F.col(words)).alias("_stems")))))
+    return stemmed.withColumn(words, F.filter("_stems", lambda t: t.isNotNull() & (t != ""))).drop("_stems")
 
 
 def clean(df: DataFrame, config: CleanConfig | None, text: str = "text", keys: tuple[str, ...] = ("doc_idx",), lexicon: Lexicon = INDONESIAN) -> DataFrame:
-    """Adds `processed_text`. As many rows as before; with stemming on, keys must be unique and not null."""
+    """Adds `processed_text`. As many rows as before."""
     if config is None:
         return df.withColumn("processed_text", F.col(text))
     if not config.stemming:
         return df.withColumn("processed_text", F.array_join(clean_tokens(F.col(text), config, lexicon), " "))
     words = df.withColumn("_words", clean_tokens(F.col(text), config, lexicon, before_stemming=True))
-    stemmed = stem_tokens(words, list(keys), "_words", lexicon.roots)
+    stemmed = stem_tokens(words, "_words", lexicon.roots)
     return stemmed.withColumn("processed_text", F.array_join(finish_tokens(F.col("_words"), config), " ")).drop("_words")
 
 
