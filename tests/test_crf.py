@@ -87,3 +87,35 @@ def test_chain_beats_single_tokens(spark):
     held, width = crf.taggable(tags, "doc_idx")
     for r in crf.decode(held, model, width).collect():
         assert len(r.predicted) == 14 and (crf.lawful(np.array(r.predicted)) == r.predicted).all() and all(0 <= c <= 1.0001 for c in r.conf)
+
+
+def test_document_rows_train_as_token_rows(spark):
+    """A row a document: the same labels as bio_tags gives tokens, the same features as their neighbours give, the same report."""
+    from lontar.operators import spans as P
+
+    texts = [(i, f"kita bicara soal hal{i % 5} baru Hari-ini" if i % 6 else "tidak ada apa") for i in range(60)] + [(60, None), (61, " . ")]
+    docs = spark.createDataFrame(texts, "doc_idx long, text string")
+    found = P.resolve_overlaps(P.literal_spans(docs, [f"hal{k} baru" for k in range(5)]))
+    words = P.word_spans(docs)
+    tags = P.bio_tags(words.selectExpr("doc_idx", "pos", "start", "end", "false AS special"), found).join(words.select("doc_idx", "pos", "word"), ["doc_idx", "pos"]).withColumnRenamed("word", "token")
+    held = P.tagged_words(docs, found)
+    rows = {r.doc_idx: (r.tokens, r.labels) for r in held.collect()}
+    wanted = {r.doc_idx: (r.tokens, r.labels) for r in crf.tagged_texts(tags, "doc_idx").collect()}
+    assert rows == wanted and len(rows) == 60 and rows[1][1] == [0, 0, 0, 1, 2, 0, 0]
+    (_, one), (_, other) = E.train_tagger(held, epochs=2), E.train_tagger(tags, epochs=2)
+    assert {k: one[k] for k in ("after", "train", "val")} == {k: other[k] for k in ("after", "train", "val")}
+    assert "Window" not in (plan := held._jdf.queryExecution().executedPlan().toString()) and "pos#" not in plan
+
+
+def test_features_of_words_stand_once(spark):
+    row = crf.sentences(spark.createDataFrame([(0, ["Aa", "b1", "aa", "Aa"], [0, -100, 1, 2])], "k long, tokens array<string>, labels array<int>"), "k", 1 << 16).first()
+    feats, labels = crf.spread(np.array(row.ids), np.array(row.kinds), np.array(row.labels))
+    named = [("w=aa", "p=", "q=", "n=b1", "e=aa", "b=aa", "s=Xx", "bias"), ("w=aa", "p=b1", "q=aa", "n=aa", "e=aa", "b=aa", "s=xx", "bias"), ("w=aa", "p=aa", "q=b1", "n=", "e=aa", "b=aa", "s=Xx", "bias")]
+    wanted = spark.createDataFrame([(i, j, f) for i, r in enumerate(named) for j, f in enumerate(r)], "i int, j int, f string").selectExpr("i", "j", "pmod(xxhash64(f), 65536) AS x").orderBy("i", "j").collect()
+    assert feats.tolist() == [r.x for r in wanted] and labels.tolist() == [0, 1, 2] and len(row.kinds) == 1 + 4 * crf.KIND
+
+
+def test_validation_rows_without_a_join(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(101)], "k long, y int")
+    wanted = {r.k for r in E.stratified_split(rows, "y", "k").filter("split = 'val'").collect()}
+    assert {r.k for r in rows.filter(E.in_validation(rows, "y", "k")).collect()} == wanted and len(wanted) == 20
