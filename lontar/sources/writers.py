@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OFFSETS = "array<struct<start:int,end:int>>"
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """docs with `_s`, their spans by place, or null. A text meets its spans once, as a list of offsets, so it is not repeated."""
+    item = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    return docs.join(spans.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s")), key, how)
+
+
+def _surface(text: str, s: Column) -> Column:
+    return F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
+
 
 def to_tasks(docs: DataFrame, spans: DataFrame, key: str = "doc_idx", text: str = "text", version: str = "lexicon", label: str = "ASPECT") -> DataFrame:
     """data, predictions records, one a document; documents without spans have an empty result."""
-    value = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.expr(f"substring({text}, start + 1, end - start)").alias("text"), F.array(F.lit(label)).alias("labels"))
-    item = F.struct(F.lit("label").alias("from_name"), F.lit("text").alias("to_name"), F.lit("labels").alias("type"), value.alias("value"))
-    results = spans.select(key, "start", "end").join(docs.select(key, text), key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", item.alias("r")))), lambda s: s["r"]).alias("_r"))
-    joined = docs.join(results, key, "left")
-    empty = F.array().cast(results.schema["_r"].dataType)
-    return joined.select(key, F.struct(F.col(text).alias("text")).alias("data"), F.array(F.struct(F.lit(version).alias("model_version"), F.coalesce("_r", empty).alias("result"))).alias("predictions"))
+
+    def item(s: Column) -> Column:
+        value = F.struct(s["start"].alias("start"), s["end"].alias("end"), _surface(text, s).alias("text"), F.array(F.lit(label)).alias("labels"))
+        return F.struct(F.lit("label").alias("from_name"), F.lit("text").alias("to_name"), F.lit("labels").alias("type"), value.alias("value"))
+
+    results = F.transform(F.coalesce("_s", F.array().cast(_OFFSETS)), item)
+    return _with_spans(docs, spans, key).select(key, F.struct(F.col(text).alias("text")).alias("data"), F.array(F.struct(F.lit(version).alias("model_version"), results.alias("result"))).alias("predictions"))
 
 
 def to_retrain_payload(docs: DataFrame, spans: DataFrame, key: str = "doc_idx", text: str = "text", only_with_aspects: bool = False) -> DataFrame:
     """text, aspects (each surface once, by place), spans."""
-    s = spans.select(key, "start", "end").join(docs.select(key, text), key).withColumn("surface", F.expr(f"substring({text}, start + 1, end - start)"))
-    lists = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "surface"))).alias("_s"))
-    joined = docs.join(lists, key, "inner" if only_with_aspects else "left")
-    aspects = F.coalesce(F.array_distinct(F.transform("_s", lambda x: x["surface"])), F.array().cast("array<string>"))
-    return joined.select(key, text, aspects.alias("aspects"), F.transform("_s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    joined = _with_spans(docs, spans, key, "inner" if only_with_aspects else "left")
+    aspects = F.coalesce(F.array_distinct(F.transform("_s", lambda x: _surface(text, x))), F.array().cast("array<string>"))
+    return joined.select(key, text, aspects.alias("aspects"), F.col("_s").alias("spans"))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -37,10 +48,8 @@ def write_results(df: DataFrame, path: str, label: str = "label") -> None:
 def to_gold(docs: DataFrame, spans: DataFrame, key: str = "doc_idx", text: str = "text") -> DataFrame:
     """text, spans array<struct<start, end, surface>> by place: a gold set that keeps the annotators' offsets. Documents
     without spans have an empty array; write it with write_json."""
-    s = spans.select(key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).join(docs.select(key, text), key)
-    item = F.struct("start", "end", F.expr(f"substring({text}, start + 1, end - start)").alias("surface"))
-    lists = s.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("spans"))
-    return docs.select(key, text).join(lists, key, "left").select(key, text, F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,surface:string>>")).alias("spans"))
+    named = F.transform(F.coalesce("_s", F.array().cast(_OFFSETS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _surface(text, s).alias("surface")))
+    return _with_spans(docs.select(key, text), spans, key).select(key, text, named.alias("spans"))
 
 
 def render_table(df: DataFrame, columns: list[str], most: int = 1000) -> str:

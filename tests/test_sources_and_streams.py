@@ -132,3 +132,13 @@ def test_stream_sentiment(spark, tmp_path):
     assert {r.text: r.sentiment for r in rows} == {"tidak bagus": "negative", "bagus sekali": "positive", "jelek": "negative"}
     made = run(stream_distribution(stream_sentiment(texts), "at"), "shares", spark)
     assert [(r.total, r.positive, r.negative) for r in made] == [(2, 50.0, 50.0)]
+
+
+def test_texts_meet_their_spans_once(spark):
+    """A text of many spans is not repeated for each: no join is of spans with texts."""
+    docs = spark.createDataFrame([(0, "harga dan wifi"), (1, "kosong")], "doc_idx long, text string")
+    spans = spark.createDataFrame([(0, 10, 14), (0, 0, 5)], "doc_idx long, start int, end int")
+    for made in (W.to_tasks(docs, spans), W.to_gold(docs, spans), W.to_retrain_payload(docs, spans)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1 and made.count() == 2
+    found = {r.doc_idx: [(v.value.start, v.value.text) for v in r.predictions[0].result] for r in W.to_tasks(docs, spans).collect()}
+    assert found == {0: [(0, "harga"), (10, "wifi")], 1: []}
