@@ -155,5 +155,5 @@ def pool_digests(spark, sf_dir):
     from lontar.operators.evaluate import pool_digest
 
     d = docs(spark, sf_dir)
-    both = pool_digest(d, "text").unionByName(pool_digest(d.repartition(7, "lang"), "text"))
+    both = pool_digest(d, "text").unionByName(pool_digest(d.repartition("doc_idx"), "text"))
     return both.agg(F.count("*").alias("n"), (F.count_distinct("fingerprint") == 1).alias("same"))

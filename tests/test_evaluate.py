@@ -135,3 +135,14 @@ def test_rate_limit(spark):
     assert sorted(r[1:] for r in rows if r[0] == "a") == [(0.0, True), (1.0, True), (2.0, False), (11.0, True)]
     assert sorted(r[2] for r in rows if r[0] == "b") == [False, False, True, True] and (None, 5.0, True) in rows and len(rows) == 9
     assert all(r.allowed for r in rate_limit(events, "k", F.col("t"), 0).collect())
+
+
+def test_pool_digests_deals_texts_by_document(spark, tables, monkeypatch):
+    """Both tables of the query are dealt evenly: four languages would be four tasks at most, however large the table."""
+    from lontar.plans import source_queries as Q
+
+    seen = []
+    monkeypatch.setattr(E, "pool_digest", lambda df, text, made=E.pool_digest: (seen.append(df), made(df, text))[1])
+    assert tuple(Q.pool_digests(spark, tables).first()) == (2, True)
+    plan = seen[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_idx" in plan and "RepartitionByExpression [lang" not in plan
