@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lontar.tables import materialize
+
 # ---- FIXED VALUES: the words that fill the templates, and how people respell them -----------------------------------------
 SUBJECTS = ("pelayanannya", "produknya", "aplikasinya", "makanannya", "tempatnya", "harganya", "kualitasnya", "petugasnya")
 GOOD = ("bagus", "memuaskan", "ramah", "cepat", "nyaman", "rapi")
@@ -87,13 +89,18 @@ def behaviour_cases(spark: SparkSession) -> DataFrame:
     return out.unionByName(blamed)
 
 
-def judged(cases: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def judged(cases: DataFrame, score: Callable[[DataFrame], DataFrame], distinct: bool = True) -> DataFrame:
     """cases with label, base_label, score, base_score (of praise) and passed. score gets a frame with doc_idx and text and
-    gives doc_idx, sentiment, scores. Each distinct text is scored once."""
-    texts = cases.select(F.explode(F.array("text", "base")).alias("text")).filter("text is not null").distinct().withColumn("doc_idx", F.xxhash64("text"))
-    scored = score(texts).select("doc_idx", F.col("sentiment").alias("label"), F.col("scores.positive").alias("score"))
-    named = texts.join(scored, "doc_idx").drop("doc_idx")
-    both = cases.join(named, "text").join(named.select(F.col("text").alias("base"), F.col("label").alias("base_label"), F.col("score").alias("base_score")), "base", "left")
+    gives doc_idx, sentiment, scores. Cases meet their scores by digests of their texts.
+
+    Each distinct text is scored once, for which texts are shuffled; without `distinct` each is scored where it stands, which
+    costs less for a cheap scorer, and must then score equal texts alike."""
+    digest = lambda c: F.md5(F.col(c))
+    texts = cases.select(F.explode(F.array("text", "base")).alias("text")).filter("text is not null")
+    scored = score((texts.distinct() if distinct else texts).withColumn("doc_idx", digest("text"))).groupBy("doc_idx").agg(F.first("sentiment").alias("label"), F.first("scores.positive").alias("score"))
+    named = materialize(scored, "behaviour_scores")
+    keyed = cases.withColumns({"_t": digest("text"), "_b": digest("base")})
+    both = keyed.join(named.withColumnRenamed("doc_idx", "_t"), "_t").join(named.withColumnsRenamed({"doc_idx": "_b", "label": "base_label", "score": "base_score"}), "_b", "left").drop("_t", "_b")
     right = F.when(F.col("expected") == "not-negative", F.col("label") != "negative").otherwise(F.col("label") == F.col("expected"))
     passed = F.when(F.col("kind") == "MFT", right).when(F.col("kind") == "INV", F.col("label") == F.col("base_label")).otherwise(F.round(F.col("score") - F.col("base_score"), 6) <= RISE)
     return both.withColumn("passed", passed)

@@ -238,7 +238,7 @@ def behaviour_suite(spark, sf_dir):
     d, none = docs(spark, sf_dir).filter("text is not null"), F.lit(None).cast("string")
     case = lambda kind, test, text: d.select(F.lit(kind).alias("kind"), F.lit(test).alias("test"), text.alias("text"), F.col("text").alias("base"), none.alias("expected"))
     cases = case("INV", "documents in capitals", F.upper("text")).unionByName(case("DIR", "documents with blame", F.concat("text", F.lit(_BLAME))))
-    return suite.unionByName(B.report(B.judged(cases, lambda texts: S.score_lexicon(texts, "text", TABLE_LEXICON))))
+    return suite.unionByName(B.report(B.judged(cases, lambda texts: S.score_lexicon(texts, "text", TABLE_LEXICON), distinct=False)))
 
 
 @query(f"""WITH {DOCS}, {LATIN}, t AS (SELECT DISTINCT word, CASE WHEN word IN ({in_list(ASPECTS)}) THEN 'seen' WHEN len(word) > 7 THEN 'nonce' ELSE 'unseen' END AS grp FROM lat),

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lontar.config import CleanConfig
 from lontar.lexicons import LEXICON_NEGATIONS, NEGATIVE, POSITIVE
 from lontar.operators import behaviour as B
@@ -44,3 +46,15 @@ def test_probe(spark):
     rows = {r["group"]: (r.n, r.hits, r.hit_rate) for r in B.probe_report(cases, literal_spans(cases, ["harga", "itu"])).collect()}
     assert rows == {"seen": (2, 2, 100.0), "nonce": (2, 0, 0.0)}
     assert [B.probe_verdict(dict(zip(("seen", "unseen", "nonce"), r, strict=True))) for r in ((40, 40, 40), (90, 80, 60), (90, 80, 40), (90, 60, 0), (90, 10, 0))] == ["rarely", "pattern", "mixed", "partly", "memory"]
+
+
+def test_texts_are_not_shuffled_to_meet_their_scores(spark):
+    cases = spark.createDataFrame([("INV", "t", f"x{i}", f"y{i % 3}", None) for i in range(9)], "kind string, test string, text string, base string, expected string")
+
+    def score(texts):
+        return texts.select("doc_idx", F.when(F.col("text").startswith("x"), "negative").otherwise("positive").alias("sentiment"), F.struct(F.lit(0.5).alias("positive")).alias("scores"))
+
+    for distinct in (True, False):
+        made = B.report(B.judged(cases, score, distinct))
+        assert [tuple(r) for r in made.collect()] == [("INV", "t", 9, 0, 0.0)]
+        assert "hashpartitioning(text" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(base" not in plan
