@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 
 from lontar.functions.ranks import rank_in_group
 from lontar.functions.stem import stem_map
+from lontar.functions.text import let
 from lontar.lexicons import NEGATIVE, POSITIVE, ROOTS, STOPWORDS, TIME_UNITS, VERBAL_PREFIXES
 from lontar.operators.patterns import term_spans
 from lontar.operators.spans import find_spans, literal_spans, resolve_overlaps
+from lontar.tables import materialize
 
 MAX_WORDS, MIN_CHARS = 4, 3
 _SPLICED = T.StructType().add("text", "string").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("surface", "string")))
@@ -31,8 +33,16 @@ def normalize_term(raw: Column) -> Column:
     t = F.regexp_replace(t, r"(?:^|(?<=\S)\s+)[0-9.,%]+(?:\s+[0-9.,%]+)*$", "")
     t = F.regexp_replace(t, r"(?i)(?<=\S)(?:\s+(?:" + "|".join(sorted(TIME_UNITS)) + "))+$", "")
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    cut = F.array_join(F.when(F.size(words) > MAX_WORDS, F.slice(words, 1, 3)).otherwise(words), " ")
-    return F.when(F.char_length(cut) >= MIN_CHARS, cut)
+    cut = let(words, lambda w: F.array_join(F.when(F.size(w) > MAX_WORDS, F.slice(w, 1, 3)).otherwise(w), " "))
+    return let(cut, lambda c: F.when(F.char_length(c) >= MIN_CHARS, c))
+
+
+def term_counts(raw: DataFrame, column: str = "raw", least: int = 1) -> DataFrame:
+    """term, n of raw terms that occur at least so often, tidied. Equal raw terms are counted first, in each task too, and tidied
+    once; the table is written, so that steps that read it again don't cut texts again."""
+    counted = raw.groupBy(column).agg(F.count("*").alias("_n"))
+    terms = counted.select(normalize_term(F.col(column)).alias("term"), "_n").filter("term is not null").groupBy("term").agg(F.sum("_n").alias("n"))
+    return materialize(terms.filter(F.col("n") >= least), "terms")
 
 
 def reject_reasons(terms: DataFrame, vocabulary: DataFrame | None = None, column: str = "term", roots=ROOTS, function_words=STOPWORDS, opinion_words=POSITIVE | NEGATIVE) -> DataFrame:

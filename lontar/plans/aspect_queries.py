@@ -364,8 +364,7 @@ def term_candidates(spark, sf_dir):
     """Capitalised word pairs as raw terms, normalised and judged."""
     d = docs(spark, sf_dir)
     raw = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9(]+ [A-Za-z0-9)]+)"), F.lit(1))).alias("raw"))
-    terms = raw.select(D.normalize_term(F.col("raw")).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("n")).filter("n >= 3")
-    return D.reject_reasons(terms, D.lowercase_vocabulary(d))
+    return D.reject_reasons(D.term_counts(raw, least=3), D.lowercase_vocabulary(d))
 
 
 @query("SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT 'given' AS kind, doc_id FROM documents UNION ALL SELECT 'negative', doc_id + 1000000000 FROM documents WHERE lang = 'fr') GROUP BY kind")

@@ -237,3 +237,9 @@ def test_augmentation_keeps_all_and_adds(spark):
     for r in rows:
         words = [r.text[s.start : s.end] for s in r.spans]
         assert words == (["ac", "wifi"] if r.kind == "given" and r.doc_idx == 0 else []) or (r.kind == "augmented" and set(words) <= {"resepsionis", "kamar"} and len(words) == 2)
+
+
+def test_terms_are_counted_before_they_are_tidied(spark):
+    raw = [("Harga Wifi",)] * 3 + [("harga (baru",)] * 2 + [("harga",), (None,), ("x",)]
+    made = D.term_counts(spark.createDataFrame(raw, "raw string"), least=3)
+    assert {r.term: r.n for r in made.collect()} == {"Harga Wifi": 3, "harga": 3} and made.inputFiles()
