@@ -236,3 +236,13 @@ def test_pair_counts_are_those_of_windows(spark):
     for size in (1, 2, 3, 10, 0):
         want = {(r.term1, r.term2): r.n for r in M.cooccurrence(M.windows(docs, "tokens", size, vocabulary)).collect()}
         assert {(r.term1, r.term2): r.n for r in M.window_counts(docs, "tokens", size, pairs).collect()} == want
+
+
+def test_lda_reads_counts_from_as_many_parts_as_cores(spark, monkeypatch):
+    """Each part sends sums as long as the vocabulary in each iteration, and texts are not counted anew."""
+    seen, real = [], K.LDA.fit
+    monkeypatch.setattr(K.LDA, "fit", lambda self, df, *a: (seen.append((df.rdd.getNumPartitions(), df.inputFiles())), real(self, df, *a))[1])
+    docs = spark.createDataFrame([(i, ["satu", "dua"] if i % 2 else ["tiga", "empat"]) for i in range(60)], "doc_idx long, tokens array<string>").repartition(12)
+    topics, assigned = K.lda_topics(docs, num_topics=2, iterations=2)
+    assert topics.count() == 2 and assigned.count() == 60
+    assert seen[0][0] <= spark.sparkContext.defaultParallelism < 12 and seen[0][1]
