@@ -2,8 +2,14 @@
 
 import random
 
+import numpy as np
+
+from lontar.operators import layout, products
 from lontar.operators import quality as M
 from lontar.operators import topics as K
+from lontar.operators import word_vectors as W
+from lontar.operators.layout import fuzzy_edges
+from lontar.operators.neighbours import neighbours
 
 
 def corpus(spark, n=40):
@@ -34,3 +40,38 @@ def test_texts_meet_their_topic_and_not_each_word(spark):
     docs, given = corpus(spark), spark.createDataFrame([(i, i % 3) for i in range(40)], "doc_idx long, topic_id int")
     shown = plan(K.class_counts(docs, given))
     assert shown.index("Generate explode(tokens") < max(shown.rfind("SortMergeJoin"), shown.rfind("BroadcastHashJoin"))
+
+
+def test_pairs_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    docs = corpus(spark)
+    shown = plan(W.near_pairs(docs, window=3, min_count=1))
+    assert "Generate" not in shown and shown.count("Exchange hashpartitioning") == 1
+    whole = sorted(W.near_pairs(docs, window=3, min_count=1).collect())
+    monkeypatch.setattr(W, "WHOLE_BYTES", -1)
+    assert sorted(W.near_pairs(docs, window=3, min_count=1).collect()) == whole and whole
+
+
+def test_a_step_of_a_layout_shuffles_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(10 * i, [rng.gauss(6 * (i % 3), 1), rng.gauss(0, 1)]) for i in range(90)] + [(5, [99.0, 99.0])], "node long, v array<double>")
+    edges = fuzzy_edges(neighbours(nodes.filter("node <> 5"), 8))
+    far = {r.node: r.v for r in _with(monkeypatch, 0, lambda: layout.spectral_layout(nodes, edges, 3).collect())}
+    monkeypatch.setattr(layout, "_step", None)  # the joins
+    near = {r.node: r.v for r in layout.spectral_layout(nodes, edges, 3).collect()}
+    assert near[5] == far[5] == [0.0, 0.0, 0.0]
+    apart = lambda at: [[sum((x - y) ** 2 for x, y in zip(at[a], at[b])) for a in sorted(at)] for b in sorted(at)]  # noqa: E731 - signs are open
+    assert np.allclose(apart(near), apart(far), rtol=1e-5, atol=1e-6)
+
+
+def test_products_of_vectors_shuffle_nothing(spark, monkeypatch):
+    entries = W.positive_pmi(W.near_pairs(corpus(spark), window=2, min_count=1)).persist()
+    _, far = _with(monkeypatch, 0, lambda: W.singular_vectors(entries, 4))
+    monkeypatch.setattr(W, "_apply", None)  # the joins
+    _, near = W.singular_vectors(entries, 4)
+    assert np.allclose(near, far, rtol=1e-6)
+
+
+def _with(monkeypatch, limit, run):
+    with monkeypatch.context() as m:
+        m.setattr(products, "WHOLE_BYTES", limit)
+        return run()
