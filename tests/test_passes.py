@@ -75,3 +75,17 @@ def _with(monkeypatch, limit, run):
     with monkeypatch.context() as m:
         m.setattr(products, "WHOLE_BYTES", limit)
         return run()
+
+
+def test_components_come_from_one_pass_of_products(spark):
+    """The projected rows' components, held to numpy's over all rows; no row of COLUMNS numbers leaves a task."""
+    docs = corpus(spark, 60)
+    hashed, dense = K._projection(docs, "tokens", 42)
+    rows = hashed.select("doc_idx", "_h").toArrow().sort_by("doc_idx")
+    x = np.concatenate(list(dense(rows.column(1).combine_chunks())))
+    onto = np.linalg.svd(np.cov(x.T))[0][:, :3]
+    want = x @ onto
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300)
+    made = K.features(docs, size=3)
+    got = np.array([r.features.toArray() for r in made.orderBy("doc_idx").collect()])
+    assert np.allclose(np.abs((got * want).sum(0)), (want * want).sum(0), atol=1e-6) and "_tfidf" not in plan(made)
