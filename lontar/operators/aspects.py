@@ -12,7 +12,7 @@ from lontar.functions.stem import prefix_class, stem_map
 from lontar.functions.text import cosine, let
 from lontar.lexicons import CLITICS, COMMON_ASPECTS, CONNECTIVES, INDONESIAN, MERGE_PREFIXES, ROOTS, STOPWORDS
 from lontar.operators import sentiment
-from lontar.operators.spans import char_context, context_words, decode_bio, find_clauses, find_spans, normalize_aspect, overlap_anti_join
+from lontar.operators.spans import char_context, clause_groups, context_words, decode_bio, find_spans, normalize_aspect, overlap_anti_join
 from lontar.tables import materialize
 
 
@@ -177,17 +177,29 @@ def rule_based_counts(occurrences: DataFrame, key: str = "doc_idx") -> DataFrame
     return ranked(grouped, "count").drop("first")
 
 
+def clause_sentiments(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx", text: str = "text", lexicon: Lexicon = INDONESIAN, connectives=CONNECTIVES) -> DataFrame:
+    """clause_groups with the sentiment of the clause and of the whole text (_ws, _wc): each is scored once, however many
+    occurrences stand in it."""
+    judged = sentiment.score_lexicon(docs.select(key, F.col(text).alias("_whole")), "_whole", lexicon).select(key, "_whole", F.col("sentiment").alias("_ws"), F.col("confidence").alias("_wc"))
+    return sentiment.score_lexicon(clause_groups(occurrences, judged, key, "_whole", connectives, ("_ws", "_wc")), "_clean", lexicon).drop("scores", "method")
+
+
+def sentiments_of(clauses: DataFrame, columns: list[str], key: str = "doc_idx", retry_below: float = 0.6, whole_texts: bool = True) -> DataFrame:
+    """Occurrences (key and `columns`) of clause_sentiments, with clause, sentiment, confidence."""
+    flat = clauses.select(*(c for c in clauses.columns if c != "_members"), F.col("sentiment").alias("_cs"), F.col("confidence").alias("_cc"), F.inline("_members"))
+    again = ~F.col("_fits") | (F.col("_cc") < retry_below)
+    label, sure = F.when(again, F.col("_ws")).otherwise(F.col("_cs")), F.when(again, F.col("_wc")).otherwise(F.col("_cc"))
+    piece = F.when(F.col("_fits"), F.col("_clean"))
+    return flat.select(key, *columns, (F.coalesce(piece, "_text") if whole_texts else piece).alias("clause"), label.alias("sentiment"), sure.alias("confidence"))
+
+
 def aspect_sentiments(docs: DataFrame, occurrences: DataFrame, key: str = "doc_idx", text: str = "text", lexicon: Lexicon = INDONESIAN, retry_below: float = 0.6, connectives=CONNECTIVES, whole_texts: bool = True) -> DataFrame:
-    """Occurrences with their clause and its sentiment. All clauses are scored in one pass; where a clause is unsure or is the
+    """Occurrences with their clause and its sentiment. Each clause is scored once; where a clause is unsure or is the
     whole text, the whole text's prediction is taken, which is made once for each document. Without whole_texts, a clause that
     is the whole text is null, so that a table of them holds no text once for each occurrence."""
-    judged = sentiment.score_lexicon(docs.select(key, F.col(text).alias("_whole")), "_whole", lexicon).select(key, "_whole", F.col("sentiment").alias("_ws"), F.col("confidence").alias("_wc"))
-    found = find_clauses(occurrences, judged, key, "_whole", connectives, ("_ws", "_wc"))
-    scored = sentiment.score_lexicon(found, "_piece", lexicon).drop("scores", "method")
-    again = F.col("_piece").isNull() | (F.col("confidence") < retry_below)
-    label, sure = F.when(again, F.col("_ws")).otherwise(F.col("sentiment")), F.when(again, F.col("_wc")).otherwise(F.col("confidence"))
-    clause = F.coalesce("_piece", "_text") if whole_texts else F.col("_piece")
-    return scored.select(*occurrences.columns, clause.alias("clause"), label.alias("sentiment"), sure.alias("confidence"))
+    columns = [c for c in occurrences.columns if c != key]
+    made = sentiments_of(clause_sentiments(docs, occurrences, key, text, lexicon, connectives), columns, key, retry_below, whole_texts)
+    return made.select(*occurrences.columns, "clause", "sentiment", "confidence")
 
 
 def aspect_polarity(scored: DataFrame) -> DataFrame:
@@ -251,7 +263,9 @@ def analyze(docs: DataFrame, mode: str = "automatic", predefined: list[str] | No
         found = materialize(merge_variants(group_occurrences(raw, key), roots), "aspects")
         occurrences = relabel(raw, found)
     occurrences = materialize(occurrences, "aspect_named")
-    scored = materialize(aspect_sentiments(docs, occurrences.drop("confidence"), key, text, lexicon, whole_texts=False), "aspect_scored")
+    placed = occurrences.drop("confidence")
+    clauses = materialize(clause_sentiments(docs, placed, key, text, lexicon).drop("_text"), "aspect_scored")  # a clause stands there once
+    scored = sentiments_of(clauses, [c for c in placed.columns if c != key], key, whole_texts=False)
     shown = scored.join(docs.select(key, F.col(text).alias("_t")), key).withColumn("clause", F.coalesce("clause", "_t")).drop("_t")
     polarity = aspect_polarity(scored)
     stats = statistics(polarity)

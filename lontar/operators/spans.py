@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lontar.functions import text as X
-from lontar.functions.stem import stem_udf, verbal_derivation
+from lontar.functions.stem import stem, stems_of
 from lontar.lexicons import CONNECTIVES, ROOTS, VERBAL_PREFIXES
-from lontar.tables import materialize, to_tasks
 
 _NO_LETTER_BEFORE, _NO_LETTER_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
@@ -81,48 +80,124 @@ def word_spans(docs: DataFrame, key: str = "doc_idx", text: str = "text") -> Dat
     return flat.select(key, F.col("_p.piece").alias("word"), F.col("_p.start").alias("start"), (F.col("_p.start") + F.char_length("_p.piece")).alias("end"), "pos")
 
 
-def stem_spans(docs: DataFrame, aspects: list[str], key: str = "doc_idx", text: str = "text", roots=ROOTS) -> DataFrame:
-    """Occurrences by stem: n words in a row whose stems are the aspect's, unless one is a verb formed from its word.
+#: Word characters as (?U)\\w has them, for Arrow's regular expressions: alphabetic ones, marks, digits, connectors, joiners.
+_WORD_CLASS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}\x{200C}\x{200D}"
+#: Texts that are cut into words at a time.
+_TEXTS = 500
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """All words of texts, the gap before each, the text that each is in, and where it starts there."""
+    cut = pc.split_pattern_regex(texts, f"[^{_WORD_CLASS}]+")
+    words = cut.flatten()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy())[real]
+    words = words.filter(pa.array(real))
+    gaps = pc.split_pattern_regex(texts, f"[{_WORD_CLASS}]+")  # one more than there are words, the last behind them
+    last = np.cumsum(gaps.value_lengths().to_numpy()) - 1
+    before = np.ones(int(last[-1]) + 1 if len(last) else 0, bool)
+    before[last] = False
+    gaps = gaps.flatten().filter(pa.array(before))
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes + pc.utf8_length(gaps).to_numpy(zero_copy_only=False))
+    first = np.searchsorted(text, np.arange(len(texts)))
+    base = np.concatenate([[0], ends])[first]
+    return words, gaps, text, ends - sizes - base[text]
+
+
+def _has_literal(low: str, aspect: str) -> bool:
+    """Whether an aspect's text stands in a text in lower case, no letter or digit beside it."""
+    at = low.find(aspect)
+    while at >= 0:
+        end = at + len(aspect)
+        if not (at and low[at - 1].isalnum()) and not low[end : end + 1].isalnum():
+            return True
+        at = low.find(aspect, at + 1)
+    return False
+
+
+def _lower(text: str) -> str:
+    """Each character in lower case, one for one."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def stem_spans(docs: DataFrame, aspects: list[str], key: str = "doc_idx", text: str = "text", roots=ROOTS, unless_literal: bool = False) -> DataFrame:
+    """Occurrences by stem: n words in a row whose stems are the aspect's, unless one is a verb formed from its word; with
+    unless_literal, only of aspects that literal_spans does not find in the text.
+
+    Texts are cut where they stand and only what is found becomes rows, so nothing is shuffled; a word is stemmed once a slice of
+    texts at most, and seldom twice in a worker. The cost is the same whatever the lexicon."""
+    names = list(dict.fromkeys(map(python_normalize_aspect, aspects)))
+    parts_of = [p for a in names if (p := re.findall(r"\w+", a))]
+    names = [a for a in names if re.search(r"\w", a)]
+    if not names:
+        return docs.select(key, F.lit("").alias("aspect"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface")).limit(0)
+    chosen = frozenset(roots)
+    grams: dict[tuple[str, ...], list[int]] = {}
+    for i, parts in enumerate(parts_of):
+        grams.setdefault(tuple(stem(p, chosen) for p in parts), []).append(i)
+    wanted = {s: i for i, s in enumerate(sorted({s for gram in grams for s in gram}))}
+    coded = {tuple(wanted[s] for s in gram): held for gram, held in grams.items()}
+    lengths = sorted({len(gram) for gram in coded})
+
+    def verbal(word: str, part: str) -> bool:
+        low = word.lower()
+        return any(low.startswith(p) and not part.startswith(p) for p in VERBAL_PREFIXES)
+
+    def found(texts: pa.Array):
+        """Text, aspect, start, end and surface of what is found in a slice of texts."""
+        words, gaps, of, start = _words(texts)
+        distinct = words.dictionary_encode()
+        ids, forms = distinct.indices.to_numpy(), distinct.dictionary.to_pylist()
+        codes = np.array([wanted.get(s, -1) for s in stems_of(forms, chosen)], np.int64)[ids] if len(ids) else ids
+        hits = np.flatnonzero(codes >= 0)
+        low: dict[int, str] = {}
+        seen: dict[tuple[int, int], bool] = {}
+
+        def literal(row: int, i: int) -> bool:
+            if (row, i) not in seen:
+                if row not in low:
+                    low[row] = _lower(texts[row].as_py())
+                seen[row, i] = _has_literal(low[row], names[i])
+            return seen[row, i]
+
+        known: dict[tuple, list[int]] = {}
+        for n in lengths:
+            at = hits[hits + n <= len(codes)]
+            for k in range(1, n):
+                at = at[(codes[at + k] >= 0) & (of[at + k] == of[at])]
+            for place in at.tolist():
+                run = ids[place] if n == 1 else tuple(ids[place : place + n].tolist())
+                if run not in known:
+                    those = coded.get(tuple(codes[place : place + n].tolist()), ())
+                    known[run] = [i for i in those if not any(verbal(forms[w], p) for w, p in zip(ids[place : place + n], parts_of[i], strict=True))]
+                for i in known[run]:
+                    row = int(of[place])
+                    if not (unless_literal and literal(row, i)):
+                        surface = forms[ids[place]] + "".join(gaps[j].as_py() + forms[ids[j]] for j in range(place + 1, place + n))
+                        yield row, i, int(start[place]), int(start[place]) + len(surface), surface
+
+    held = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    schema = T.StructType([held.schema[key], T.StructField("aspect", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surface", T.StringType())])
 
-    The distinct words are stemmed once. Those with a stem that an aspect has go to the tasks, whole if they are small, where a
-    word meets them with the pieces after it; so words are not shuffled, and cost the same whatever the lexicon."""
-    from lontar.functions.stem import stem
+    def task(batches):
+        for batch in batches:
+            for first in range(0, len(batch), _TEXTS):
+                part = batch.slice(first, _TEXTS)
+                row, i, start, end, surface = zip(*rows, strict=True) if (rows := list(found(part.column(1)))) else ((),) * 5
+                columns = [pa.array([names[k] for k in i], pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(surface, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), *columns], names=[key, "aspect", "start", "end", "surface"])
 
-    terms = [(a, parts, "\0".join(stem(p, roots) for p in parts)) for a in dict.fromkeys(map(python_normalize_aspect, aspects)) if (parts := re.findall(r"\w+", a))]
-    if not terms:
-        return docs.select(key, F.lit("").alias("aspect"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface")).limit(0)
-    postings = docs.sparkSession.createDataFrame(terms, "aspect string, parts array<string>, gram string")
-    lengths = sorted({len(parts) for _, parts, _ in terms})
-    held = docs.select(key, _pieces(F.coalesce(F.col(text), F.lit("")), _WORD_EDGE).alias("_p"))
-    wanted = sorted({s for _, _, gram in terms for s in gram.split("\0")})
-    distinct = held.select(F.explode(F.array_distinct(F.transform("_p", lambda p: p["piece"]))).alias("_w")).filter(F.col("_w").rlike(r"(?U)^\w")).distinct()
-    known = to_tasks(materialize(distinct.withColumn("_s", stem_udf(roots)("_w")).filter(F.col("_s").isin(*wanted)), "span_stems"), "_w")
-    ahead = [F.slice("_p", k + 1, F.greatest(F.size("_p") - k, F.lit(0))).alias(f"p{k}") for k in range(2 * lengths[-1] - 1)]
-    flat = held.select(key, F.explode(F.arrays_zip(*ahead)).alias("z"))
-    words = flat.select(key, F.col("z.p0.start").alias("start"), *(F.col(f"z.p{k}.piece").alias(f"_t{k}") for k in range(2 * lengths[-1] - 1)))
-    for k in range(lengths[-1]):
-        words = words.join(known.select(F.col("_w").alias(f"_t{2 * k}"), F.col("_s").alias(f"_s{k}")), f"_t{2 * k}", "left" if k else "inner")
-
-    def window(n: int) -> Column:
-        whole = F.struct(F.concat_ws("\0", *(f"_s{k}" for k in range(n))).alias("gram"), F.array(*(f"_t{2 * k}" for k in range(n))).alias("words"), F.concat(*(f"_t{k}" for k in range(2 * n - 1))).alias("surface"))
-        there = F.lit(True)
-        for k in range(n):
-            there = there & F.col(f"_s{k}").isNotNull()
-        return F.when(there, whole)
-
-    grams = words.select(key, "start", F.inline(F.array_compact(F.array(*map(window, lengths)))))
-    verbal = F.exists(F.arrays_zip("words", "parts"), lambda x: verbal_derivation(x["words"], x["parts"], VERBAL_PREFIXES))
-    found = grams.join(F.broadcast(postings), "gram").filter(~verbal)  # a list at the driver
-    return found.select(key, "aspect", "start", (F.col("start") + F.char_length("surface")).alias("end"), "surface")
+    return held.mapInArrow(task, schema)
 
 
 def find_spans(docs: DataFrame, aspects: list[str], key: str = "doc_idx", text: str = "text", use_stemming: bool = True, roots=ROOTS) -> DataFrame:
-    """Literal spans; for a document and aspect without any, spans by stem."""
+    """Literal spans; for a document (a row) and aspect without any, spans by stem."""
     literal = literal_spans(docs, aspects, key, text).withColumn("match_type", F.lit("literal"))
     if not use_stemming:
         return literal
-    stemmed = stem_spans(docs, aspects, key, text, roots).withColumn("match_type", F.lit("stem"))
-    return literal.unionByName(stemmed.join(literal.select(key, "aspect").distinct(), [key, "aspect"], "left_anti"))
+    return literal.unionByName(stem_spans(docs, aspects, key, text, roots, True).withColumn("match_type", F.lit("stem")))
 
 
 def decode_bio(tags: DataFrame, key: str = "doc_idx", threshold: float | None = None) -> DataFrame:
@@ -248,30 +323,67 @@ def clause_bounds(text: Column, connectives=CONNECTIVES) -> Column:
     return F.concat(F.transform(_pieces(text, _clause_edges(connectives)), lambda p: p["start"]), F.array(F.char_length(text)))
 
 
-def find_clauses(occurrences: DataFrame, docs: DataFrame, key: str = "doc_idx", text: str = "text", connectives=CONNECTIVES, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Occurrences with `_piece`, the clause that holds [start, end), or null where it is the whole text; `_text`; and `carried`
-    columns of docs. A document's occurrences meet its text once, as a list, and its clauses are cut once."""
+_RANGES = T.ArrayType(T.StructType().add("i", "integer").add("n", "integer").add("members", T.ArrayType(T.IntegerType())))
+
+
+@F.arrow_udf(_RANGES)
+def _clause_ranges(starts: pa.Array, ends: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+    """Which clauses, the i-th and n - 1 after it, spans touch, and the numbers of the spans that touch the same ones. i is null
+    for spans without a place, or with one that is not in the text."""
+    found = []
+    for start, end, a, b in zip(starts, ends, low, high, strict=True):
+        if a.values is None:  # a null text
+            found.append([{"i": None, "n": 0, "members": list(range(len(start.values)))}])
+            continue
+        a, b = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
+        start, end = (x.values.fill_null(-1).to_numpy(zero_copy_only=False) for x in (start, end))
+        first = np.searchsorted(b, start, side="right")
+        n = np.maximum(np.searchsorted(a, end, side="left") - first, 0)
+        bad = (start < 0) | (end < 0) | (end > b[-1])
+        first, n = np.where(bad, -1, first), np.where(bad, 0, n)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for k, at in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
+            groups.setdefault(at, []).append(k)
+        found.append([{"i": None if i < 0 else i, "n": m, "members": held} for (i, m), held in groups.items()])
+    return pa.array(found, pa.list_(pa.struct([("i", pa.int32()), ("n", pa.int32()), ("members", pa.list_(pa.int32()))])))
+
+
+def clause_groups(occurrences: DataFrame, docs: DataFrame, key: str = "doc_idx", text: str = "text", connectives=CONNECTIVES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each clause that occurrences stand in: `_clean`, the clause without what is at its edges, null for offsets out of
+    range; `_members`, these occurrences' columns and `_fits`, whether the clause has more words than the span; `_text`; and
+    `carried` columns of docs. A document's occurrences meet its text once, as a list, and its clauses are cut once and
+    searched by place, so that the time follows the text and the number of occurrences."""
     columns = [c for c in occurrences.columns if c != key]
     lists = occurrences.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_o"))
-    cut = F.transform(_pieces(F.col(text), _clause_edges(connectives)), lambda p: F.struct(p["start"].alias("a"), (p["start"] + F.char_length(p["piece"])).alias("b"), p["piece"].alias("piece")))
-    held = lists.join(docs.select(key, F.col(text).alias("_text"), *carried, cut.alias("_c"), F.char_length(text).alias("_n")), key)
+    cut = F.transform(_pieces(F.col("_text"), _clause_edges(connectives)), lambda p: F.struct(p["start"].alias("a"), (p["start"] + F.char_length(p["piece"])).alias("b"), p["piece"].alias("piece")))
+    held = lists.join(docs.select(key, F.col(text).alias("_text"), *carried), key)
+    held = held.select(key, "_text", *carried, "_o", F.inline(F.array(F.struct(cut.alias("_c")))))  # texts are cut behind the shuffle
+    of = lambda c, name: F.transform(c, lambda x: x[name].cast("int"))
+    ranges = _clause_ranges(of("_o", "start"), of("_o", "end"), of("_c", "a"), of("_c", "b"))
+    flat = held.select(key, "_text", *carried, "_o", "_c", F.inline(ranges))
     words = "|".join(re.escape(c) for c in connectives)
     count = lambda c: F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
+    inner = F.slice("_c", F.col("i") + 1, F.col("n"))
+    raw = F.array_join(F.transform(inner, lambda c: c["piece"]), "")
+    clean = F.regexp_replace(F.regexp_replace(F.col("_r.raw"), r"^[ ,.;!?\n]+|[ ,.;!?\n]+$", ""), f"(?iu)^(?:{words}) [ ,]*", "")
+    flat = flat.select(key, "_text", *carried, "_o", "members", F.inline(F.array(F.struct(F.struct(raw.alias("raw"), F.get("_c", F.col("i"))["a"].alias("at")).alias("_r")))))
+    flat = flat.select(key, "_text", *carried, "_o", "members", "_r", F.inline(F.array(F.struct(clean.alias("_clean")))))
+    flat = flat.select("*", F.inline(F.array(F.struct(count(F.col("_clean")).alias("_n")))))
 
-    def piece(o: Column) -> Column:
-        start, end = o["start"], o["end"]
+    def member(k: Column) -> Column:
+        span = lambda o: F.substring(F.col("_r.raw"), o["start"] - F.col("_r.at") + 1, o["end"] - o["start"])
+        fits = lambda o: F.col("_clean").isNotNull() & (F.col("_n") > count(F.coalesce(span(o), F.lit(""))))
+        return X.let(F.get("_o", k), lambda o: F.struct(*(o[c].alias(c) for c in columns), fits(o).alias("_fits")))
 
-        def judged(inner: Column) -> Column:
-            raw = F.array_join(F.transform(inner, lambda c: c["piece"]), "")
-            clean = F.regexp_replace(F.regexp_replace(raw, r"^[ ,.;!?\n]+|[ ,.;!?\n]+$", ""), f"(?iu)^(?:{words}) [ ,]*", "")
-            span = F.substring(raw, start - F.get(inner, 0)["a"] + 1, end - start)
-            bad = start.isNull() | end.isNull() | (start < 0) | (end > F.col("_n"))
-            return F.when(~bad, X.let(clean, lambda c: F.when(count(c) > count(F.coalesce(span, F.lit(""))), c)))
+    return flat.select(key, "_text", *carried, "_clean", F.transform("members", member).alias("_members"))
 
-        return X.let(F.filter("_c", lambda c: (c["a"] < end) & (c["b"] > start)), judged)
 
-    flat = F.transform("_o", lambda o: F.struct(*(o[c].alias(c) for c in columns), piece(o).alias("_piece")))
-    return held.select(key, "_text", *carried, F.inline(flat)).select(key, *columns, "_text", *carried, "_piece")
+def find_clauses(occurrences: DataFrame, docs: DataFrame, key: str = "doc_idx", text: str = "text", connectives=CONNECTIVES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Occurrences with `_piece`, the clause that holds [start, end), or null where it is the whole text; `_text`; and `carried`
+    columns of docs."""
+    columns = [c for c in occurrences.columns if c != key]
+    flat = clause_groups(occurrences, docs, key, text, connectives, carried).select(key, "_text", *carried, "_clean", F.inline("_members"))
+    return flat.select(key, *columns, "_text", *carried, F.when(F.col("_fits"), F.col("_clean")).alias("_piece"))
 
 
 def add_clauses(occurrences: DataFrame, docs: DataFrame, key: str = "doc_idx", text: str = "text", connectives=CONNECTIVES) -> DataFrame:
