@@ -451,11 +451,20 @@ def filter_label_words(topics: DataFrame, vocabulary: DataFrame | None, n: int =
     return topics.drop("words").join(lists.select("topic_id", F.transform(chosen, lambda s: s["term"]).alias("words")), "topic_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
+def _first_place(docs: DataFrame, key: str) -> Column:
+    """The least (key, _p) of a group. A whole-number key and the place are one number, which hash tables can hold, unlike structs,
+    for which all rows would be sorted; null keys come first."""
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        return F.min(F.struct(key, "_p"))
+    number = F.coalesce(F.col(key).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    return F.min(number * F.lit(1 << 32).cast("decimal(11,0)") + F.col("_p"))
+
+
 def word_frequencies(docs: DataFrame, words: str = "tokens", key: str = "doc_idx", top_n: int = 50, stopwords=TOPIC_LABEL_STOPWORDS, surfaces: DataFrame | None = None) -> DataFrame:
     """word, frequency of the most frequent words of over two letters; ties by first place. surfaces (stem, surface) turn
     stems into readable words, whose counts add up."""
     flat = docs.select(key, F.posexplode(F.transform(words, F.lower)).alias("_p", "word")).filter((F.char_length("word") > 2) & ~F.col("word").isin(*sorted(stopwords)))
-    counted = flat.groupBy("word").agg(F.count("*").alias("frequency"), F.min(F.struct(key, "_p")).alias("_first"))
+    counted = flat.groupBy("word").agg(F.count("*").alias("frequency"), _first_place(docs, key).alias("_first"))
     top = counted.orderBy(F.desc("frequency"), "_first").limit(top_n)
     if surfaces is not None:
         shown = top.join(surfaces.select(F.col("stem").alias("word"), "surface"), "word", "left").withColumn("word", F.coalesce("surface", "word"))
@@ -469,7 +478,7 @@ def frequency_topics(docs: DataFrame, words: str = "tokens", key: str = "doc_idx
     flat = docs.select(key, F.posexplode(words).alias("_p", "word"))
     if stopwords:
         flat = flat.filter(~F.col("word").isin(*sorted(stopwords)))
-    counted = flat.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct(key, "_p")).alias("_first"))
+    counted = flat.groupBy("word").agg(F.count("*").alias("n"), _first_place(docs, key).alias("_first"))
     top = counted.orderBy(F.desc("n"), "_first").limit(15).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "_first")) - 1)
     bucketed = top.select("word", "n", "_r", F.floor(F.col("_r") / 5).cast("int").alias("topic_id"))
     shared = flat.select(key, "word").distinct().join(F.broadcast(bucketed), "word").groupBy(key, "topic_id").agg(F.count("*").alias("_k"))  # 15 rows
@@ -485,11 +494,14 @@ def frequency_topics(docs: DataFrame, words: str = "tokens", key: str = "doc_idx
     return topics, assigned
 
 
-def surface_map(docs: DataFrame, wanted: DataFrame, stems: DataFrame, text: str = "text", key: str = "doc_idx") -> DataFrame:
+def surface_map(docs: DataFrame, wanted: DataFrame, stems: DataFrame | None = None, text: str = "text", key: str = "doc_idx", roots=frozenset()) -> DataFrame:
     """stem, surface: the most frequent written form of each wanted stem (of equals the first). Words of three letters or
-    more that hold the stem, or all of it but its first letter, are looked at; stems (token, stem) tells their stems."""
+    more that hold the stem, or all of it but its first letter, are looked at; stems (token, stem) tells their stems, or roots do."""
     flat = docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b([a-z]{3,})\b"), F.lit(1))).alias("_p", "token"))
-    counted = flat.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(key, "_p")).alias("_first"))
+    counted = flat.groupBy("token").agg(F.count("*").alias("n"), _first_place(docs, key).alias("_first"))
+    if stems is None:  # the words that were counted are stemmed, so texts are cut once
+        counted = materialize(counted, "topic_written")
+        stems = stem_map(counted, "token", roots)
     near = counted.join(stems, "token").join(wanted.select(F.col("word").alias("stem")).distinct(), "stem").filter(F.col("token").contains(F.col("stem")) | F.col("token").contains(F.expr("substring(stem, 2)")))
     rank = Window.partitionBy("stem").orderBy(F.desc("n"), "_first")
     return near.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").select("stem", F.col("token").alias("surface"), "n")
@@ -516,8 +528,7 @@ def summary(topics: DataFrame) -> DataFrame:
 def readable_topics(topics: DataFrame, frequent: DataFrame, docs: DataFrame, text: str, key: str, roots) -> tuple[DataFrame, DataFrame]:
     """Topics with words as people write them (words_stemmed keeps the stems), and the surfaces of these and the frequent words."""
     wanted = topics.select(F.explode("words").alias("word")).unionByName(frequent.select("word")).distinct()
-    written = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b([a-z]{3,})\b"), F.lit(1)))).alias("token"))
-    surfaces = materialize(surface_map(docs, wanted, stem_map(written, "token", roots), text, key), "topic_surfaces")
+    surfaces = materialize(surface_map(docs, wanted, None, text, key, roots), "topic_surfaces")
     return readable(topics, surfaces), surfaces
 
 
